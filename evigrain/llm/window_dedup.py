@@ -42,11 +42,11 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def pack(bucket: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray):
-    """One row (bucket, docs, runs, at, hash) for each bucket; entries keep their order."""
+def pack(bucket: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray | None = None):
+    """One row (bucket, docs, runs, at, hash) for each bucket; entries keep their order. Without h, hash is empty."""
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-    bucket, doc, at, h = bucket[order], doc[order], at[order], h[order]
-    key = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+    bucket, doc, at = bucket[order], doc[order], at[order]
+    key = np.zeros((len(doc), 0), np.uint8) if h is None else np.ascontiguousarray(h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edges)):
         lo, hi = edges[k], edges[k + 1]
@@ -58,7 +58,7 @@ def pack(bucket: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, h: n
 
 
 def unpack(rows: list[tuple[bytes, bytes, bytes, bytes]]):
-    """doc, at and hash (its upper 48 bits) of all entries of some packed rows."""
+    """doc, at and hash (its upper 48 bits, if packed) of all entries of some packed rows."""
     docs, ats, hashes = [], [], []
     for d, runs, at, h in rows:
         runs = unplanes(runs)
@@ -77,6 +77,11 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def packed_rows(batches) -> list[tuple]:
+    empty = (b"",) * 4
+    return [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("docs", "runs", "at", "hash")), strict=True)] or [empty]
+
+
 PACKED = "bucket int, docs binary, runs binary, at binary, hash binary"
 
 
@@ -110,10 +115,7 @@ def pack_held(held: list, buckets: int):
 
 
 def mark_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Windows that also start earlier: rows (doc_id, starts), starts an array of word indices as packed int32.
-
-    A document can have several rows.
-    """
+    """Words of windows that also start earlier: rows (doc, gone), gone the merged intervals start, end, start, end ..."""
     buckets = parts(docs.sparkSession)
 
     def hashed(batches):
@@ -129,32 +131,35 @@ def mark_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         yield from pack_all(pieces(), buckets)
 
     def repeated(batches):
-        rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("docs", "runs", "at", "hash")), strict=True)]
-        if not rows:
-            return
-        doc, at, h = unpack(rows)
-        del rows
+        doc, at, h = unpack(packed_rows(batches))
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
-        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        if not len(order):
-            return
+        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(h) else order
         doc, at, h = doc[order], at[order], h[order]
         order = np.lexsort((at, doc, h))
         doc, at, h = doc[order], at[order], h[order]
-        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
         size = np.diff(np.append(head, len(h)))
         later = (doc != np.repeat(doc[head], size)) | (at != np.repeat(at[head], size))
         doc, at = doc[later], at[later]
         order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order].astype("<i4")
+        if len(order):
+            yield to_batch(list(pack(bucket_of(t.mix(doc[order].view(np.uint64)), buckets), buckets, doc[order], at[order])), PACKED_ARROW)
+
+    def merged(batches):
+        doc, at, _ = unpack(packed_rows(batches))
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        head = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)))[: len(doc)]
+        tail = np.append(head[1:], True)[: len(doc)]
+        doc, pairs = doc[head], np.stack((at[head], at[tail] + window), axis=1)
         head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[: len(doc)]
-        edges = np.append(head, len(doc))
-        data = pa.py_buffer(at.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(doc[head], pa.int64()), pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((edges * 4).astype("<i4").tobytes()), data])], names=["doc", "starts"])
+        edges = np.append(head, len(doc)).astype(np.int32)
+        if len(head):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[head], pa.int64()), pa.ListArray.from_arrays(pa.array(edges * 2), pa.array(pairs.ravel(), pa.int64()))], names=["doc", "gone"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
-    return rows.mapInArrow(hashed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(repeated, "doc long, starts binary")
+    return rows.mapInArrow(hashed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(repeated, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(merged, "doc long, gone array<long>")
 
 
 def remove_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
@@ -163,22 +168,21 @@ def remove_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Returns (doc_id, n_words, n_removed, spans: removed word intervals [start, end), kept: the kept words joined by
     one space).
     """
-    marks = mark_windows(docs, doc_id, text, window).groupBy("doc").agg(F.collect_list("starts").alias("starts"))
+    marks = mark_windows(docs, doc_id, text, window)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("body"))
 
     def removed(batches):
         for batch in batches:
-            doc, marked = t.column(batch, "id"), t.column(batch, "starts")
+            doc, marked = t.column(batch, "id"), t.column(batch, "gone")
             for lo, hi, buf, offs in t.chunks(t.column(batch, "body")):
                 starts, ends, first = t.words(buf, offs)
                 out = []
                 for i in range(hi - lo):
                     a, b = first[i], first[i + 1]
-                    got = marked[lo + i].as_py()
                     gone = np.zeros(b - a, bool)
-                    if got:
-                        s = np.frombuffer(b"".join(got), "<i4")
-                        gone = t.covered(b - a, s, np.minimum(s + window, b - a))
+                    if marked[lo + i].is_valid:
+                        s, e = np.minimum(marked[lo + i].values.to_numpy().reshape(-1, 2), b - a).T
+                        gone = t.covered(b - a, s, e)
                     s, e = t.spans(gone)
                     out.append((doc[lo + i].as_py(), int(b - a), int(gone.sum()), [{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)], joined(buf, starts[a:b][~gone], ends[a:b][~gone])))
                 yield to_batch(out, REMOVED_ARROW)
