@@ -57,3 +57,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
 
 
+
+
+def carried(docs: DataFrame, carry, **columns) -> DataFrame:
+    """``columns`` under their new names, and the columns named in ``carry`` in one struct ``rest`` that keeps clear of them."""
+    return docs.select(*(c.alias(name) for name, c in columns.items()), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("rest"))
+
+
+def rest_ddl(rows: DataFrame) -> str:
+    return f"rest {rows.schema['rest'].dataType.simpleString()}"
+
+
+def uncarried(rows: DataFrame, carry, *columns) -> DataFrame:
+    return rows.select(*columns, *(F.col(f"rest.`{c}`").alias(c) for c in carry))
