@@ -38,6 +38,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op7_ngram_jaccard_join, op10_decontamination)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    from .common import materialise
+    from .toxicity import remainder
+
+    measured = materialise(quality.statistics(table(spark, sf_dir, "documents")))
+    model = quality.train(measured, table(spark, sf_dir, "labels"), allowed=remainder("doc_id", 4) != 2)
+    got = measured.withColumn("score", model.score())
+    return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.remainder("doc_id", 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), allowed=~held_out)
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
