@@ -41,6 +41,32 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    import pyarrow as pa
+
+    from .chat_format import format_conversations, read_back, unescape
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+
+    def digests(batches):
+        for batch in batches:
+            out = []
+            for conv, whole, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "mask")), strict=True):
+                back = read_back(whole)
+                text = "".join(f"{role}\n{said}\n" for role, said in back)
+                loss = "".join(unescape(whole[m["start"] : m["end"]]) for m in mask)
+                out.append((conv, len(back), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return format_conversations(turns).mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated, contamination
 
@@ -70,7 +96,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op9_chat_format, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_rules": r"""
