@@ -75,6 +75,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, contaminated().alias("contaminated"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
     from .common import materialise
@@ -102,7 +108,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op9_chat_format, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_quality_rules, op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op9_chat_format, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_rules": r"""
