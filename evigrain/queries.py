@@ -487,3 +487,152 @@ def snk_jsonl(spark, sf_dir):
 def snk_conversion_receipt(spark, sf_dir):
     r = D.records(spark, sf_dir)
     return export.receipt(r, r.where("n % 3 != 0"), "csv")
+
+
+# --- sources: texts that the sinks render from the given tables are read again
+def _files(rendered: DataFrame, column: str, per: int = 20) -> DataFrame:
+    """Texts of several records each, as files hold them."""
+    n = F.regexp_extract("record_id", "[0-9]+", 0).cast("long")
+    parts = rendered.select(F.floor(n / per).alias("file"), n.alias("n"), column).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", column))).alias("p"))
+    return parts.select("file", F.concat(F.array_join(F.transform("p", lambda x: x[column]), "\n\n"), F.lit("\n")).alias("text"))
+
+
+SHOWN = "'{ns}-' || substr(sha256({native}), 1, 16) AS record_id, title, len(authors) AS authors, container, year"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("record_id", "title", F.size("authors").cast("long").alias("authors"), "container", "year")
+
+
+CLEAN = "clean AS (SELECT *, trim(title) AS t FROM records WHERE NOT contains(coalesce(abstract, ''), chr(10)))"
+
+
+@query("SELECT 'ris-' || substr(sha256(record_id), 1, 16) AS record_id, trim(title) AS title, len(authors) AS authors, container, year, CASE WHEN doi LIKE 'https%' THEN replace(doi, 'https://doi.org/', '') WHEN doi LIKE '10.%' THEN doi END AS doi, kind FROM (SELECT * REPLACE (coalesce(map_extract(map {'journal_article': 'journal_article', 'conference': 'conference', 'thesis': 'thesis', 'report': 'report', 'dataset': 'data'}, kind)[1], 'gen') AS kind) FROM clean)", RECORDS, CLEAN)
+def src_ris(spark, sf_dir):
+    from .sources import tagged
+
+    r = D.records(spark, sf_dir).where(~F.contains(F.coalesce("abstract", F.lit("")), F.lit("\n")))
+    got = tagged.tagged(_files(export.ris(r), "ris"), "file", "text", "ris")
+    return got.where(F.col("title") != tagged.UNTITLED).select("record_id", "title", F.size("authors").cast("long").alias("authors"), "container", "year", "doi", "kind")
+
+
+@query("SELECT CAST(n AS VARCHAR) AS native, trim(title) AS title, len(authors) AS authors, container, year FROM clean", RECORDS, CLEAN)
+def src_nbib(spark, sf_dir):
+    from .sources import tagged
+
+    r = D.records(spark, sf_dir).where(~F.contains(F.coalesce("abstract", F.lit("")), F.lit("\n"))).withColumn("pmid", F.col("n").cast("string"))
+    got = tagged.tagged(_files(export.nbib(r), "nbib"), "file", "text", "nbib")
+    return got.select(F.col("native_id").alias("native"), "title", F.size("authors").cast("long").alias("authors"), "container", "year")
+
+
+@query("SELECT 'csl-' || substr(sha256(record_id), 1, 16) AS record_id, title, container, year, doi FROM records", RECORDS)
+def src_csl_json(spark, sf_dir):
+    from .sources import tagged
+
+    lines = export.csl(D.records(spark, sf_dir))
+    n = F.regexp_extract("record_id", "[0-9]+", 0).cast("long")
+    files = lines.groupBy(F.floor(n / 20).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("csl")), ","), F.lit("]")).alias("text"))
+    return tagged.csl(files, "file", "text").select("record_id", "title", "container", "year", "doi")
+
+
+@query("SELECT record_id, title, year, false AS error FROM records", RECORDS)
+def src_jsonl(spark, sf_dir):
+    from .sources import tagged
+
+    files = _files(export.jsonl(D.records(spark, sf_dir)), "line")
+    got = tagged.json_lines(files, "file", "text", "record_id string, title string, year int")
+    return got.select("record.record_id", "record.title", "record.year", "error")
+
+
+def _page(r: DataFrame, item) -> DataFrame:
+    return r.groupBy(F.floor(F.col("n") / 25).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+@query("SELECT 'openalex-W' || n AS record_id, title, container, year, CASE WHEN doi LIKE 'https://doi.org/%' THEN replace(doi, 'https://doi.org/', '') ELSE doi END AS doi, len(authors) AS authors, language FROM records", RECORDS)
+def src_openalex(spark, sf_dir):
+    from .sources import tagged
+
+    item = F.struct(F.concat(F.lit("W"), "n").alias("id"), "doi", F.col("title").alias("display_name"), F.col("year").alias("publication_year"), "language", F.transform("authors", lambda a: F.struct(F.struct(a.alias("display_name")).alias("author"))).alias("authorships"), F.struct(F.struct(F.col("container").alias("display_name")).alias("source")).alias("primary_location"))
+    pages = _page(D.records(spark, sf_dir), item).select("page", F.to_json(F.struct(F.col("items").alias("results"))).alias("payload"))
+    return tagged.openalex(pages, "page", "payload").select("record_id", "title", "container", "year", "doi", F.size("authors").cast("long").alias("authors"), F.get("languages", F.lit(0)).alias("language"))
+
+
+@query("SELECT 'crossref-' || doi AS record_id, title, container, year, len(authors) AS authors FROM records WHERE doi IS NOT NULL", RECORDS)
+def src_crossref(spark, sf_dir):
+    from .sources import tagged
+
+    item = F.struct(F.col("doi").alias("DOI"), F.lit("journal-article").alias("type"), F.array("title").alias("title"), F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("author"), F.array("container").alias("container-title"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("issued"))
+    pages = _page(D.records(spark, sf_dir).where("doi IS NOT NULL"), item).select("page", F.to_json(F.struct(F.struct("items").alias("message"))).alias("payload"))
+    return tagged.crossref(pages, "page", "payload").select("record_id", "title", "container", "year", F.size("authors").cast("long").alias("authors"))
+
+
+@query("SELECT 'pubmed-' || n AS record_id, title, container, year, doi, len(authors) AS authors FROM records", RECORDS)
+def src_pubmed(spark, sf_dir):
+    from .sources import tagged
+
+    uid = F.col("n").cast("string")
+    ids = F.array(F.struct(F.lit("pubmed").alias("idtype"), uid.alias("value")), F.struct(F.lit("doi").alias("idtype"), F.col("doi").alias("value")))
+    item = F.struct("title", F.col("container").alias("fulljournalname"), F.concat(F.col("year").cast("string"), F.lit(" Jan")).alias("pubdate"), F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("authors"), ids.alias("articleids"))
+    got = D.records(spark, sf_dir).select("n", uid.alias("uid"), F.to_json(item).alias("item")).groupBy(F.floor(F.col("n") / 25).alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", "uid", "item"))).alias("x"))
+    uids = F.array_join(F.transform("x", lambda x: F.concat(F.lit('"'), x["uid"], F.lit('"'))), ",")
+    items = F.array_join(F.transform("x", lambda x: F.concat(F.lit('"'), x["uid"], F.lit('":'), x["item"])), ",")
+    pages = got.select("page", F.concat(F.lit('{"result":{"uids":['), uids, F.lit("],"), items, F.lit("}}")).alias("payload"))
+    return tagged.pubmed(pages, "page", "payload").select("record_id", "title", "container", "year", "doi", F.size("authors").cast("long").alias("authors"))
+
+
+@query(
+    """SELECT provider, page, records, least(records, 120 - before) AS taken FROM (SELECT *, coalesce(sum(records) OVER (PARTITION BY provider ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT l_suppkey AS provider, l_linenumber AS page, count(*) AS records FROM lineitem GROUP BY ALL)) WHERE page <= 5 AND before < 120""")
+def src_bounded_paging(spark, sf_dir):
+    from .sources import tagged
+
+    pages = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("provider"), F.col("l_linenumber").alias("page")).agg(F.count("*").alias("records"))
+    return tagged.bounded(pages, "provider", "page", "records", 5, 120)
+
+
+# --- search strategies
+def _strategy():
+    from .plans.search import And, Near, Not, Or, Strategy, Term
+
+    tree = And((Or((Term("the", ("title_abstract",)), Term("que", ("abstract",)))), Not(Near(Term("th", ("abstract",), truncation=True), Term("the", ("abstract",)), 3), Term("src1", ("keyword",)))))
+    return Strategy("s1", "pubmed", tree, from_year=1995, languages=("en", "fr"))
+
+
+WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: t <> '')"
+MATCH = f"""w AS (SELECT record_id, year, language, {WORDS_SQL.format(x='title')} AS tw, {WORDS_SQL.format(x='abstract')} AS aw, {WORDS_SQL.format(x="array_to_string(subjects, ' ')")} AS sw FROM records),
+m AS (SELECT record_id, list_contains(tw, 'the') OR list_contains(aw, 'the') OR list_contains(aw, 'que') AS a, list_contains(sw, 'src1') AS c,
+    len(list_filter(range(1, len(aw) + 1), lambda i: starts_with(aw[i], 'th') AND (list_contains(aw[greatest(i - 3, 1):i - 1], 'the') OR list_contains(aw[i + 1:i + 3], 'the')))) > 0 AS b FROM w WHERE year >= 1995 AND language IN ('en', 'fr'))"""
+
+
+@query("SELECT record_id FROM m WHERE a AND b AND NOT c", RECORDS, MATCH)
+def match_records(spark, sf_dir):
+    from .plans.search import match_records
+
+    return match_records(D.records(spark, sf_dir), _strategy()).select("record_id")
+
+
+@query("SELECT doc_id, line, start_byte, end_byte FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS c, unnest(list_transform(range(0, len(p)), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: strlen(x) + 1)), 0))) AS start_byte, start_byte + strlen(c) AS end_byte FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(c) <> ''")
+def src_native_lines(spark, sf_dir):
+    from .plans.search import native_lines
+
+    return native_lines(D.table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line", "start_byte", "end_byte")
+
+
+@query()
+def compile_strategies(spark, sf_dir):
+    """One strategy per part and dialect: its title words, in the part's type as heading, rendered for every dialect."""
+    from .plans.search import DIALECTS, And, Near, Strategy, Term, compile_strategy
+
+    def rendered(batches):
+        for pdf in batches:
+            out = []
+            for key, name, kind, size in pdf.itertuples(index=False):
+                first, last = name.split()[0], name.split()[-1]
+                tree = And((Near(Term(first, ("title",)), Term(last, ("title_abstract",), truncation=True), size % 5 + 1, size % 2 == 0), Term(kind, vocabulary="mesh", explode=size % 3 == 0)))
+                for d in DIALECTS:
+                    c = compile_strategy(Strategy(str(key), "pubmed", tree, from_year=1900 + size), d)
+                    out.append((key, d, c.query, c.fidelity, ",".join(c.warnings)))
+            yield type(pdf)(out, columns=["p_partkey", "dialect", "query", "fidelity", "warnings"])
+
+    parts = D.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", F.col("p_size").cast("int"))
+    return parts.mapInPandas(rendered, "p_partkey long, dialect string, query string, fidelity string, warnings string")
