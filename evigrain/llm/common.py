@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +71,18 @@ def rest_ddl(rows: DataFrame) -> str:
 
 def uncarried(rows: DataFrame, carry, *columns) -> DataFrame:
     return rows.select(*columns, *(F.col(f"rest.`{c}`").alias(c) for c in carry))
+
+
+def tile_labels(same: np.ndarray, v: np.ndarray, h: np.ndarray):
+    """(node, label): for each row id v and column id h of a Boolean link matrix the smallest id linked with it, where it has a link."""
+    big = np.iinfo(np.int64).max
+    rows, columns = np.flatnonzero(same.any(axis=1)), np.flatnonzero(same.any(axis=0))
+    same, v, h = same[np.ix_(rows, columns)], v[rows], h[columns]
+    node = np.concatenate((v, h))
+    while len(node):
+        h2 = np.minimum(h, np.where(same, v[:, None], big).min(axis=0))
+        v2 = np.minimum(v, np.where(same, h2[None, :], big).min(axis=1))
+        if (h2 == h).all() and (v2 == v).all():
+            break
+        v, h = v2, h2
+    return node, np.concatenate((v, h))

@@ -19,7 +19,10 @@ smallest doc_id its links reach. The steps:
    two of which fall in the same of CLASSES hash classes, so the keys are pairs of
    frequent shingles of one class. Sets too small for that use single shingles.
 5. Components of step 3 that share a key are compared, document by document, in tiles of
-   bounded size, and the links found join them.
+   bounded size, and the links found join them. A key with up to ``CROWD`` components gives
+   their pairs. The components of a more crowded key, and of others connected with it by
+   such keys, form a cluster instead, all of whose documents are compared in tiles, so that
+   no list of pairs grows with the square of a group.
 
 Shingle identity: 48 bits and the bucket when counting, 48 bits when verifying.
 
@@ -37,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
-from .common import components, materialise, parts
+from .common import components, materialise, parts, tile_labels
 from .window_dedup import NO_ID, PACKED, PACKED_ARROW, bucket_of, ids, pack, pack_all, packed_rows, to_batch, unpack
 
 FREQUENT = 64
 CLASSES = 16
 KEYS = 4
-TILE = 256
+TILE = 512
+CROWD = 16
 #: Sets below SMALL index single shingles only; those up to what can link with them do both.
 SMALL = 23
 
@@ -86,21 +90,31 @@ def tokens_of(b: bytes) -> np.ndarray:
 
 
 def compare(homes: list[tuple], visitors: list[tuple], percent: int):
-    """(visitor, home) for each visitor and one home it links with; rows are (doc, n, tokens)."""
-    sizes = np.array([h[1] for h in homes])
+    """(node, label) for the documents linked in a tile; rows are (doc, n, tokens)."""
     sets = [tokens_of(h[2]) for h in homes]
-    vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
-    grid = np.zeros((len(homes), len(vocabulary)), np.uint8)
-    grid[np.repeat(np.arange(len(homes)), [len(s) for s in sets]), code] = 1
-    grid = np.ascontiguousarray(grid.T)
-    for doc, n, body in visitors:
-        mine = tokens_of(body)
-        place = np.minimum(np.searchsorted(vocabulary, mine), len(vocabulary) - 1)
-        inter = grid[place[vocabulary[place] == mine]].sum(axis=0, dtype=np.int64)
-        if len(hit := np.flatnonzero(links(inter, n, sizes, percent))):
-            yield doc, homes[hit[0]][0]
-
-
+    lo = 0
+    while lo < len(homes):  # as many homes at once as keep the grid small
+        hi, total = lo + 1, len(sets[lo])
+        while hi < len(homes) and (hi + 1 - lo) * (total + len(sets[hi])) <= GRID:
+            total += len(sets[hi])
+            hi += 1
+        ids, sizes = (np.array([h[i] for h in homes[lo:hi]], np.int64) for i in (0, 1))
+        vocabulary, code = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
+        grid = np.zeros((len(vocabulary), hi - lo), np.uint8)
+        grid[code, np.repeat(np.arange(hi - lo), [len(s) for s in sets[lo:hi]])] = 1
+        same = np.zeros((len(visitors), hi - lo), bool)
+        for i, (doc, n, body) in enumerate(visitors):
+            mine = tokens_of(body)
+            place = np.minimum(np.searchsorted(vocabulary, mine), len(vocabulary) - 1)
+            inter = grid[place[vocabulary[place] == mine]].sum(axis=0, dtype=np.int64)
+            same[i] = links(inter, n, sizes, percent) & (ids != doc)
+        node, label = tile_labels(same, np.array([v[0] for v in visitors], np.int64), ids)
+        keep = node != label
+        yield from zip(node[keep].tolist(), label[keep].tolist(), strict=True)
+        lo = hi
+
+
+GRID = 64 << 20
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -203,13 +217,16 @@ def index_keys(n: int, rare: int, mine: np.ndarray, percent: int) -> np.ndarray:
 
 
 def contacts(active: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of components with a common index key. ``active`` has a column component."""
+    """(a, b, crowded): pairs of components with a common index key, or edges within the components of crowded keys.
+
+    ``active`` has a column component.
+    """
     buckets = parts(active.sparkSession)
 
     def indexed(batches):
         def pieces():
             for batch in batches:
-                comp, keys = [], []
+                comp, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for c, n, rare, body in zip(*(batch.column(x).to_pylist() for x in ("component", "n", "rare", "tokens")), strict=True):
                     got = t.mix(index_keys(n, rare, tokens_of(body), percent))
                     keys.append(got)
@@ -228,55 +245,80 @@ def contacts(active: DataFrame, percent: int) -> DataFrame:
         comp, h = comp[order], h[order]
         new = np.concatenate(([True], (comp[1:] != comp[:-1]) | (h[1:] != h[:-1])))[: len(comp)]
         comp, h = comp[new], h[new]
-        seen = []
-        for d in range(1, len(comp)):
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
+        size = np.diff(np.append(head, len(h)))
+        size, lowest = np.repeat(size, size), np.repeat(comp[head], size)
+        crowd = size > CROWD
+        found = [(*stars(comp[crowd], lowest[crowd]), True)]
+        comp, h = comp[~crowd], h[~crowd]
+        pairs = [np.zeros((0, 2), np.int64)]
+        for d in range(1, CROWD):
             same = h[d:] == h[:-d]
-            if not same.any():
-                break
-            seen.append(np.unique(np.stack((comp[:-d][same], comp[d:][same]), axis=1), axis=0))
-            if sum(map(len, seen)) > 1 << 21:
-                seen = [np.unique(np.concatenate(seen), axis=0)]
-        if seen:
-            pairs = np.unique(np.concatenate(seen), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIR)
-
-    found = active.mapInArrow(indexed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(met, "a long, b long")
-    return found.distinct()
+            pairs.append(np.unique(np.stack((comp[:-d][same], comp[d:][same]), axis=1), axis=0))
+        found.append((*np.unique(np.concatenate(pairs), axis=0).T, False))
+        for a, b, crowded in found:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([crowded] * len(a), pa.bool_())], names=["a", "b", "crowded"])
+
+    return active.mapInArrow(indexed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(met, "a long, b long, crowded boolean").distinct()
+
+
+def stars(a: np.ndarray, b: np.ndarray):
+    """The edges (a, b), reduced to one per node other than the smallest of its component."""
+    nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(nodes))
+    return nodes[label[keep]], nodes[keep]
 
 
-def tile_links(active: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links between the documents of each pair (a, b) of components, one per visitor and tile at least where there are any."""
+def tile_links(active: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the documents linked between components that met."""
+    cluster = materialise(components(met.where("crowded")).select(F.col("node").alias("c"), F.col("component").alias("cluster")))
+    of = lambda side: cluster.select(F.col("c").alias(side), F.col("cluster").alias(f"{side}_in"))
+    pairs = met.where("NOT crowded").join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_in IS NULL OR b_in IS NULL OR a_in != b_in")
     size = active.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("k"))
     sized = pairs.join(size.select(F.col("c").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("c").alias("b"), F.col("k").alias("kb")), "b")
     swap = F.col("kb") > F.col("ka")
     sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("home"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("component"), F.greatest("ka", "kb").alias("k"))
     tiles = F.ceil(F.col("k") / TILE).cast("int")
-    row = ["home", "tile", "visits", "doc", "n", "tokens"]
+    row = ["cluster", "home", "tile", "visits", "doc", "n", "tokens"]
+    here = F.pmod(F.xxhash64("doc"), tiles).cast("int")
+    everywhere = F.explode(F.sequence(F.lit(0), tiles - 1))
     homes = active.join(sized.groupBy("home").agg(F.max("k").alias("k")), F.col("component") == F.col("home"))
-    homes = homes.withColumns({"tile": F.pmod(F.xxhash64("doc"), tiles).cast("int"), "visits": F.lit(0)}).select(*row)
-    visitors = active.join(sized, "component").withColumns({"tile": F.explode(F.sequence(F.lit(0), tiles - 1)), "visits": F.lit(1)}).select(*row)
+    homes = homes.withColumns({"cluster": F.lit(0), "tile": here, "visits": F.lit(0)}).select(*row)
+    visitors = active.join(sized, "component").withColumns({"cluster": F.lit(0), "tile": everywhere, "visits": F.lit(1)}).select(*row)
+    k = cluster.join(size, "c").groupBy("cluster").agg(F.sum("k").alias("k"))
+    crowd = active.join(cluster.join(k, "cluster").select(F.col("c").alias("component"), F.col("cluster").alias("home"), "k"), "component").withColumn("cluster", F.lit(1))
+    both = homes.unionByName(visitors)
+    both = both.unionByName(crowd.withColumns({"tile": here, "visits": F.lit(0)}).select(*row))
+    both = both.unionByName(crowd.withColumns({"tile": everywhere, "visits": F.lit(1)}).select(*row))
 
     def compared(batches):
         key, homes, visitors = None, [], []
-
-        def done():
-            if homes and visitors:
-                yield from compare(homes, visitors, percent)
-
         for batch in batches:
             out = []
-            for home, tile, visits, doc, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (home, tile) != key or len(visitors) >= TILE:
-                    out += done()
-                    homes, visitors = homes if (home, tile) == key else [], []
-                    key = (home, tile)
+            for *place, visits, doc, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != key or len(visitors) >= TILE:
+                    if homes and visitors:
+                        out += compare(homes, visitors, percent)
+                    homes, visitors = homes if place == key else [], []
+                    key = place
                 (visitors if visits else homes).append((doc, n, body))
             if out:
                 yield to_batch(out, PAIR)
-        if out := list(done()):
+        if homes and visitors and (out := list(compare(homes, visitors, percent))):
             yield to_batch(out, PAIR)
 
-    both = homes.unionByName(visitors).repartition(parts(active.sparkSession), "home", "tile").sortWithinPartitions("home", "tile", "visits")
+    both = both.repartition(parts(active.sparkSession), "cluster", "home", "tile").sortWithinPartitions("cluster", "home", "tile", "visits")
     return both.mapInArrow(compared, "a long, b long")
 
 
@@ -301,7 +343,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = components(first).select(F.col("node").alias("doc"), "component")
     marked = materialise(active.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
     met = materialise(contacts(marked, percent))
-    label = components(first.unionByName(tile_links(marked, met, percent)))
+    label = components(first.unionByName(materialise(tile_links(marked, met, percent))))
     label = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc", "n").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias(doc_id), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
