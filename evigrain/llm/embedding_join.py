@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
-from .common import components, materialise, parts
+from .common import components, materialise, parts, tile_labels
 from .window_dedup import NO_ID
 
 PIVOTS = 4096
@@ -58,22 +58,12 @@ def tile_result(home_id, home_n, home_x, visit_id, visit_x, least: float):
     """(id, links, label): links counted for visitors, label the smallest id linked in this tile."""
     same = visit_x @ home_x.T >= least
     same &= visit_id[:, None] != home_id[None, :]
-    links = same @ home_n
     if not same.any():
         return None
-    big = np.iinfo(np.int64).max
-    v, h = visit_id.copy(), home_id.copy()
-    while True:
-        h2 = np.minimum(h, np.where(same, v[:, None], big).min(axis=0))
-        v2 = np.minimum(v, np.where(same, h2[None, :], big).min(axis=1))
-        if (h2 == h).all() and (v2 == v).all():
-            break
-        v, h = v2, h2
-    node = np.concatenate((visit_id, home_id))
-    count = np.concatenate((links, np.zeros(len(home_id), np.int64)))
-    label = np.concatenate((v, h))
-    keep = (count > 0) | (label != node)
-    return node[keep], count[keep], label[keep]
+    node, label = tile_labels(same, visit_id, home_id)
+    links = np.concatenate((same @ home_n, np.zeros(len(node), np.int64)))
+    keep = np.concatenate((links[: len(visit_id)] > 0, label != node))
+    return tuple(np.concatenate(x)[keep] for x in ((visit_id, node), (links[: len(visit_id)], links[len(visit_id) :]), (visit_id, label)))
 
 
 RESULT = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("label", pa.int64())])
