@@ -66,7 +66,7 @@ METADATA = "CASE WHEN doi IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN pmid IS NOT
 
 
 # --- duplicates
-@query("SELECT left_id, right_id, ['exact_doi', 'exact_pmid', 'exact_trial_registration'][p + 1] AS reason, 1.0 AS score, false AS review_required FROM exact", RECORDS, NORMAL, KEYS, EXACT)
+@query("SELECT left_id, right_id, ['exact_doi', 'exact_pmid', 'exact_trial_registration'][p + 1] AS reason, CAST(1.0 AS DOUBLE) AS score, false AS review_required FROM exact", RECORDS, NORMAL, KEYS, EXACT)
 def dedup_exact(spark, sf_dir):
     return dedup.exact_matches(D.records(spark, sf_dir))
 
@@ -77,7 +77,7 @@ def dedup_fuzzy(spark, sf_dir):
 
 
 @query(
-    """SELECT left_id, right_id, ['exact_doi', 'exact_pmid', 'exact_trial_registration'][p + 1] AS reason, 1.0 AS score, false AS review_required FROM exact UNION ALL
+    """SELECT left_id, right_id, ['exact_doi', 'exact_pmid', 'exact_trial_registration'][p + 1] AS reason, CAST(1.0 AS DOUBLE) AS score, false AS review_required FROM exact UNION ALL
 SELECT left_id, right_id, 'fuzzy_title_author_year', round(score, 10), true FROM fuzzy ANTI JOIN exact USING (left_id, right_id)""", RECORDS, NORMAL, KEYS, EXACT, TOKENS, FUZZY)
 def dedup_evidence(spark, sf_dir):
     return dedup.matches(D.records(spark, sf_dir)).withColumn("score", F.round("score", 10))
@@ -581,7 +581,7 @@ def src_pubmed(spark, sf_dir):
 
 
 @query(
-    """SELECT provider, page, records, least(records, 120 - before) AS taken FROM (SELECT *, coalesce(sum(records) OVER (PARTITION BY provider ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    """SELECT provider, page, records, CAST(least(records, 120 - before) AS BIGINT) AS taken FROM (SELECT *, coalesce(sum(records) OVER (PARTITION BY provider ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
     SELECT l_suppkey AS provider, l_linenumber AS page, count(*) AS records FROM lineitem GROUP BY ALL)) WHERE page <= 5 AND before < 120""")
 def src_bounded_paging(spark, sf_dir):
     from .sources import tagged
@@ -611,7 +611,7 @@ def match_records(spark, sf_dir):
     return match_records(D.records(spark, sf_dir), _strategy()).select("record_id")
 
 
-@query("SELECT doc_id, line, start_byte, end_byte FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS c, unnest(list_transform(range(0, len(p)), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: strlen(x) + 1)), 0))) AS start_byte, start_byte + strlen(c) AS end_byte FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(c) <> ''")
+@query("SELECT doc_id, line, CAST(start_byte AS BIGINT) AS start_byte, CAST(end_byte AS BIGINT) AS end_byte FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS c, unnest(list_transform(range(0, len(p)), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: strlen(x) + 1)), 0))) AS start_byte, start_byte + strlen(c) AS end_byte FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(c) <> ''")
 def src_native_lines(spark, sf_dir):
     from .plans.search import native_lines
 
