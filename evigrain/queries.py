@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, dedup, living, policy, prisma, ranking, screening
+from .operators import audit, dedup, living, policy, prisma, ranking, screening, study
 from .plans import derive as D
 from .sinks import export
 
@@ -22,7 +22,9 @@ def query(sql: str | None = None, *ctes: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = (("WITH RECURSIVE " if "RECURSIVE" in "".join(ctes) + sql[:0] else "WITH ") + ",\n".join(c.removeprefix("RECURSIVE ") for c in ctes) + "\n" if ctes else "") + sql
+            recursive = "RECURSIVE " if any(c.startswith("RECURSIVE ") for c in ctes) else ""
+            named = ",\n".join(c.removeprefix("RECURSIVE ") for c in ctes)
+            ORACLE_SQL[f.__name__] = f"WITH {recursive}{named}\n{sql}" if ctes else sql
         return f
 
     return add
@@ -102,7 +104,7 @@ def representative(spark, sf_dir):
     return dedup.clusters(D.records(spark, sf_dir)).where("size > 1").select(F.col("representative").alias("record_id"), "size")
 
 
-KEYED_DOI = LOWER.format(x="trim(doi)").replace("translate", "translate")
+KEYED_DOI = LOWER.format(x="trim(doi)")
 for _p in T.KEYED_PREFIXES:
     KEYED_DOI = f"regexp_replace({KEYED_DOI}, '^{_p.replace('.', chr(92) + '.')}', '')"
 KEYED = f"""keyed AS (
@@ -636,3 +638,147 @@ def compile_strategies(spark, sf_dir):
 
     parts = D.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", F.col("p_size").cast("int"))
     return parts.mapInPandas(rendered, "p_partkey long, dialect string, query string, fidelity string, warnings string")
+
+
+# --- study graphs, gates and evidence tables
+
+
+def _graph(spark, sf_dir):
+    """Reports are parts, studies suppliers, links line items with odd ends."""
+    reports = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("report_id"))
+    studies = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("study_id"))
+    t = D.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    links = t.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("link_id"), (F.col("l_partkey") + F.when(F.col("l_orderkey") % 50 == 0, 10_000_000).otherwise(0)).alias("report_id"), (F.col("l_suppkey") + F.when(F.col("l_orderkey") % 70 == 0, 10_000_000).otherwise(0)).alias("study_id"))
+    return reports, studies, links
+
+
+GRAPH = """links AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS link_id, l_partkey + CASE WHEN l_orderkey % 50 = 0 THEN 10000000 ELSE 0 END AS report_id,
+    l_suppkey + CASE WHEN l_orderkey % 70 = 0 THEN 10000000 ELSE 0 END AS study_id FROM lineitem WHERE l_linenumber = 1)"""
+
+
+@query("SELECT link_id, 'report_id' AS \"end\" FROM links WHERE report_id NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT link_id, 'study_id' FROM links WHERE study_id NOT IN (SELECT s_suppkey FROM supplier)", GRAPH)
+def graph_ref_integrity(spark, sf_dir):
+    reports, studies, links = _graph(spark, sf_dir)
+    return study.dangling_links(links, reports, studies)
+
+
+@query("SELECT p_partkey AS report_id FROM part WHERE p_partkey NOT IN (SELECT report_id FROM links)", GRAPH)
+def unlinked_reports(spark, sf_dir):
+    reports, _, links = _graph(spark, sf_dir)
+    return study.unlinked_reports(reports, links)
+
+
+@query("SELECT s_suppkey AS study_id, count(DISTINCT report_id) AS reports FROM supplier LEFT JOIN links ON study_id = s_suppkey GROUP BY s_suppkey", GRAPH)
+def reports_per_study(spark, sf_dir):
+    _, studies, links = _graph(spark, sf_dir)
+    return study.reports_per_study(studies, links)
+
+
+@query("SELECT p_partkey AS report_id, coalesce(o, 'not_attempted') AS outcome FROM part LEFT JOIN (SELECT l_partkey, max_by(l_returnflag, l_orderkey * 10 + l_linenumber) AS o FROM (SELECT l_partkey, l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL) GROUP BY l_partkey) ON l_partkey = p_partkey")
+def retrieval_latest(spark, sf_dir):
+    t = D.table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_partkey").alias("report_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("turn")).agg(F.min("l_returnflag").alias("outcome"))
+    return study.latest_attempt(_graph(spark, sf_dir)[0], t)
+
+
+SEEDS = """seeds AS (SELECT DISTINCT o_custkey % 20 AS strategy, o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0), got AS (SELECT DISTINCT o_custkey % 20 AS strategy, o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0),
+recalls AS (SELECT strategy, count(*) AS total, count(g.k) AS found, count(g.k) / count(*) AS recall FROM seeds LEFT JOIN got g USING (strategy, k) GROUP BY strategy)"""
+
+
+def _recall(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("strategy"), F.col("o_orderkey").alias("k"))
+    return study.seed_recall(o.where("k % 3 = 0"), o.where("k % 7 != 0"), "strategy", "k")
+
+
+@query("SELECT * FROM recalls", SEEDS)
+def seed_recall(spark, sf_dir):
+    return _recall(spark, sf_dir)
+
+
+@query("SELECT strategy, coalesce(u, 0) AS unresolved, recall, coalesce(u, 0) = 0 AND recall >= 0.85 AS ready FROM recalls LEFT JOIN (SELECT o_custkey % 20 AS strategy, count(*) FILTER (o_orderstatus <> 'F' AND o_totalprice > 499000) AS u FROM orders GROUP BY ALL) USING (strategy)", SEEDS)
+def search_validation(spark, sf_dir):
+    findings = D.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("strategy"), (F.col("o_orderstatus") == "F").alias("resolved"), F.when(F.col("o_totalprice") > 499000, "major").otherwise("minor").alias("severity"))
+    return study.validation_ready(findings, _recall(spark, sf_dir), "strategy", 0.85)
+
+
+@query("SELECT b.event_type AS name, round(b.v - c.v, 9) AS drop, coalesce(b.v - c.v <= 0.5, false) AS passed FROM (SELECT event_type, round(avg(value), 6) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL) b LEFT JOIN (SELECT event_type, round(avg(value), 6) AS v FROM events WHERE event_id % 2 = 1 GROUP BY ALL) c USING (event_type)")
+def regression_gate(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events")
+    side = lambda r: e.where(f"event_id % 2 = {r}").groupBy(F.col("event_type").alias("name")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return study.regressions(side(0), side(1), 0.5)
+
+
+@query("SELECT * FROM (SELECT doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'undeclared' WHEN doc_id % 19 = 0 THEN 'changed' ELSE 'same' END AS state FROM documents WHERE NOT (doc_id % 13 = 0 AND doc_id % 17 = 0))")
+def bundle_members(spark, sf_dir):
+    d = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("digest"))
+    return study.members(d.where("path % 17 != 0"), d.where("path % 13 != 0").withColumn("digest", F.when(F.col("path") % 19 == 0, F.lit("other")).otherwise(F.col("digest"))))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS k, o_orderdate >= TIMESTAMP '1995-01-01' AND (o_custkey % 3 = 0 OR o_orderdate < TIMESTAMP '1998-01-01') AND c_custkey IS NOT NULL AS valid FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 5 <> 0")
+def validity_interval(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("d"))
+    until = F.when(F.col("c_custkey") % 3 != 0, F.lit("1998-01-01").cast("timestamp_ntz"))
+    periods = D.table(spark, sf_dir, "customer").where("c_custkey % 5 != 0").select(F.col("c_custkey").alias("k"), F.lit("1995-01-01").cast("timestamp_ntz").alias("start"), until.alias("end"))
+    return study.valid_on(rows, periods, "k", "d").select("id", "k", "valid")
+
+
+@query("SELECT event_id, event_type AS code, CASE event_type WHEN 'error' THEN 'Something failed' WHEN 'view' THEN 'Seen' ELSE event_type END AS message FROM events")
+def localise(spark, sf_dir):
+    catalogue = spark.createDataFrame([("error", "Something failed"), ("view", "Seen")], "code string, message string")
+    return study.localise(D.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("code")), catalogue).select("event_id", "code", "message")
+
+
+@query("SELECT user_id, CASE WHEN bool_and(value > 3) THEN 'replay' WHEN bool_or(value > 3) THEN 'mixed-live-replay' ELSE 'live' END AS mode FROM events GROUP BY user_id")
+def execution_mode(spark, sf_dir):
+    return study.execution_mode(D.table(spark, sf_dir, "events").select("user_id", (F.col("value") > 3).alias("cached")), "user_id")
+
+
+@query("SELECT c_nationkey, count(*) FILTER (c_acctbal < -900) = 0 AS ready, coalesce(string_agg(c_name, ',' ORDER BY c_name) FILTER (c_acctbal < -900), '') AS unhealthy, coalesce(string_agg(c_name, ',' ORDER BY c_name) FILTER (c_acctbal BETWEEN -900 AND -500), '') AS degraded FROM customer GROUP BY c_nationkey")
+def readiness(spark, sf_dir):
+    state = F.when(F.col("c_acctbal") < -900, "unhealthy").when(F.col("c_acctbal") <= -500, "degraded").otherwise("healthy")
+    return study.readiness(D.table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_name").alias("component"), state.alias("state")), "c_nationkey")
+
+
+@query(
+    """SELECT request_id, reason IS NULL AS allowed, reason FROM (SELECT event_id AS request_id, CASE WHEN user_id % 6 NOT IN (0, 1, 2, 3) THEN 'tenant.denied' WHEN event_type = 'error' THEN 'scope.missing:admin+audit' WHEN event_type = 'signup' THEN 'scope.missing:admin'
+    WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'write.human_required' WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'final.human_required' END AS reason FROM events)""")
+def access_authorise(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events")
+    needed = F.when(F.col("event_type") == "error", F.array(F.lit("audit"), F.lit("admin"))).when(F.col("event_type") == "signup", F.array(F.lit("admin"), F.lit("read"))).otherwise(F.array(F.lit("read")))
+    requests = e.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 6).alias("tenant"), needed.alias("needed"), (F.col("event_type") == "purchase").alias("write"), (F.col("event_type") == "click").alias("final"), F.when(F.col("event_id") % 4 == 0, "agent").otherwise("human").alias("actor_kind"))
+    return study.authorise(requests, F.array(F.lit("read"), F.lit("write")), F.array(*(F.lit(i).cast("long") for i in range(4))))
+
+
+@query("SELECT l_partkey AS id, min(l_orderkey * 10 + l_linenumber) AS turn FROM lineitem GROUP BY l_partkey")
+def set_distinct_first(spark, sf_dir):
+    t = D.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("turn"), "l_shipdate")
+    return study.first_entities(t, "id", "turn").select("id", "turn")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
+def tombstone_view(spark, sf_dir):
+    gone = D.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return study.live_objects(D.table(spark, sf_dir, "part"), gone, "p_partkey").select("p_partkey", "p_name")
+
+
+MERKLE = """RECURSIVE leaf AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, sha256(o_orderstatus || o_orderkey) AS h FROM orders),
+tree AS (SELECT g, 0 AS depth, list(h ORDER BY i) AS hs, count(*) AS leaves FROM leaf GROUP BY g UNION ALL
+    SELECT g, depth + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], hs[2 * i + 1]))), leaves FROM tree WHERE len(hs) > 1)"""
+
+
+@query("SELECT g AS o_custkey, leaves, hs[1] AS root FROM tree WHERE len(hs) = 1", MERKLE)
+def merkle_root(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").withColumn("leaf", F.concat("o_orderstatus", F.col("o_orderkey").cast("string")))
+    return study.merkle_roots(o, "o_custkey", "o_orderkey", "leaf")
+
+
+@query("SELECT doc_id, CASE WHEN n = '' THEN 'missing' WHEN n IN ('none', 'not applicable') THEN 'not_applicable' ELSE 'complete' END AS status FROM (SELECT doc_id, coalesce(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'none' WHEN 2 THEN 'not applicable' WHEN 3 THEN lower(trim(source)) END, '') AS n FROM documents)")
+def prisma_s_ledger(spark, sf_dir):
+    note = F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 5 == 1, " None").when(F.col("doc_id") % 5 == 2, "Not Applicable").when(F.col("doc_id") % 5 == 3, F.col("source"))
+    return D.table(spark, sf_dir, "documents").select("doc_id", prisma.ledger_status(note).alias("status"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN NOT u AND p IS NOT NULL THEN 'unexpected_update_lineage' WHEN u AND p IS NULL THEN 'missing_update_lineage' WHEN u AND p = o_orderkey THEN 'self_referential_update_lineage' END AS violation FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AS u, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN o_orderkey % 3 = 1 THEN o_orderkey - 1 END AS p FROM orders)")
+def prisma_variant(spark, sf_dir):
+    k = F.col("o_orderkey")
+    prior = F.when(k % 3 == 0, k).when(k % 3 == 1, k - 1).cast("string")
+    return D.table(spark, sf_dir, "orders").select(k.alias("id"), prisma.variant_violation(k % 2 == 0, prior, k.cast("string")).alias("violation"))
