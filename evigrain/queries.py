@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, dedup, living, policy, prisma, ranking, screening, study
+from .operators import audit, dedup, living, policy, prisma, ranking, screening, study, validators
 from .plans import derive as D
 from .sinks import export
 
@@ -782,3 +782,76 @@ def prisma_variant(spark, sf_dir):
     k = F.col("o_orderkey")
     prior = F.when(k % 3 == 0, k).when(k % 3 == 1, k - 1).cast("string")
     return D.table(spark, sf_dir, "orders").select(k.alias("id"), prisma.variant_violation(k % 2 == 0, prior, k.cast("string")).alias("violation"))
+
+
+# --- contract validators: each over rows that a table gives by plain expressions, which both engines read alike
+CONTRACT_ROWS: dict[str, tuple[str, str, dict[str, str]]] = {
+    "policy": ("customer", "c_custkey", {"budget": "c_custkey % 9 - 1", "total_budget": "c_custkey % 7", "cache": "c_custkey % 2 = 0", "replay": "c_custkey % 3 = 0", "retries": "c_custkey % 5 - 1"}),
+    "page": ("orders", "o_orderkey", {"cursor_text": "CASE WHEN o_orderkey % 4 = 0 THEN ' ' WHEN o_orderkey % 4 = 1 THEN 'c' END", "records": "o_custkey % 30", "page_size": "o_orderkey % 40", "total_available": "o_orderkey % 50"}),
+    "receipt": ("part", "p_partkey", {"written": "p_size", "rejected": "p_partkey % 3", "received": "p_size + p_partkey % 4", "digest": "sha2hex", "pages": "p_partkey % 5"}),
+    "living_run": ("orders", "o_orderkey", {"completed": "o_orderstatus = 'F'", "status": "CASE WHEN o_orderkey % 5 < 3 THEN 'completed' ELSE 'running' END", "parent_id": "CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey ELSE o_orderkey - 1 END", "run_id": "o_orderkey", "changes": "o_custkey % 3", "released": "o_orderkey % 2 = 0"}),
+    "discovery_run": ("orders", "o_orderkey", {"maximum_depth": "o_orderkey % 4", "maximum_records": "o_custkey % 5", "source": "o_custkey % 20", "target": "o_orderkey % 20", "human_release": "o_orderkey % 9 <> 0"}),
+    "calibration": ("supplier", "s_suppkey", {"threshold": "s_acctbal / 8000", "approved": "s_suppkey % 2 = 0", "approver": "CASE WHEN s_suppkey % 3 = 0 THEN s_name END", "sensitivity": "s_suppkey % 10", "minimum": "5", "auto_exclusion_prohibited": "s_suppkey % 7 <> 0"}),
+    "benchmark_report": ("events", "event_id", {"low": "event_id % 10", "high": "event_id % 12", "n": "event_id % 4"}),
+    "envelope": ("customer", "c_custkey", {"network": "c_custkey % 2 = 0", "hosts": "c_custkey % 3", "approver": "CASE WHEN c_custkey % 5 > 1 THEN c_name END"}),
+    "document_evidence": ("documents", "doc_id", {"start_at": "doc_id % 700", "end_at": "doc_id % 900", "size": "n_chars", "confidence": "(doc_id % 13) - 1", "canonical_write": "doc_id % 17 = 0"}),
+    "diagnostic": ("part", "p_partkey", {"code": "replace(p_name, ' ', CASE WHEN p_partkey % 3 = 0 THEN '..' ELSE '.' END)", "column_no": "CASE WHEN p_partkey % 4 = 0 THEN 3 END", "line_no": "CASE WHEN p_partkey % 5 > 1 THEN p_partkey % 5 - 2 END", "blocking": "p_size > 25", "severity": "CASE WHEN p_size > 30 THEN 'error' ELSE 'warning' END"}),
+    "governance_policy": ("supplier", "s_suppkey", {"retention_days": "s_suppkey % 30", "region": "CASE WHEN s_suppkey % 3 = 0 THEN 'eu' ELSE 'EU' END", "permitted": "s_suppkey % 4 = 0", "blockers": "s_suppkey % 3"}),
+    "lifecycle_request": ("lineitem", "l_orderkey", {"preview": "l_linestatus = 'F'", "approval": "CASE WHEN l_linenumber > 3 THEN l_partkey END", "action": "CASE l_returnflag WHEN 'A' THEN 'delete' WHEN 'N' THEN 'export' ELSE 'retain' END", "retention": "CASE WHEN l_suppkey % 2 = 0 THEN 30 END", "targets": "l_quantity % 4"}),
+    "licensed": ("pages", "page_id", {"host": "regexp_host", "raw_persisted": "page_id % 11 = 0", "env": "CASE WHEN page_id % 5 = 0 THEN 'api_key' ELSE 'API_KEY' END"}),
+    "component": ("part", "p_partkey", {"digest": "sha2hex", "memory": "p_size - 2", "hosts": "p_partkey % 3", "network": "p_partkey % 2 = 0"}),
+    "amendment": ("orders", "o_orderkey", {"new_version": "o_orderkey % 3", "old_version": "o_custkey % 3", "decided": "o_orderstatus = 'F'", "decider": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END"}),
+    "standard_assessment": ("lineitem", "l_orderkey", {"state": "CASE l_returnflag WHEN 'A' THEN 'met' WHEN 'N' THEN 'partial' ELSE 'not_applicable' END", "evidence": "l_linenumber % 3", "note": "CASE WHEN l_partkey % 6 = 0 THEN '  ' ELSE 'x' END"}),
+    "named_filter": ("orders", "o_orderkey", {"effective": "o_orderkey % 100", "expires": "o_custkey % 150", "redistribution": "o_orderkey % 8 <> 0", "today": "60"}),
+    "plan": ("customer", "c_custkey", {"sources": "c_custkey % 4", "peer_review": "c_custkey % 3 <> 0"}),
+    "parity": ("supplier", "s_suppkey", {"equivalent": "s_suppkey % 2 = 0", "approved": "s_suppkey % 3 = 0", "cutover": "s_suppkey % 5 = 0", "blockers": "s_suppkey % 4"}),
+    "backup": ("nation", "n_nationkey", {"encrypted": "n_nationkey % 3 <> 0", "permitted": "n_nationkey % 2 = 0", "restored_at": "CASE WHEN n_nationkey % 5 = 0 THEN n_name END"}),
+}
+#: The two expressions that the engines spell differently: Spark, DuckDB.
+SPELLED = {"sha2hex": ("CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE sha2(p_name, 256) END", "CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE sha256(p_name) END"), "regexp_host": (r"regexp_extract(url, '://([^/]*)', 1)", r"regexp_extract(url, '://([^/]*)', 1)")}
+
+
+def _add_validator(contract: str, source: str, key: str, columns: dict[str, str]) -> None:
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = D.table(spark, sf_dir, source).selectExpr("*", *(f"{SPELLED.get(x, (x,))[0]} AS {name}" for name, x in columns.items()))
+        return validators.violations(rows, key, contract)
+
+    shown = ", ".join(f"{SPELLED.get(x, (x, x))[1]} AS {name}" for name, x in columns.items())
+    QUERIES[f"val_{contract}"] = run
+    ORACLE_SQL[f"val_{contract}"] = validators.sql(contract, key, f"(SELECT *, {shown} FROM {source})")
+
+
+for _name, _spec in CONTRACT_ROWS.items():
+    _add_validator(_name, *_spec)
+
+
+# --- metrics of duplicate detection, replay keys and delivery chains
+@query(
+    """SELECT metric, value FROM (SELECT unnest(['tp', 'fp', 'fn']) AS metric, unnest([count(*) FILTER (e AND o), count(*) FILTER (o AND NOT e), count(*) FILTER (e AND NOT o)]) AS value FROM (
+    SELECT coalesce(x.e, false) AS e, coalesce(y.o, false) AS o FROM (SELECT a.record_id AS l, b.record_id AS r, true AS e FROM records a JOIN records b ON a.title = b.title AND a.record_id < b.record_id) x
+    FULL JOIN (SELECT left_id AS l, right_id AS r, true AS o FROM exact) y USING (l, r))) WHERE value > 0""", RECORDS, NORMAL, KEYS, EXACT)
+def metric_rows(spark, sf_dir):
+    r = D.records(spark, sf_dir)
+    expected = ranking.cluster_pairs(r.select(F.col("title"), "record_id"))
+    got = ranking.set_metrics(expected, dedup.exact_matches(r), ["left_id", "right_id"]).select("tp", "fp", "fn")
+    return got.unpivot([], ["tp", "fp", "fn"], "metric", "value").where("value > 0")
+
+
+@query("SELECT event_id, sha256(array_to_string(['search', CAST(user_id AS VARCHAR), event_type, payload], chr(0))) AS replay_key, count(*) OVER (PARTITION BY user_id, event_type, payload) > 1 AS shared FROM (SELECT *, props AS payload FROM events)")
+def src_page_cache(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events").select("event_id", F.sha2(F.concat_ws("\0", F.lit("search"), "user_id", "event_type", "props"), 256).alias("replay_key"))
+    cache = e.groupBy("replay_key").agg((F.count("*") > 1).alias("shared"))
+    return e.join(cache, "replay_key").select("event_id", "replay_key", "shared")
+
+
+@query("SELECT n_regionkey, count(*) - 1 AS steps, max(n_name) AS head FROM nation GROUP BY n_regionkey")
+def lifecycle_head(spark, sf_dir):
+    """The head of each region's chain of nations, each linked to the one before by name."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("n_regionkey").orderBy("n_name")
+    chain = D.table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("id"), F.lag("n_name").over(w).alias("previous"))
+    runs = living.lineage(chain.select(F.col("id").alias("run_id"), F.col("previous").alias("parent_id")), 64)
+    heads = chain.join(chain.select(F.col("previous").alias("id")).where("id IS NOT NULL"), "id", "left_anti")
+    return heads.join(runs, heads["id"] == runs["run_id"]).select("n_regionkey", F.col("ancestors").cast("long").alias("steps"), F.col("id").alias("head"))
