@@ -28,12 +28,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round gives a node the smallest label among its neighbours' and then that label's
     own label, so label chains halve. Rounds stop when no label changes.
     """
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    edges = cut(edges.select("a", "b").where("a != b").distinct())
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("jump"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
         new = cut(new.join(jump, "component").select("node", F.least("component", "jump").alias("component"), "old"))
         if new.where("component != old").isEmpty():
             return new.select("node", "component")
