@@ -36,7 +36,7 @@ from .common import materialise
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents to a hash bucket of one source, shards to a group; only sizes of tasks.
-BUCKET, GROUP = 20_000, 1024
+BUCKET, GROUP = 1000, 1024
 REPEATS = 3
 
 
