@@ -242,7 +242,8 @@ def find_repeats(rows: DataFrame, least: int = 400, gram: int = GRAM, hot: int =
     buckets = parts(rows.sparkSession)
     key = ["anchor", "h1", "h2"]
     places = rows.select("doc", "uid", "body").mapInArrow(cut, STRETCH_DDL)
-    again = places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # written, so that Spark can split the join at a very common anchor
+    again = materialise(places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     places = materialise(places.join(again, "anchor", "left_semi"))
     strings = places.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc", "uid", "start", "size")).alias("first"))
     several = materialise(strings.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("first.size").cast("long")).alias("total")).where("kinds > 1"))
