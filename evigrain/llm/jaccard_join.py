@@ -336,7 +336,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     sets = materialise(rows.mapInArrow(sized, "doc long, n long, s1 long, s2 long"))
     one = sets.groupBy("doc").agg(F.max_by(F.struct("n", "s1", "s2"), F.struct("n", "s1", "s2")).alias("s")).select("doc", "s.*").where("n > 0")
-    rep = one.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
+    # written, so that Spark can split the join at a very common set
+    rep = materialise(one.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")))
     member = one.join(rep, ["n", "s1", "s2"]).select("doc", "rep")
     active = materialise(active_sets(rows, rep.select(F.col("rep").alias("doc"), "n"), words, percent))
     first = materialise(first_links(active, percent))
