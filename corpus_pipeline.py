@@ -52,8 +52,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without the byte strings that occur again."""
     plain, names = numbered(docs)
-    got = suffix_dedup.remove_repeats(plain, names["doc_id"], names["text"], carry=others(names, "doc_id"))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(names["text"]))
+    plain = plain.withColumn("no_text", F.col(names["text"]).isNull())
+    got = suffix_dedup.remove_repeats(plain, names["doc_id"], names["text"], carry=(*others(names, "doc_id", "text"), "no_text"))
+    text = F.when(~F.col("no_text"), F.col("kept_text"))
     changed = {names["text"]: text}
     if "n_chars" in names:
         changed[names["n_chars"]] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"]))

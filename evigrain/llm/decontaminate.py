@@ -168,7 +168,8 @@ HITS_DDL = "n_words long, spans array<struct<start:long,end:long>>, items array<
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, spans: merged word intervals [start, end) inside occurrences, items: sorted ids as strings), and the columns in ``carry``."""
-    rows = carried(docs, carry, id=F.col(doc_id), key=F.xxhash64(doc_id, text), body=F.col(text))
+    apart = text not in carry  # a carried text is read where it is
+    rows = carried(docs, carry, id=F.col(doc_id), key=F.xxhash64(doc_id, text), **({"body": F.col(text)} if apart else {}))
 
     def looked_up(index: Index | None, only_hits: bool):
         sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -176,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         def run(batches):
             for batch in batches:
                 out, keep = [], []
-                for lo, hi, buf, offs in t.chunks(t.column(batch, "body")):
+                for lo, hi, buf, offs in t.chunks(t.column(batch, "body") if apart else t.column(batch, "rest").field(text)):
                     buf = t.LOWER[buf]
                     starts, ends, first = t.words(buf, offs, t.ALPHANUMERIC)
                     h = t.word_hashes(buf, starts, ends)

@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def fit(batches):
         rows = sorted(((t.mix(np.array([i], np.int64).view(np.uint64))[0], i, y, s) for b in batches for i, y, s in zip(*(b.column(c).to_pylist() for c in ("id", "label", "slots")), strict=True)), key=lambda r: r[:3])
-        model = ftrl.fit([(y, np.frombuffer(s, "<i4").astype(np.int64)) for _, _, y, s in rows])
+        model = ftrl.fit([(y, np.frombuffer(s, "<i4")) for _, _, y, s in rows])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.slots, -1)), pa.array(np.append(model.weights, model.bias))], schema=TRAINED)
 
     # at most max_rows ids, 12 bytes each
@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score) for each row, and the columns in ``carry``."""
-    rows = carried(docs, carry, id=F.col(doc_id), body=F.col(text))
+    apart = text not in carry  # a carried text is read where it is
+    rows = carried(docs, carry, id=F.col(doc_id), **({"body": F.col(text)} if apart else {}))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
@@ -137,7 +138,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         live = weight != 0
         for batch in batches:
             out = np.full(batch.num_rows, sent.value.bias)
-            for lo, hi, h, first, stems in hashed(t.column(batch, "body")):
+            for lo, hi, h, first, stems in hashed(t.column(batch, "body") if apart else t.column(batch, "rest").field(text)):
                 keys = [(which[live[slot]] << BITS) | slot[live[slot]] for which, slot in features(h, first, stems)]
                 if keys:
                     key = np.unique(np.concatenate(keys))

@@ -29,7 +29,7 @@ from . import text as t
 from .common import parts
 
 #: Windows that a task holds before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 NO_ID = -(1 << 63)
 
 
