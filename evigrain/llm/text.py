@@ -36,6 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
+#: Codes of a second hash, independent of the first.
+CHECK_CODES = mix(np.arange(257, 513, dtype=U64) * U64(BASE))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -101,8 +103,8 @@ def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray = NOT_SPACE):
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(BYTE_CODES[buf], starts, ends)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+    return range_hash(codes[buf], starts, ends)
 
 
 def window_starts(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,10 +5,13 @@ the hashes to shuffle partitions by hash and finds there each window that also s
 earlier. ``remove_windows`` merges these windows into maximal intervals per document.
 
 Only compact rows are shuffled: a task packs the windows that go to one bucket into one
-row (6 bytes of hash, 1 to 2 for the place), in flushes of bounded size. One window's
+row (9 bytes of hash, 1 to 2 for the place), in flushes of bounded size. One window's
 occurrences are a few bytes each, in sorted arrays, so a passage in a third of all
-documents stays far smaller than a bucket's share of all windows. The bucket comes from
-hash bits that the 6 bytes don't hold: the window's identity has 48 + log2(buckets) bits.
+documents stays far smaller than a bucket's share of all windows.
+
+A window's identity has 72 + log2(buckets) bits: all 64 of one hash, and of a second hash,
+over other codes of the bytes, one byte and the bucket, which comes from bits outside that
+byte. D distinct windows give about D^2 / (2^73 * buckets) false repeats in all.
 
 Defined cases: null or empty text, or fewer words than a window: nothing is removed. Rows
 with the same doc_id count as one document (identical places never count as earlier), and
@@ -31,6 +34,8 @@ from .common import parts
 #: Windows that a task holds before it sends them on.
 FLUSH = 1 << 20
 NO_ID = -(1 << 63)
+#: Bytes of a window's packed key.
+WIDE = 9
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -42,11 +47,26 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def hash_bytes(h: np.ndarray) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)
+
+
+def wide_key(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """WIDE bytes: h and the lowest byte of check."""
+    return np.concatenate((hash_bytes(h), hash_bytes(check)[:, :1]), axis=1)
+
+
 def pack(bucket: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray | None = None):
-    """One row (bucket, docs, runs, at, hash) for each bucket; entries keep their order. Without h, hash is empty."""
+    """One row (bucket, docs, runs, at, hash) for each bucket; entries keep their order.
+
+    h is 64-bit hashes, of which the upper 48 bits are kept, or rows of bytes, kept whole. Without h, hash is empty.
+    """
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     bucket, doc, at = bucket[order], doc[order], at[order]
-    key = np.zeros((len(doc), 0), np.uint8) if h is None else np.ascontiguousarray(h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
+    if h is None:
+        key = np.zeros((len(doc), 0), np.uint8)
+    else:
+        key = h[order] if h.ndim == 2 else np.ascontiguousarray(hash_bytes(h[order])[:, 2:])
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edges)):
         lo, hi = edges[k], edges[k + 1]
@@ -73,6 +93,13 @@ def unpack(rows: list[tuple[bytes, bytes, bytes, bytes]]):
     return tuple(np.concatenate(x) for x in (docs, ats, hashes))
 
 
+def unpack_wide(rows: list[tuple[bytes, bytes, bytes, bytes]]):
+    """doc, at, hash and check byte of all entries of some rows packed with wide_key."""
+    doc, at, _ = unpack([(*r[:3], b"") for r in rows])
+    keys = [np.frombuffer(r[3], np.uint8).reshape(-1, WIDE) for r in rows]
+    return doc, at, np.concatenate([np.ascontiguousarray(k[:, :8]).view("<u8").ravel() for k in keys]), np.concatenate([k[:, 8] for k in keys])
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
 
@@ -97,7 +124,7 @@ PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("
 
 
 def pack_all(pieces, buckets: int):
-    """Pack (doc, at, hash) pieces into record batches, a flush at a time."""
+    """Pack (doc, at, hash) or (doc, at, hash, check) pieces into record batches, a flush at a time."""
     held, n = [], 0
     for piece in pieces:
         held.append(piece)
@@ -110,7 +137,9 @@ def pack_all(pieces, buckets: int):
 
 
 def pack_held(held: list, buckets: int):
-    doc, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
+    doc, at, h, *check = (np.concatenate(x) for x in zip(*held, strict=True))
+    if check:
+        return pack(bucket_of(check[0], buckets), buckets, doc, at, wide_key(h, check[0]))
     return pack(bucket_of(h, buckets), buckets, doc, at, h)
 
 
@@ -126,19 +155,20 @@ def mark_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                     starts, ends, first = t.words(buf, offs)
                     at, which = t.window_starts(first, window)
                     if len(at):
-                        yield doc[lo + which], at - first[which], t.range_hash(t.word_hashes(buf, starts, ends), at, at + window)
+                        h, check = (t.range_hash(t.word_hashes(buf, starts, ends, codes), at, at + window) for codes in (t.BYTE_CODES, t.CHECK_CODES))
+                        yield doc[lo + which], at - first[which], h, check
 
         yield from pack_all(pieces(), buckets)
 
     def repeated(batches):
-        doc, at, h = unpack(packed_rows(batches))
+        doc, at, h, check = unpack_wide(packed_rows(batches))
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(h) else order
-        doc, at, h = doc[order], at[order], h[order]
-        order = np.lexsort((at, doc, h))
-        doc, at, h = doc[order], at[order], h[order]
-        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
+        doc, at, h, check = doc[order], at[order], h[order], check[order]
+        order = np.lexsort((at, doc, check, h))
+        doc, at, h, check = doc[order], at[order], h[order], check[order]
+        head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]))))[: len(h)]
         size = np.diff(np.append(head, len(h)))
         later = (doc != np.repeat(doc[head], size)) | (at != np.repeat(at[head], size))
         doc, at = doc[later], at[later]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evigrain.llm import chat_format, decontaminate, embedding_join, jaccard_join, mixing, quality, suffix_dedup, toxicity, url_rules, window_dedup
+from evigrain.llm import chat_format, decontaminate, embedding_join, jaccard_join, mixing, quality, suffix_dedup, text, toxicity, url_rules, window_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,6 +78,20 @@ def test_window_dedup_empty_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 30)]
 
 
+def test_window_dedup_tells_apart_windows_that_share_48_hash_bits(spark):
+    pair = "00a56d66", "01c12d33"
+    h = [int(text.range_hash(text.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([8])), np.array([0]), np.array([1]))[0]) for w in pair]
+    assert h[0] >> 16 == h[1] >> 16 and h[0] != h[1]
+    got = window_dedup.remove_windows(frame(spark, [(1, pair[0]), (2, pair[1]), (3, pair[1])]), window=1).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_window_dedup_equal_hash_but_other_check_byte():
+    h, check = np.full(3, 7, np.uint64), np.array([1, 2, 2], np.uint64)
+    rows = [r[1:] for r in window_dedup.pack_held([(np.arange(3), np.zeros(3, np.int64), h, check)], 1)]
+    assert [x.tolist() for x in window_dedup.unpack_wide(rows)] == [[0, 1, 2], [0, 0, 0], [7, 7, 7], [1, 2, 2]]
+
+
 def test_repeats_block():
     rng = random.Random(3)
     for _ in range(200):
