@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
+
+from ..llm.common import parts
 
 GENESIS = "GENESIS"
 
@@ -24,22 +28,31 @@ def body(event_id="event_id", event_type="event_type", payload="payload") -> Col
 def append_hashes(events: DataFrame) -> DataFrame:
     """events with previous_hash and event_hash, chained per review in order of seq.
 
-    A hash needs the one before it, so a review's events pass through one group in order;
-    reviews are independent.
+    A hash needs the one before it, so a review's events pass through one task in order;
+    a task holds one batch and one running hash, whatever a review's size.
     """
     rows = events.select("review_id", "seq", "event_id", "event_type", body().alias("body"))
+    schema = StructType(rows.schema.fields).add("previous_hash", StringType()).add("event_hash", StringType())
+    arrow = to_arrow_schema(schema)
+
+    def chain(batches):
+        review, last = None, GENESIS
+        for batch in batches:
+            before, now = [], []
+            for r, b in zip(batch.column("review_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if r != review:
+                    review, last = r, GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{last}\n{b}".encode()).hexdigest()
+                now.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(now, pa.string())], names=arrow.names)
+
+    return in_order(rows, "review_id", F.asc_nulls_last("seq")).mapInArrow(chain, schema)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        last, before, now = GENESIS, [], []
-        for b in pdf["body"]:
-            before.append(last)
-            last = hashlib.sha256(f"{last}\n{b}".encode()).hexdigest()
-            now.append(last)
-        return pdf.assign(previous_hash=before, event_hash=now)
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy("review_id").applyInPandas(chain, f"{kind}, previous_hash string, event_hash string")
+def in_order(rows: DataFrame, group: str, *by: Column) -> DataFrame:
+    """Each group whole in one partition, its rows in order; Spark sorts on disk."""
+    return rows.repartition(parts(rows.sparkSession), group).sortWithinPartitions(F.col(group), *by)
 
 
 def verify_chain(chained: DataFrame) -> DataFrame:
@@ -104,8 +117,31 @@ def reserve(events: DataFrame, interval_ms: int) -> DataFrame:
 
 def result_digest(rows: DataFrame, group: str, seq: str, value: Column) -> DataFrame:
     """(group, digest): SHA-256 over the sequence of value digests of each group."""
-    items = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.sha2(value, 256).alias("h")))).alias("items"))
-    return items.select(group, F.sha2(F.array_join(F.transform("items", lambda x: x["h"]), "\n"), 256).alias("digest"))
+    rows = rows.select(group, F.col(seq).alias("s"), F.sha2(value, 256).alias("h"))
+    schema = StructType([rows.schema[0]]).add("digest", StringType())
+    arrow = to_arrow_schema(schema)
+
+    def digests(batches):
+        now, running, first = None, None, True
+        for batch in batches:
+            out = []
+            for g, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if running is None or g != now:
+                    if running is not None:
+                        out.append((now, running.hexdigest()))
+                    now, running, first = g, hashlib.sha256(), True
+                if h is not None:
+                    running.update((h if first else f"\n{h}").encode())
+                    first = False
+            if out:
+                yield batch_of(out)
+        if running is not None:
+            yield batch_of([(now, running.hexdigest())])
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return in_order(rows, group, F.col("s"), F.col("h")).mapInArrow(digests, schema)
 
 
 def redact(x: Column) -> Column:

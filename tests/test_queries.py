@@ -7,7 +7,7 @@ import pytest
 
 from evigrain import queries as Q
 from evigrain.functions import text as T
-from evigrain.operators import dedup, living, policy, screening
+from evigrain.operators import audit, dedup, living, policy, screening
 from evigrain.plans import search as S
 from evigrain.sources import tagged
 
@@ -120,3 +120,30 @@ def test_private_addresses(spark):
 
     ips = spark.createDataFrame([("10.1.2.3",), ("8.8.8.8",), ("172.31.0.1",), ("172.32.0.1",)], "ip string")
     assert [r[0] for r in ips.select(policy.private_ipv4(F.col("ip"))).collect()] == [True, False, True, False]
+
+
+def test_chains_and_digests_hold_a_batch_not_a_review(spark):
+    import hashlib
+    import random
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(None if i % 5 == 4 else 7 if i % 3 else i % 4, i, f"ev-{i}", "view", None if i % 6 == 0 else f"p{i}") for i in range(200)]
+    random.Random(1).shuffle(rows)
+    e = spark.createDataFrame(rows, "review_id long, seq long, event_id string, event_type string, payload string")
+    want, digests, last = {}, {}, {}
+    for review, _, event, kind, payload in sorted(rows, key=lambda r: r[1]):
+        before = last.get(review, audit.GENESIS)
+        last[review] = sha(f"{before}\n{event}|{kind}|{payload or ''}")
+        want[event] = (before, last[review])
+        digests.setdefault(review, []).extend([sha(payload)] if payload else [])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        chained, digest = audit.append_hashes(e), audit.result_digest(e, "review_id", "seq", e["payload"])
+        assert chained.columns == ["review_id", "seq", "event_id", "event_type", "body", "previous_hash", "event_hash"]
+        assert {r.event_id: (r.previous_hash, r.event_hash) for r in chained.collect()} == want
+        assert {r.review_id: r.digest for r in digest.collect()} == {k: sha("\n".join(v)) for k, v in digests.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for df in (chained, digest):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "collect_list" not in plan
