@@ -147,3 +147,25 @@ def test_chains_and_digests_hold_a_batch_not_a_review(spark):
     for df in (chained, digest):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "collect_list" not in plan
+
+
+def test_redact_high_entropy_tokens(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    code = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_~+/.=-"
+    runs = ["".join(rng.choice(code[: rng.choice([4, 9, 14, 69])] + "7") for _ in range(rng.choice([1, 5, 19, 20, 21, 40]))) for _ in range(300)]
+    runs += ["abcdefghijklmnopqrstuvwxyz", "a1" * 20, "0123456789abcdefghij", "0123456789abcdefghi", "aabbccdd01234567" + "aabbccdd01234567"]
+    texts = ["", None, "plain\nwords\n", "0123456789abcdefghij\n", *runs] + ["".join(x for r in rng.sample(runs, 6) for x in (r, rng.choice([" ", "\n", "é", ", ", "日本 "]))) for _ in range(100)]
+
+    def brute(text):
+        def one(m):
+            bits = -sum(m[0].count(c) / len(m[0]) * math.log2(m[0].count(c) / len(m[0])) for c in set(m[0]))
+            return "[REDACTED]" if bits >= 3.5 and re.search("[0-9]", m[0]) else m[0]
+
+        return None if text is None else re.sub("[A-Za-z0-9_~+/.=-]{20,}", one, text)
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", audit.redact(audit.F.col("text")).alias("text")).collect()
+    want = {i: brute(x) for i, x in enumerate(texts)}
+    assert {r.i: r.text for r in got} == want and sum("[REDACTED]" in (x or "") for x in want.values()) > 50
