@@ -502,8 +502,8 @@ def _files(rendered: DataFrame, column: str, per: int = 20) -> DataFrame:
 SHOWN = "'{ns}-' || substr(sha256({native}), 1, 16) AS record_id, title, len(authors) AS authors, container, year"
 
 
-def _shown(df: DataFrame) -> DataFrame:
-    return df.select("record_id", "title", F.size("authors").cast("long").alias("authors"), "container", "year")
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("record_id", "title", F.size("authors").cast("long").alias("authors"), "container", "year", *more)
 
 
 CLEAN = "clean AS (SELECT *, trim(title) AS t FROM records WHERE NOT contains(coalesce(abstract, ''), chr(10)))"
@@ -527,6 +527,28 @@ def src_nbib(spark, sf_dir):
     return got.select(F.col("native_id").alias("native"), "title", F.size("authors").cast("long").alias("authors"), "container", "year")
 
 
+ONE_LINE = "sha256(trim(regexp_replace(abstract, '[\\r\\n]+', ' ', 'g'))) AS abstract_sha256"
+
+
+@query(f"SELECT 'ris-' || substr(sha256(record_id), 1, 16) AS record_id, trim(title) AS title, len(authors) AS authors, container, year, {ONE_LINE} FROM records", RECORDS)
+def src_ris_all(spark, sf_dir):
+    """The round trip of all records, those with abstracts of several lines too."""
+    from .sources import tagged
+
+    got = tagged.tagged(_files(export.ris(export.one_line(D.records(spark, sf_dir))), "ris"), "file", "text", "ris")
+    return _shown(got.where(F.col("title") != tagged.UNTITLED).withColumn("abstract_sha256", F.sha2("abstract", 256)), "abstract_sha256")
+
+
+@query(f"SELECT CAST(n AS VARCHAR) AS native, trim(title) AS title, len(authors) AS authors, container, year, {ONE_LINE} FROM records", RECORDS)
+def src_nbib_all(spark, sf_dir):
+    """The round trip of all records, those with abstracts of several lines too."""
+    from .sources import tagged
+
+    r = export.one_line(D.records(spark, sf_dir)).withColumn("pmid", F.col("n").cast("string"))
+    got = tagged.tagged(_files(export.nbib(r), "nbib"), "file", "text", "nbib")
+    return got.select(F.col("native_id").alias("native"), "title", F.size("authors").cast("long").alias("authors"), "container", "year", F.sha2("abstract", 256).alias("abstract_sha256"))
+
+
 @query("SELECT 'csl-' || substr(sha256(record_id), 1, 16) AS record_id, title, container, year, doi FROM records", RECORDS)
 def src_csl_json(spark, sf_dir):
     from .sources import tagged

@@ -21,6 +21,11 @@ def many(tag: str, x: Column, sep: str) -> Column:
     return F.transform(x, lambda v: F.concat(F.lit(tag + sep), v))
 
 
+def one_line(records: DataFrame) -> DataFrame:
+    """records whose abstract is one line, as RIS and NBIB need: a space for each run of line ends."""
+    return records.withColumn("abstract", F.regexp_replace("abstract", r"[\r\n]+", " "))
+
+
 def ris(records: DataFrame) -> DataFrame:
     sep = "  - "
     text = lines(one("TY", T.ris_type(F.col("kind")), sep), one("ID", F.col("record_id"), sep), one("TI", F.col("title"), sep), many("AU", F.col("authors"), sep), one("JO", F.col("container"), sep), one("PY", F.col("year").cast("string"), sep), one("AB", F.col("abstract"), sep), one("DO", F.col("doi"), sep), F.array(F.lit("ER  - ")))

@@ -4,6 +4,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from evigrain import queries as Q
 from evigrain.functions import text as T
@@ -169,3 +170,15 @@ def test_redact_high_entropy_tokens(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", audit.redact(audit.F.col("text")).alias("text")).collect()
     want = {i: brute(x) for i, x in enumerate(texts)}
     assert {r.i: r.text for r in got} == want and sum("[REDACTED]" in (x or "") for x in want.values()) > 50
+
+
+@pytest.mark.parametrize("fmt", ["ris", "nbib"])
+def test_abstracts_of_several_lines_stay_in_their_record(spark, fmt):
+    from evigrain.sinks import export
+
+    hard = "one\n\nTI  - two\r\nER  - \nAU  - three\n"
+    row = {"record_id": "rec-1", "kind": "report", "title": "A", "abstract": hard, "authors": ["X"], "container": None, "year": 2000, "doi": None, "pmid": "1"}
+    r = spark.createDataFrame([row], "record_id string, kind string, title string, abstract string, authors array<string>, container string, year int, doi string, pmid string")
+    text = getattr(export, fmt)(export.one_line(r)).select("record_id", F.concat(fmt, F.lit("\n")).alias("text"))
+    got = tagged.tagged(text, "record_id", "text", fmt).where(F.col("title") != tagged.UNTITLED).collect()
+    assert [(x.title, x.authors, x.abstract) for x in got] == [("A", ["X"], "one TI  - two ER  -  AU  - three")]
