@@ -47,9 +47,10 @@ def cells(x: np.ndarray, pivots: np.ndarray, eps: float, reach: np.ndarray | Non
     own = d[np.arange(len(x)), home]
     if reach is None:
         return home, None, None, own
-    apart = np.maximum(np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0)), 1e-12)
-    slack = eps + 1e-9
-    near = (d - own[:, None] <= 2 * slack) & (d <= reach[None, :] + slack) & (dot[np.arange(len(x)), home][:, None] - dot <= slack * apart[home])
+    # a distance from a dot product can be 1e-7 too small, as between nearly equal pivots
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0)) + 1e-7
+    slack = eps + 1e-7
+    near = (d - own[:, None] <= 2 * slack) & (d <= reach[None, :] + slack) & (dot[np.arange(len(x)), home][:, None] - dot <= slack * apart[home] + 1e-12)
     row, cell = np.nonzero(near)
     return home, row, cell, own
 

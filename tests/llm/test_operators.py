@@ -335,3 +335,11 @@ def test_pipeline(spark, tmp_path):
     assert set(left) == {i for i in range(150) if i % 5} | {200, 204, 205, 206, 207}
     assert passage not in left[204] and passage not in left[205] and left[200] == base
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
+
+
+def test_a_vector_visits_the_cell_of_a_pivot_nearly_equal_to_its_own():
+    x = np.array([[1, 0.001], [1, -0.099]])
+    pivots = np.array([[1, 0], [1, 1e-8]])
+    x, pivots = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, pivots))
+    home, row, cell, _ = embedding_join.cells(x, pivots, 0.2, np.full(2, 0.2))
+    assert home.tolist() == [1, 0] and (1, 1) in zip(row.tolist(), cell.tolist())
