@@ -11,21 +11,30 @@ The corpus is cut into such blocks by content. Each window of ``least`` bytes ha
 anchor, the byte k-gram in it with the smallest hash, so equal windows have the same
 anchor at the same offset. Consecutive windows with one anchor form a stretch, about 1.5
 windows long. Stretches are the rows that Spark counts: equal ones (two 64-bit hashes)
-collapse to one with a count, and only those whose anchor has several different stretches
-fetch their bytes and meet in a block. A block takes whole anchors up to ``BLOCK`` bytes.
-An anchor with more bytes than ``hot`` goes another exact way: all its windows are hashed
-and counted.
+collapse to one with a count, first within a task's chunk of text, so that a passage in
+every document costs one row a chunk.
+
+Different stretches of an anchor can share a window only if they agree on the
+``(least - gram) / 2`` bytes before the anchor or on as many after it, since a window that
+holds the anchor reaches that far on one side. Stretches carry a hash of either context;
+only those that share one with a different stretch fetch their bytes and meet in a block.
+A block takes whole anchors up to ``BLOCK`` bytes. An anchor with more bytes than ``hot``
+goes another exact way: all its windows are hashed and counted.
+
+The joins with whole texts are merge joins at every size, by (doc, uid), and share one
+shuffle of the texts.
 
 Defined cases: null or empty text, or a text shorter than ``least``: nothing is removed.
 Repeated rows (same doc_id and text) are different places, so their long texts go. Rows
-with a null doc_id are documents like others. Other columns of the input are ignored.
+with a null doc_id are documents like others. An empty table gives an empty result. Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as t
@@ -33,9 +42,11 @@ from .common import materialise, parts
 from .window_dedup import NO_ID, to_batch
 
 GRAM = 32
-BLOCK = 2 << 20
-SEGMENT = 4 << 20
+BLOCK = 1 << 20
+SEGMENT = 2 << 20
 CODES = (t.BYTE_CODES, t.mix(t.BYTE_CODES + np.uint64(7)))
+#: A context that a stretch does not have. Left contexts end in the bits 11, right ones in 0.
+NONE = np.int64(1)
 
 
 def sums(codes: np.ndarray) -> np.ndarray:
@@ -61,7 +72,7 @@ def lowest(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(buf: np.ndarray, offs: np.ndarray, least: int, gram: int):
-    """(text, start, length, anchor hash, two string hashes) of the stretches in a chunk."""
+    """(text, start, length, anchor hash, two string hashes, left and right context) of the stretches in a chunk."""
     size = np.diff(offs)
     if not len(buf) or size.max() < least:
         return None
@@ -76,7 +87,23 @@ def stretches(buf: np.ndarray, offs: np.ndarray, least: int, gram: int):
     anchor = best[start]
     head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1]))))
     begin, end = start[head], start[np.append(head[1:], len(start)) - 1] + least
-    return which[head], begin - offs[:-1][which[head]], end - begin, grams[anchor[head]].view(np.int64), hash_of(first, begin, end).view(np.int64), hash_of(second, begin, end).view(np.int64)
+    which, anchor = which[head], anchor[head]
+    side = (least - gram) // 2
+    # a context that reaches beyond the stretch lies in none of its windows
+    left = np.where(anchor - side >= begin, hash_of(first, np.maximum(anchor - side, begin), anchor).view(np.int64) | 3, NONE)
+    right = np.where(anchor + gram + side <= end, hash_of(first, anchor + gram, np.minimum(anchor + gram + side, end)).view(np.int64) & ~1, NONE)
+    return which, begin - offs[:-1][which], end - begin, grams[anchor].view(np.int64), hash_of(first, begin, end).view(np.int64), hash_of(second, begin, end).view(np.int64), left, right
+
+
+def collapsed(anchor: np.ndarray, h1: np.ndarray, h2: np.ndarray):
+    """(first, known): the first row of each kind, and whether a row's kind has others among these rows."""
+    order = np.lexsort((np.arange(len(h1)), h2, h1, anchor))
+    a, x, y = anchor[order], h1[order], h2[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    first, known = np.empty(len(order), bool), np.empty(len(order), bool)
+    first[order] = new
+    known[order] = ~new | np.append(~new[1:], False)
+    return first, known
 
 
 def sort_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -165,8 +192,8 @@ def repeats(strings: list[bytes], least: int) -> list[np.ndarray]:
     return [found[a : a + max(0, len(s) - least + 1)] for a, s in zip(at, strings, strict=True)]
 
 
-STRETCH = pa.schema([("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-STRETCH_DDL = "doc long, uid long, start long, size int, anchor long, h1 long, h2 long"
+STRETCH = pa.schema([("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), *((c, pa.int64()) for c in ("anchor", "h1", "h2", "left", "right")), ("first", pa.bool_()), ("known", pa.bool_())])
+STRETCH_DDL = "doc long, uid long, start long, size int, anchor long, h1 long, h2 long, left long, right long, first boolean, known boolean"
 MARK = pa.schema([(n, pa.int64()) for n in ("doc", "uid", "begin", "end")])
 MARK_DDL = "doc long, uid long, begin long, end long"
 
@@ -196,8 +223,9 @@ def find_repeats(rows: DataFrame, least: int = 400, gram: int = GRAM, hot: int =
             doc, uid = (t.column(batch, c).to_numpy() for c in ("doc", "uid"))
             for row, base, buf, offs in segments(t.column(batch, "body"), least):
                 if (got := stretches(buf, offs, least, gram)) is not None:
-                    which, start, size, anchor, h1, h2 = got
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc[row[which]], uid[row[which]], start + base[which], size.astype(np.int32), anchor, h1, h2), STRETCH, strict=True)], schema=STRETCH)
+                    which, start, size, anchor, h1, h2, left, right = got
+                    found = (doc[row[which]], uid[row[which]], start + base[which], size.astype(np.int32), anchor, h1, h2, left, right, *collapsed(anchor, h1, h2))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, STRETCH, strict=True)], schema=STRETCH)
 
     def fetch(batches):
         for batch in batches:
@@ -242,15 +270,22 @@ def find_repeats(rows: DataFrame, least: int = 400, gram: int = GRAM, hot: int =
     buckets = parts(rows.sparkSession)
     key = ["anchor", "h1", "h2"]
     places = rows.select("doc", "uid", "body").mapInArrow(cut, STRETCH_DDL)
-    # written, so that Spark can split the join at a very common anchor
-    again = materialise(places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
-    places = materialise(places.join(again, "anchor", "left_semi"))
-    strings = places.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc", "uid", "start", "size")).alias("first"))
-    several = materialise(strings.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("first.size").cast("long")).alias("total")).where("kinds > 1"))
-    wanted = strings.join(several.select("anchor"), "anchor").select("first.doc", "first.uid", F.struct("anchor", "first.start", "first.size", "n").alias("w"))
+    # one shuffle: by anchor, or anywhere for the rows that others of their chunk stand for
+    dealt = F.when(F.col("first"), F.col("anchor")).otherwise(F.xxhash64("uid", "start"))
+    places = places.withColumn("at", dealt).repartition(buckets, "at").withColumn("times", F.count(F.when(F.col("first"), 1)).over(Window.partitionBy("at")))
+    places = materialise(places.where("known OR first AND times > 1").drop("at", "times"))
+    kinds = places.where("first").groupBy(*key).agg(F.count("*").alias("times"), F.max("known").alias("known"), F.min(F.struct("doc", "uid", "start", "size", "left", "right")).alias("place"))
+    kinds = materialise(kinds.select(*key, (F.col("known") | (F.col("times") > 1)).alias("copied"), "place.*"))
+    context = F.explode(F.array("left", "right")).alias("context")
+    shared = kinds.select("anchor", context).where(F.col("context") != int(NONE)).groupBy("anchor", "context").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", "context")
+    wanted = kinds.select("*", context).join(shared, ["anchor", "context"], "left_semi").drop("context").dropDuplicates(key)
+    wanted = materialise(wanted.select("doc", "uid", F.struct("anchor", "start", "size", F.when(F.col("copied"), 2).otherwise(1).cast("long").alias("n")).alias("w")))
+    several = wanted.groupBy("w.anchor").agg(F.sum(F.col("w.size").cast("long")).alias("total"))
     wanted = wanted.groupBy("doc", "uid").agg(F.collect_list("w").alias("wanted"))
-    texts = rows.join(wanted, ["doc", "uid"]).select(*rows.columns, "wanted").mapInArrow(fetch, FETCHED_DDL)
-    copies = places.join(strings.where("n > 1").select(*key), key).select("doc", "uid", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
+    texts = rows.join(wanted.hint("merge"), ["doc", "uid"]).select(*rows.columns, "wanted").mapInArrow(fetch, FETCHED_DDL)
+    span = [F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end")]
+    copies = places.where("NOT known").join(kinds.where("copied").select(*key), key).select("doc", "uid", *span)
+    copies = copies.unionByName(places.where("known").select("doc", "uid", *span))
     crowded = several.where(F.col("total") > hot).select("anchor")
     if crowded.isEmpty():
         few = texts
@@ -287,8 +322,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def removed(batches):
         for batch in batches:
             marks, rest = t.column(batch, "marks"), t.column(batch, "rest")
-            out = []
             for lo, hi, buf, offs in t.chunks(t.column(batch, "body")):
+                out = []
                 for i in range(hi - lo):
                     own = buf[offs[i] : offs[i + 1]]
                     gone = np.zeros(len(own), bool)
@@ -306,10 +341,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     else:
                         shown = kept
                     out.append((len(own), int(gone.sum()), [{"start": int(a), "end": int(b)} for a, b in zip(s, e, strict=True)], kept, shown.decode("utf-8", "replace")))
-            made = to_batch(out, REMOVED)
-            yield pa.RecordBatch.from_arrays([t.column(batch, "id"), *made.columns, rest], names=["id", *REMOVED.names, "rest"])
+                made = to_batch(out, REMOVED)
+                yield pa.RecordBatch.from_arrays([t.column(batch, "id").slice(lo, hi - lo), *made.columns, rest.slice(lo, hi - lo)], names=["id", *REMOVED.names, "rest"])
 
-    joined = rows.join(found, ["doc", "uid"], "left")
+    joined = rows.join(found.hint("merge"), ["doc", "uid"], "left")
     kind = joined.schema["rest"].dataType.simpleString()
     got = joined.select("id", "doc", "uid", "body", "rest", "marks").mapInArrow(removed, f"id long, {REMOVED_DDL}, rest {kind}")
     return got.select(F.col("id").alias(doc_id), *REMOVED.names, *(F.col(f"rest.{c}").alias(c) for c in carry))
