@@ -12,9 +12,11 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster is refused."""
     got = spark.sparkContext.getCheckpointDir() or spark.conf.get(SHARED, None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SHARED} to a folder that the driver and all executors share")
         import tempfile
 
         got = tempfile.mkdtemp(prefix="spark-")
@@ -23,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back, which cuts the lineage. An application's tables are in one folder, named by its id."""
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,32 +4,35 @@ A document's set holds its distinct shingles of ``words`` words. Two documents l
 ``100 * |intersection| >= percent * |union|``; ``near_duplicates`` gives each document the
 smallest doc_id its links reach. The steps:
 
-1. Equal sets (two 64-bit sums) collapse to the document with the smallest doc_id.
-2. Shingles are counted, packed by hash bucket as in ``window_dedup``. Each document gets
-   back its shingles that occur in other rows too, rarest first. Only these can be shared,
-   so one with too few of them links with nothing and drops out; the others ("active")
-   need no text any more.
-3. A few min-wise keys over the sets pair each active document with the smallest of those
+1. Equal sets collapse to a class, named by 64 bits of two sums over the set.
+2. Shingles are counted over classes, packed by hash bucket as in ``window_dedup``. Each
+   class gets back its shingles that occur in other classes too, rarest first. Only these
+   can be shared, so one with too few of them links with nothing and drops out; the others
+   ("active") need no text any more.
+3. A few min-wise keys over the sets pair each active class with the smallest of those
    that share the key. Verified pairs give first components, which keep a large group of
    near copies from meeting itself pair by pair later.
 4. Prefix index, exact: of each set ordered by rarity, the first ``n - ceil(t n) + 1``
    shingles hold one that any partner's prefix shares. Rare shingles of the prefix are
    keys of their own. Where the prefix reaches frequent ones (more than ``FREQUENT``
-   rows), it is extended by ``CLASSES`` shingles: partners then share CLASSES + 1 of them,
-   two of which fall in the same of CLASSES hash classes, so the keys are pairs of
+   classes), it is extended by ``CLASSES`` shingles: partners then share CLASSES + 1 of
+   them, two of which fall in the same of CLASSES hash classes, so the keys are pairs of
    frequent shingles of one class. Sets too small for that use single shingles.
-5. Components of step 3 that share a key are compared, document by document, in tiles of
-   bounded size, and the links found join them. A key with up to ``CROWD`` components gives
-   their pairs. The components of a more crowded key, and of others connected with it by
-   such keys, form a cluster instead, all of whose documents are compared in tiles, so that
-   no list of pairs grows with the square of a group.
+5. Components of step 3 that share a key are compared, set by set, and the links found
+   join them. A key with up to ``CROWD`` components gives their pairs. The components of a
+   more crowded key are a crowd, compared among themselves; a crowd that lies within
+   another (nested prefixes of one passage give many) is left to that. Crowds don't chain.
+6. Both sides of a comparison are dealt to tiles of ``TILE`` sets, so that a task reads
+   two tiles at a time whatever the size of a group.
 
-Shingle identity: 48 bits and the bucket when counting, 48 bits when verifying.
+Identity: 64 bits for sets (D distinct sets give about D^2 / 2^65 false merges in all); 48
+bits and the bucket for shingles when counting, 48 bits when verifying.
 
 Defined cases: null or wordless text: empty set, linked with nothing, component_id is its
 own doc_id. Fewer words than a shingle: the whole sequence is the one shingle. Rows with
-the same doc_id are one document (the largest set counts for its size) and each gets a
-result row. A null doc_id sorts before all others and stays null. Other columns are ignored.
+the same doc_id and different texts are documents of their own that share an id; each row
+gets a result row. A null doc_id sorts before all others and stays null. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,15 +50,15 @@ FREQUENT = 64
 CLASSES = 16
 KEYS = 4
 TILE = 512
-CROWD = 16
-#: Sets below SMALL index single shingles only; those up to what can link with them do both.
+CROWD = 64
+#: Sets below SMALL, or with fewer than CLASSES + 1 shingles to share, index single shingles only; those up to what can link with them do both.
 SMALL = 23
 
 
 def shingle_sets(batches, words: int):
-    """(rows, row index, sorted distinct shingles) of each chunk, and the chunk's doc ids."""
+    """(ids of the rows, row index, sorted distinct shingles) of each chunk of batches with ``doc``, ``uid`` and ``body``."""
     for batch in batches:
-        doc = ids(batch, "doc")
+        doc = np.stack([ids(batch, c) for c in ("doc", "uid")], axis=1)
         for lo, hi, buf, offs in t.chunks(t.column(batch, "body")):
             starts, ends, first = t.words(buf, offs)
             at, which = t.window_starts(first, words)
@@ -71,7 +74,15 @@ def shingle_sets(batches, words: int):
             yield doc[lo:hi], which[new], h[new]
 
 
-SETS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+SETS = pa.schema([(c, pa.int64()) for c in ("doc", "uid", "n", "node")])
+
+
+def class_names(rows: int, which: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size, name) of each row's set."""
+    total = [np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)]
+    for i, s in enumerate(total):
+        np.add.at(s, which, t.mix(h + np.uint64(i)))
+    return np.bincount(which, minlength=rows), t.mix(total[0] ^ t.mix(total[1])).view(np.int64)
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -90,7 +101,7 @@ def tokens_of(b: bytes) -> np.ndarray:
 
 
 def compare(homes: list[tuple], visitors: list[tuple], percent: int):
-    """(node, label) for the documents linked in a tile; rows are (doc, n, tokens)."""
+    """(node, label) for the documents linked in a tile; rows begin with doc, n, tokens."""
     sets = [tokens_of(h[2]) for h in homes]
     lo = 0
     while lo < len(homes):  # as many homes at once as keep the grid small
@@ -103,7 +114,7 @@ def compare(homes: list[tuple], visitors: list[tuple], percent: int):
         grid = np.zeros((len(vocabulary), hi - lo), np.uint8)
         grid[code, np.repeat(np.arange(hi - lo), [len(s) for s in sets[lo:hi]])] = 1
         same = np.zeros((len(visitors), hi - lo), bool)
-        for i, (doc, n, body) in enumerate(visitors):
+        for i, (doc, n, body, *_) in enumerate(visitors):
             mine = tokens_of(body)
             place = np.minimum(np.searchsorted(vocabulary, mine), len(vocabulary) - 1)
             inter = grid[place[vocabulary[place] == mine]].sum(axis=0, dtype=np.int64)
@@ -119,16 +130,26 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def active_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc, n, rare, tokens): documents that may link, tokens their shared shingles, the ``rare`` first ones rare."""
+    """(doc, n, rare, tokens): classes that may link, tokens their shared shingles, the ``rare`` first ones rare."""
     buckets = parts(docs.sparkSession)
 
     def tokens(batches):
-        yield from pack_all(((doc[which], np.zeros(len(h), np.int64), h) for doc, which, h in shingle_sets(batches, words)), buckets)
+        def pieces():
+            for doc, which, h in shingle_sets(batches, words):
+                _, node = class_names(len(doc), which, h)
+                once = np.zeros(len(node), bool)
+                once[np.unique(node, return_index=True)[1]] = True
+                which, h = which[once[which]], h[once[which]]
+                yield node[which], np.zeros(len(h), np.int64), h
+
+        yield from pack_all(pieces(), buckets)
 
     def shared(batches):
         doc, _, h = unpack(packed_rows(batches))
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((doc, h))
         doc, h = doc[order], h[order]
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))[: len(doc)]
+        doc, h = doc[new], h[new]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
         size = np.diff(np.append(head, len(h)))
         times = np.repeat(size, size)
@@ -198,9 +219,10 @@ def index_keys(n: int, rare: int, mine: np.ndarray, percent: int) -> np.ndarray:
     single = mine[: min(prefix, rare)]
     if prefix <= rare:
         return single
-    if n * percent <= SMALL * 100:
+    small = max(SMALL, -(-100 * (CLASSES + 1) // percent))
+    if n * percent <= small * 100:
         single = mine[:prefix]
-    if n < SMALL:
+    if n < small:
         return single
     often = mine[rare : prefix + CLASSES]
     kind = t.mix(often) % np.uint64(CLASSES)
@@ -216,8 +238,8 @@ def index_keys(n: int, rare: int, mine: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate((single, *pairs))
 
 
-def contacts(active: DataFrame, percent: int) -> DataFrame:
-    """(a, b, crowded): pairs of components with a common index key, or edges within the components of crowded keys.
+def contacts(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of components with a common index key, and the members (key, component, size) of crowded keys.
 
     ``active`` has a column component.
     """
@@ -247,104 +269,120 @@ def contacts(active: DataFrame, percent: int) -> DataFrame:
         comp, h = comp[new], h[new]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
         size = np.diff(np.append(head, len(h)))
-        size, lowest = np.repeat(size, size), np.repeat(comp[head], size)
-        crowd = size > CROWD
-        found = [(*stars(comp[crowd], lowest[crowd]), True)]
-        comp, h = comp[~crowd], h[~crowd]
+        left = np.repeat(head + size, size) - np.arange(len(h))  # of its key from here on
+        size = np.repeat(size, size)
+        crowd = np.flatnonzero(size > CROWD)
+        for lo in range(0, len(crowd), 1 << 16):
+            part = crowd[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[part].view(np.int64), comp[part], size[part])], names=MET)
+        live, d = np.flatnonzero((size <= CROWD) & (left > 1)), 1
         pairs = [np.zeros((0, 2), np.int64)]
-        for d in range(1, CROWD):
-            same = h[d:] == h[:-d]
-            pairs.append(np.unique(np.stack((comp[:-d][same], comp[d:][same]), axis=1), axis=0))
-        found.append((*np.unique(np.concatenate(pairs), axis=0).T, False))
-        for a, b, crowded in found:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([crowded] * len(a), pa.bool_())], names=["a", "b", "crowded"])
-
-    return active.mapInArrow(indexed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(met, "a long, b long, crowded boolean").distinct()
-
-
-def stars(a: np.ndarray, b: np.ndarray):
-    """The edges (a, b), reduced to one per node other than the smallest of its component."""
-    nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = code[: len(a)], code[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(nodes))
-    return nodes[label[keep]], nodes[keep]
+        while len(live):
+            pairs.append(np.unique(np.stack((comp[live], comp[live + d]), axis=1), axis=0))
+            d += 1
+            live = live[left[live] > d]
+        a, b = np.unique(np.concatenate(pairs), axis=0).T
+        for lo in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)], np.zeros(len(a[lo : lo + (1 << 16)]), np.int64))], names=MET)
+
+    found = materialise(active.mapInArrow(indexed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(met, "a long, b long, size long"))
+    return found.where("size = 0").select("a", "b").distinct(), found.where("size > 0").select(F.col("a").alias("key"), F.col("b").alias("component"), "size")
+
+
+MET = ["a", "b", "size"]
+
+
+def crowds(members: DataFrame) -> DataFrame:
+    """(key, component) of the crowded keys whose components are not all among another key's.
+
+    Each key is held against one other: the largest that its smallest component has. If all its components have that
+    too, the other key's crowd covers it.
+    """
+    largest = members.groupBy("component").agg(F.max(F.struct("size", "key")).alias("top"))
+    first = members.groupBy("key").agg(F.min("component").alias("component"))
+    over = first.join(largest, "component").select("key", F.col("top.key").alias("over")).where("key != over")
+    both = members.join(over, "key").join(members.select(F.col("key").alias("over"), "component"), ["over", "component"])
+    covered = both.groupBy("key", "size").agg(F.count("*").alias("common")).where("common = size").select("key")
+    return members.join(covered, "key", "left_anti").select("key", "component")
 
 
-def tile_links(active: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the documents linked between components that met."""
-    cluster = materialise(components(met.where("crowded")).select(F.col("node").alias("c"), F.col("component").alias("cluster")))
-    of = lambda side: cluster.select(F.col("c").alias(side), F.col("cluster").alias(f"{side}_in"))
-    pairs = met.where("NOT crowded").join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_in IS NULL OR b_in IS NULL OR a_in != b_in")
-    size = active.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("k"))
+def tile_links(active: DataFrame, pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the sets linked between components that met.
+
+    A tile is named by (crowd, home, i, j): of a crowd, or of the component ``home`` and all that visit it.
+    """
+    size = materialise(active.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("k")))
     sized = pairs.join(size.select(F.col("c").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("c").alias("b"), F.col("k").alias("kb")), "b")
     swap = F.col("kb") > F.col("ka")
-    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("home"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("component"), F.greatest("ka", "kb").alias("k"))
-    tiles = F.ceil(F.col("k") / TILE).cast("int")
-    row = ["cluster", "home", "tile", "visits", "doc", "n", "tokens"]
-    here = F.pmod(F.xxhash64("doc"), tiles).cast("int")
-    everywhere = F.explode(F.sequence(F.lit(0), tiles - 1))
-    homes = active.join(sized.groupBy("home").agg(F.max("k").alias("k")), F.col("component") == F.col("home"))
-    homes = homes.withColumns({"cluster": F.lit(0), "tile": here, "visits": F.lit(0)}).select(*row)
-    visitors = active.join(sized, "component").withColumns({"cluster": F.lit(0), "tile": everywhere, "visits": F.lit(1)}).select(*row)
-    k = cluster.join(size, "c").groupBy("cluster").agg(F.sum("k").alias("k"))
-    crowd = active.join(cluster.join(k, "cluster").select(F.col("c").alias("component"), F.col("cluster").alias("home"), "k"), "component").withColumn("cluster", F.lit(1))
-    both = homes.unionByName(visitors)
-    both = both.unionByName(crowd.withColumns({"tile": here, "visits": F.lit(0)}).select(*row))
-    both = both.unionByName(crowd.withColumns({"tile": everywhere, "visits": F.lit(1)}).select(*row))
+    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("home"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("component"), F.greatest("ka", "kb").alias("k"), F.least("ka", "kb").alias("v"))
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("doc"), tiles(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), tiles(c) - 1))
+    row = ["crowd", "home", "i", "j", "visits", "doc", "component", "n", "tokens"]
+    visited = sized.groupBy("home").agg(F.max("k").alias("k"), F.sum("v").alias("v"))
+    homes = active.join(visited.withColumnRenamed("home", "component"), "component").withColumns({"crowd": F.lit(False), "home": F.col("component"), "i": own("k"), "j": every("v"), "visits": F.lit(False)}).select(*row)
+    coming = sized.drop("v", "k").join(visited, "home")
+    visitors = active.join(coming, "component").withColumns({"crowd": F.lit(False), "i": every("k"), "j": own("v"), "visits": F.lit(True)}).select(*row)
+    crowd = materialise(crowds(members))
+    k = crowd.join(size.withColumnRenamed("c", "component"), "component").groupBy("key").agg(F.sum("k").alias("k"))
+    within = active.join(crowd.join(k, "key"), "component").withColumns({"crowd": F.lit(True), "home": F.col("key"), "at": own("k")}).withColumn("other", every("k"))
+    as_home = within.where("at <= other").withColumns({"i": F.col("at"), "j": F.col("other"), "visits": F.lit(False)}).select(*row)
+    as_visitor = within.where("at >= other").withColumns({"i": F.col("other"), "j": F.col("at"), "visits": F.lit(True)}).select(*row)
+    both = homes.unionByName(visitors).unionByName(as_home).unionByName(as_visitor)
 
     def compared(batches):
         key, homes, visitors = None, [], []
+
+        def done():
+            if homes and visitors and (homes[0][3] != visitors[0][3] or len({r[3] for r in homes} | {r[3] for r in visitors}) > 1):
+                yield from compare(homes, visitors, percent)
+
         for batch in batches:
             out = []
-            for *place, visits, doc, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *place, visits, doc, component, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place != key or len(visitors) >= TILE:
-                    if homes and visitors:
-                        out += compare(homes, visitors, percent)
+                    out += done()
                     homes, visitors = homes if place == key else [], []
                     key = place
-                (visitors if visits else homes).append((doc, n, body))
+                (visitors if visits else homes).append((doc, n, body, component))
             if out:
                 yield to_batch(out, PAIR)
-        if homes and visitors and (out := list(compare(homes, visitors, percent))):
+        if out := list(done()):
             yield to_batch(out, PAIR)
 
-    both = both.repartition(parts(active.sparkSession), "cluster", "home", "tile").sortWithinPartitions("cluster", "home", "tile", "visits")
+    both = both.repartition(parts(active.sparkSession), "crowd", "home", "i", "j").sortWithinPartitions("crowd", "home", "i", "j", "visits")
     return both.mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("body"))
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """(doc, uid, n, group, first) for each row of docs.
+
+    doc is doc_id with NO_ID for null, uid a hash of doc_id and text, n the size of the set, group the same for all rows
+    that links connect (null for an empty set), and first the smallest doc of the group.
+    """
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(doc_id), F.col(text)).alias("uid"), F.col(text).alias("body"))
 
     def sized(batches):
         for doc, which, h in shingle_sets(batches, words):
-            n = np.bincount(which, minlength=len(doc))
-            total = [np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)]
-            for i, s in enumerate(total):
-                np.add.at(s, which, t.mix(h + np.uint64(i)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, n, *(s.view(np.int64) for s in total))], schema=SETS)
-
-    sets = materialise(rows.mapInArrow(sized, "doc long, n long, s1 long, s2 long"))
-    one = sets.groupBy("doc").agg(F.max_by(F.struct("n", "s1", "s2"), F.struct("n", "s1", "s2")).alias("s")).select("doc", "s.*").where("n > 0")
-    # written, so that Spark can split the join at a very common set
-    rep = materialise(one.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")))
-    member = one.join(rep, ["n", "s1", "s2"]).select("doc", "rep")
-    active = materialise(active_sets(rows, rep.select(F.col("rep").alias("doc"), "n"), words, percent))
+            n, node = class_names(len(doc), which, h)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[:, 0], doc[:, 1], n, node)], schema=SETS)
+
+    sets = materialise(rows.mapInArrow(sized, "doc long, uid long, n long, node long"))
+    # written, so that Spark can split the joins at a very common set
+    classes = materialise(sets.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc").alias("first")))
+    active = materialise(active_sets(rows, classes.select(F.col("node").alias("doc"), "n"), words, percent))
     first = materialise(first_links(active, percent))
     label = components(first).select(F.col("node").alias("doc"), "component")
     marked = materialise(active.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-    met = materialise(contacts(marked, percent))
-    label = components(first.unionByName(materialise(tile_links(marked, met, percent))))
-    label = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc", "n").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    return out.select(F.nullif("doc", F.lit(NO_ID)).alias(doc_id), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+    label = components(first.unionByName(materialise(tile_links(marked, *contacts(marked, percent), percent))))
+    grouped = materialise(classes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")))
+    lowest = grouped.groupBy("group").agg(F.min("first").alias("first"))
+    named = materialise(grouped.select("node", "group").join(lowest, "group"))
+    empty = sets.where("n = 0").select("doc", "uid", "n", F.lit(None).cast("long").alias("group"), F.col("doc").alias("first"))
+    return sets.where("n > 0").join(named, "node").select("doc", "uid", "n", "group", "first").unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs."""
+    found = groups(docs, doc_id, text, words, percent)
+    return found.select(F.nullif("doc", F.lit(NO_ID)).alias(doc_id), F.col("n").alias("n_shingles"), F.nullif("first", F.lit(NO_ID)).alias("component_id"))
