@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from evigrain.llm import decontaminate, jaccard_join, mixing, suffix_dedup, toxicity
 from evigrain.llm.common import materialise
+from evigrain.llm.window_dedup import NO_ID
 
 REJECT = 0.7
+#: The largest share of its bytes that a document may lose as repeated passages and still stay; a fifth, as in
+#: published web corpora that drop documents by their share of duplicated text.
+REPEATED = 0.2
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -39,21 +43,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; of repeated rows, one."""
-    found = jaccard_join.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = materialise(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows")))
+    """The document with the smallest doc_id of each group of near duplicates, and all without words.
+
+    Of rows with the same doc_id and text one stays; those with the same doc_id and different texts are different
+    documents. Ids alone are grouped; the texts are shuffled once, by the same plan at every size.
+    """
+    found = jaccard_join.groups(docs)
+    kept = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc", "uid")).alias("k")).select("k.*")
+    kept = materialise(kept.unionByName(found.where("group IS NULL").select("doc", "uid")).groupBy("doc", "uid").agg(F.count("*").alias("rows")))
     plain, names = numbered(docs)
-    kept = plain.join(found.select("kept_id"), F.col(names["doc_id"]).eqNullSafe(F.col("kept_id")), "left_semi")
-    if not found.where("kept_rows > 1").isEmpty():
-        kept = kept.dropDuplicates([names["doc_id"]])
-    return kept.toDF(*names)
+    doc_id = F.col(names["doc_id"]).cast("long")
+    keyed = plain.withColumns({"doc": F.coalesce(doc_id, F.lit(NO_ID)), "uid": F.xxhash64(names["doc_id"], names["text"])})
+    rows = keyed.join(kept.select("doc", "uid").hint("merge"), ["doc", "uid"], "left_semi")
+    repeated = materialise(found.groupBy("doc", "uid").agg(F.count("*").alias("rows")).where("rows > 1"))
+    if not repeated.isEmpty():
+        rows = rows.dropDuplicates(["doc", "uid"])
+    return rows.select(*names.values()).toDF(*names)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without the byte strings that occur again."""
+    """Documents without the byte strings that occur again; one that loses more than REPEATED of its bytes goes whole.
+
+    What is left of such a document is fragments around the cuts. Documents without repeated strings all stay.
+    """
     plain, names = numbered(docs)
     plain = plain.withColumn("no_text", F.col(names["text"]).isNull())
     got = suffix_dedup.remove_repeats(plain, names["doc_id"], names["text"], carry=(*others(names, "doc_id", "text"), "no_text"))
+    got = got.where(F.col("n_removed") <= REPEATED * F.col("n_bytes"))
     text = F.when(~F.col("no_text"), F.col("kept_text"))
     changed = {names["text"]: text}
     if "n_chars" in names:
