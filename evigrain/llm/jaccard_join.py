@@ -20,8 +20,10 @@ smallest doc_id its links reach. The steps:
    frequent shingles of one class. Sets too small for that use single shingles.
 5. Components of step 3 that share a key are compared, set by set, and the links found
    join them. A key with up to ``CROWD`` components gives their pairs. The components of a
-   more crowded key are a crowd, compared among themselves; a crowd that lies within
-   another (nested prefixes of one passage give many) is left to that. Crowds don't chain.
+   more crowded key are a crowd. Its sets are first held against some of them, the links
+   found join components, and the keys are read again with these. The crowds that remain are
+   compared among themselves; one that lies within another is left to that. Crowds don't
+   chain.
 6. Both sides of a comparison are dealt to tiles of ``TILE`` sets, so that a task reads
    two tiles at a time whatever the size of a group.
 
@@ -39,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
@@ -51,6 +53,7 @@ CLASSES = 16
 KEYS = 4
 TILE = 512
 CROWD = 64
+CENTRES = 48
 #: Sets below SMALL, or with fewer than CLASSES + 1 shingles to share, index single shingles only; those up to what can link with them do both.
 SMALL = 23
 
@@ -101,28 +104,33 @@ def tokens_of(b: bytes) -> np.ndarray:
 
 
 def compare(homes: list[tuple], visitors: list[tuple], percent: int):
-    """(node, label) for the documents linked in a tile; rows begin with doc, n, tokens."""
+    """Edges between the components whose sets link in a tile; rows are (component, n, tokens)."""
     sets = [tokens_of(h[2]) for h in homes]
+    away, found = np.array([v[0] for v in visitors], np.int64), []
     lo = 0
     while lo < len(homes):  # as many homes at once as keep the grid small
         hi, total = lo + 1, len(sets[lo])
         while hi < len(homes) and (hi + 1 - lo) * (total + len(sets[hi])) <= GRID:
             total += len(sets[hi])
             hi += 1
-        ids, sizes = (np.array([h[i] for h in homes[lo:hi]], np.int64) for i in (0, 1))
+        own, sizes = (np.array([h[i] for h in homes[lo:hi]], np.int64) for i in (0, 1))
         vocabulary, code = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
         grid = np.zeros((len(vocabulary), hi - lo), np.uint8)
         grid[code, np.repeat(np.arange(hi - lo), [len(s) for s in sets[lo:hi]])] = 1
         same = np.zeros((len(visitors), hi - lo), bool)
-        for i, (doc, n, body, *_) in enumerate(visitors):
+        for i, (component, n, body) in enumerate(visitors):
+            other = own != component
+            if not other.any():
+                continue
             mine = tokens_of(body)
             place = np.minimum(np.searchsorted(vocabulary, mine), len(vocabulary) - 1)
             inter = grid[place[vocabulary[place] == mine]].sum(axis=0, dtype=np.int64)
-            same[i] = links(inter, n, sizes, percent) & (ids != doc)
-        node, label = tile_labels(same, np.array([v[0] for v in visitors], np.int64), ids)
+            same[i] = links(inter, n, sizes, percent) & other
+        node, label = tile_labels(same, away, own)
         keep = node != label
-        yield from zip(node[keep].tolist(), label[keep].tolist(), strict=True)
+        found.append(np.stack((node[keep], label[keep]), axis=1))
         lo = hi
+    yield from map(tuple, np.unique(np.concatenate(found), axis=0).tolist())
 
 
 GRID = 64 << 20
@@ -306,52 +314,82 @@ def crowds(members: DataFrame) -> DataFrame:
     return members.join(covered, "key", "left_anti").select("key", "component")
 
 
-def tile_links(active: DataFrame, pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the sets linked between components that met.
+def dealt(c: str) -> Column:
+    """How many tiles c sets make."""
+    return F.ceil(F.col(c) / TILE).cast("int")
 
-    A tile is named by (crowd, home, i, j): of a crowd, or of the component ``home`` and all that visit it.
-    """
-    size = materialise(active.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("k")))
-    sized = pairs.join(size.select(F.col("c").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("c").alias("b"), F.col("k").alias("kb")), "b")
-    swap = F.col("kb") > F.col("ka")
-    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("home"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("component"), F.greatest("ka", "kb").alias("k"), F.least("ka", "kb").alias("v"))
-    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("doc"), tiles(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), tiles(c) - 1))
-    row = ["crowd", "home", "i", "j", "visits", "doc", "component", "n", "tokens"]
-    visited = sized.groupBy("home").agg(F.max("k").alias("k"), F.sum("v").alias("v"))
-    homes = active.join(visited.withColumnRenamed("home", "component"), "component").withColumns({"crowd": F.lit(False), "home": F.col("component"), "i": own("k"), "j": every("v"), "visits": F.lit(False)}).select(*row)
-    coming = sized.drop("v", "k").join(visited, "home")
-    visitors = active.join(coming, "component").withColumns({"crowd": F.lit(False), "i": every("k"), "j": own("v"), "visits": F.lit(True)}).select(*row)
-    crowd = materialise(crowds(members))
-    k = crowd.join(size.withColumnRenamed("c", "component"), "component").groupBy("key").agg(F.sum("k").alias("k"))
-    within = active.join(crowd.join(k, "key"), "component").withColumns({"crowd": F.lit(True), "home": F.col("key"), "at": own("k")}).withColumn("other", every("k"))
-    as_home = within.where("at <= other").withColumns({"i": F.col("at"), "j": F.col("other"), "visits": F.lit(False)}).select(*row)
-    as_visitor = within.where("at >= other").withColumns({"i": F.col("other"), "j": F.col("at"), "visits": F.lit(True)}).select(*row)
-    both = homes.unionByName(visitors).unionByName(as_home).unionByName(as_visitor)
+
+def own_tile(c: str) -> Column:
+    return F.pmod(F.xxhash64("doc"), dealt(c)).cast("int")
+
+
+def each_tile(c: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), dealt(c) - 1))
+
+
+PLACE = ["crowd", "home", "i", "j"]
+ROW = [*PLACE, "visits", "component", "n", "tokens"]
+
+
+def linked(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between the components of homes and visitors that link in a tile; rows have the columns ROW."""
 
     def compared(batches):
         key, homes, visitors = None, [], []
 
         def done():
-            if homes and visitors and (homes[0][3] != visitors[0][3] or len({r[3] for r in homes} | {r[3] for r in visitors}) > 1):
+            if homes and visitors:
                 yield from compare(homes, visitors, percent)
 
         for batch in batches:
             out = []
-            for *place, visits, doc, component, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *place, visits, component, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place != key or len(visitors) >= TILE:
                     out += done()
                     homes, visitors = homes if place == key else [], []
                     key = place
-                (visitors if visits else homes).append((doc, n, body, component))
+                (visitors if visits else homes).append((component, n, body))
             if out:
                 yield to_batch(out, PAIR)
         if out := list(done()):
             yield to_batch(out, PAIR)
 
-    both = both.repartition(parts(active.sparkSession), "crowd", "home", "i", "j").sortWithinPartitions("crowd", "home", "i", "j", "visits")
-    return both.mapInArrow(compared, "a long, b long")
+    rows = rows.select(*ROW).repartition(parts(rows.sparkSession), *PLACE).sortWithinPartitions(*PLACE, "visits")
+    return rows.mapInArrow(compared, "a long, b long")
+
+
+def crowd_links(active: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) found by holding every set of a crowd against about CENTRES of them, the same for all.
+
+    Each component takes part in the largest crowd it is in. What these links join need not be compared any more, so
+    that a group of near copies does not meet itself pair by pair.
+    """
+    top = members.groupBy("component").agg(F.max(F.struct("size", "key")).alias("top")).select("component", F.col("top.key").alias("home"))
+    rows = materialise(active.join(top, "component").withColumn("crowd", F.lit(True)))
+    size = rows.groupBy("home").agg(F.count("*").alias("k"))
+    rows = rows.join(size, "home").withColumn("i", F.lit(0))
+    centres = rows.where(F.pmod(F.xxhash64("doc", F.lit(1)), F.col("k")) < CENTRES).withColumns({"j": each_tile("k"), "visits": F.lit(False)})
+    return linked(centres.select(*ROW).unionByName(rows.withColumns({"j": own_tile("k"), "visits": F.lit(True)}).select(*ROW)), percent)
+
+
+def tile_links(active: DataFrame, pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between components that met and have sets that link.
+
+    A tile is named by (crowd, home, i, j): of a crowd, or of the component ``home`` and all that visit it.
+    """
+    size = materialise(active.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("k")))
+    sized = pairs.join(size.select(F.col("c").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("c").alias("b"), F.col("k").alias("kb")), "b")
+    swap = F.col("kb") > F.col("ka")
+    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("home"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("component"), F.greatest("ka", "kb").alias("k"), F.least("ka", "kb").alias("v"))
+    visited = sized.groupBy("home").agg(F.max("k").alias("k"), F.sum("v").alias("v"))
+    homes = active.join(visited.withColumnRenamed("home", "component"), "component").withColumns({"crowd": F.lit(False), "home": F.col("component"), "i": own_tile("k"), "j": each_tile("v"), "visits": F.lit(False)})
+    visitors = active.join(sized.drop("v", "k").join(visited, "home"), "component").withColumns({"crowd": F.lit(False), "i": each_tile("k"), "j": own_tile("v"), "visits": F.lit(True)})
+    crowd = materialise(crowds(members))
+    k = crowd.join(size.withColumnRenamed("c", "component"), "component").groupBy("key").agg(F.sum("k").alias("k"))
+    within = active.join(crowd.join(k, "key"), "component").withColumns({"crowd": F.lit(True), "home": F.col("key"), "at": own_tile("k")}).withColumn("other", each_tile("k"))
+    as_home = within.where("at <= other").withColumns({"i": F.col("at"), "j": F.col("other"), "visits": F.lit(False)})
+    as_visitor = within.where("at >= other").withColumns({"i": F.col("other"), "j": F.col("at"), "visits": F.lit(True)})
+    return linked(homes.select(*ROW).unionByName(visitors.select(*ROW)).unionByName(as_home.select(*ROW)).unionByName(as_visitor.select(*ROW)), percent)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -371,10 +409,19 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     # written, so that Spark can split the joins at a very common set
     classes = materialise(sets.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc").alias("first")))
     active = materialise(active_sets(rows, classes.select(F.col("node").alias("doc"), "n"), words, percent))
-    first = materialise(first_links(active, percent))
-    label = components(first).select(F.col("node").alias("doc"), "component")
-    marked = materialise(active.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-    label = components(first.unionByName(materialise(tile_links(marked, *contacts(marked, percent), percent))))
+    edges = materialise(first_links(active, percent))
+
+    def marked():
+        label = components(edges).select(F.col("node").alias("doc"), "component")
+        return materialise(active.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+
+    now = marked()
+    pairs, members = contacts(now, percent)
+    if not members.isEmpty():
+        edges = materialise(edges.unionByName(crowd_links(now, members, percent)))
+        now = marked()
+        pairs, members = contacts(now, percent)
+    label = components(edges.unionByName(materialise(tile_links(now, pairs, members, percent))))
     grouped = materialise(classes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")))
     lowest = grouped.groupBy("group").agg(F.min("first").alias("first"))
     named = materialise(grouped.select("node", "group").join(lowest, "group"))
