@@ -6,16 +6,16 @@ of each label: a vector lives in the cell of its nearest pivot. It also visits e
 that a neighbour within eps can live in: by the triangle inequality those whose pivot is
 at most 2 eps farther than its own, and at most eps farther than the cell reaches; and
 those whose bisecting plane with its own pivot is within eps. Cells join independently:
-visitors against residents, in tiles of at most ``TILE`` rows a side on average, so that
+visitors against residents, both dealt to tiles, about ``TILE`` residents each, so that
 no cell or label has to fit into one task. A tile returns link counts and one label for
 each vector, not its pairs; the labels' edges go through connected components.
 
-Equal vectors of a label collapse first to the smallest vec_id with their number.
+Equal vectors of a label collapse first to a numbered class with their count.
 
 Defined cases: a null label, a null, empty or zero vector, and one with null or non-finite
 components link with nothing. Vectors of different lengths don't link. Rows with the same
-vec_id are separate vectors with one id. A null vec_id sorts first and stays null. Other
-columns are ignored.
+or no vec_id are separate vectors, each with its own links. A null vec_id sorts first and
+stays null. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def cells(x: np.ndarray, pivots: np.ndarray, eps: float, reach: np.ndarray | Non
 def tile_result(home_id, home_n, home_x, visit_id, visit_x, least: float):
     """(id, links, label): links counted for visitors, label the smallest id linked in this tile."""
     same = visit_x @ home_x.T >= least
-    same &= visit_id[:, None] != home_id[None, :]
+    same &= visit_id[:, None] != home_id[None, :]  # class numbers, so never two different vectors
     if not same.any():
         return None
     node, label = tile_labels(same, visit_id, home_id)
@@ -78,18 +78,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     good = F.col("label").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     usable = rows.where("good").withColumn("kind", F.concat_ws(":", F.size("x"), "label"))
-    classes = materialise(usable.groupBy("kind", "x").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    # numbered once and written; ids can be shared by unlike vectors
+    classes = materialise(usable.groupBy("kind", "x").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
 
     # pivots: the share of a kind above one cell, PIVOTS at most in all
     sizes = classes.groupBy("kind").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL)
     many = sizes.agg(F.sum("rows")).first()[0] or 0
     wanted = F.least(F.ceil(F.col("rows") / CELL), F.greatest(F.lit(2), F.floor(F.lit(PIVOTS / 2) * F.col("rows") / F.lit(max(many, 1))))).alias("k")
     sizes = sizes.select("kind", "rows", wanted).orderBy(F.desc("rows"), "kind").limit(PIVOTS // 4)
-    drawn = classes.select("kind", "rep", "x", F.xxhash64("rep").alias("h")).join(F.broadcast(sizes), "kind")
+    drawn = classes.select("kind", "node", "x", F.xxhash64("x").alias("h")).join(F.broadcast(sizes), "kind")
     # a hash bound that lets about twice the wanted number through, then the smallest of them
     share = F.col("k") * 2.0 / F.col("rows") + 0.002
     drawn = drawn.where((F.col("h").cast("double") / 2.0**64 + 0.5) < share)
-    drawn = drawn.groupBy("kind").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "rep", "x"))), 1, PIVOTS).alias("p"), F.first("k").alias("k"))
+    drawn = drawn.groupBy("kind").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "node", "x"))), 1, PIVOTS).alias("p"), F.first("k").alias("k"))
     pivots = {r["kind"]: np.array([p["x"] for p in r["p"][: r["k"]]], np.float64) for r in drawn.toLocalIterator()}
     pivots = {kind: p / np.sqrt((p * p).sum(axis=1, keepdims=True)) for kind, p in pivots.items()}
     sent = spark.sparkContext.broadcast(pivots)
@@ -124,7 +125,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     def dealt(batches):
         for batch in batches:
-            rep, n = (t.column(batch, c).to_numpy() for c in ("rep", "n"))
+            node, n = (t.column(batch, c).to_numpy() for c in ("node", "n"))
             for name, at, x in per_kind(batch):
                 if name in sent.value:
                     home, row, to, _ = cells(x, sent.value[name], eps, far.value[name])
@@ -137,7 +138,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                     body = x[who].astype("<f8")
                     width = body.shape[1] * 8
                     packed = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer((np.arange(len(who) + 1) * width).astype("<i4")), pa.py_buffer(np.ascontiguousarray(body))])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(who)), pa.array(where, pa.int32()), pa.array(pick >= len(x)), pa.array(rep[at[who]]), pa.array(n[at[who]]), packed], names=["kind", "cell", "visits", "id", "n", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(who)), pa.array(where, pa.int32()), pa.array(pick >= len(x)), pa.array(node[at[who]]), pa.array(n[at[who]]), packed], names=["kind", "cell", "visits", "id", "n", "x"])
 
     def joined(batches):
         key, homes, visitors = None, [], []
@@ -161,16 +162,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     tiles = F.ceil(F.col("rows") / TILE).cast("int")
     placed = classes.mapInArrow(dealt, "kind string, cell int, visits boolean, id long, n long, x binary")
     placed = placed.join(cell.select("kind", "cell", F.col("n").alias("rows")).where("rows > 0"), ["kind", "cell"])
-    side = F.when(F.col("visits"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), tiles).cast("int")))
-    row = ["kind", "cell", "tile", "visits", "id", "n", "x"]
-    placed = placed.withColumn("tile", F.explode(side)).select(*row)
+    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    i, j = F.when(F.col("visits"), F.col("other")).otherwise(own), F.when(F.col("visits"), own).otherwise(F.col("other"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    placed = placed.select("kind", "cell", F.struct(i.alias("i"), j.alias("j")).alias("tile"), "visits", "id", "n", "x").select("kind", "cell", (F.col("tile.i").cast("long") * (1 << 31) + F.col("tile.j")).alias("tile"), "visits", "id", "n", "x")
     placed = placed.repartition(parts(spark), "kind", "cell", "tile").sortWithinPartitions("kind", "cell", "tile", "visits")
     found = materialise(placed.mapInArrow(joined, "id long, links long, label long"))
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("label").alias("b")))
-    info = classes.select("kind", "x", "rep", "n").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("kind", "x", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    info = classes.join(links.withColumnRenamed("id", "node"), "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    info = materialise(info.select("kind", "x", "first", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")))
+    lowest = info.groupBy("component").agg(F.min("first").alias("lowest"))
+    info = info.join(lowest, "component").select("kind", "x", "links", F.col("lowest").alias("component"))
     with_links = usable.join(info, ["kind", "x"]).select("id", "links", "component")
     alone = rows.where("NOT good").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     out = with_links.unionByName(alone)

@@ -361,3 +361,29 @@ def test_a_vector_visits_the_cell_of_a_pivot_nearly_equal_to_its_own():
     x, pivots = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, pivots))
     home, row, cell, _ = embedding_join.cells(x, pivots, 0.2, np.full(2, 0.2))
     assert home.tolist() == [1, 0] and (1, 1) in zip(row.tolist(), cell.tolist())
+
+
+def brute_vectors(rows, least=0.98):
+    """[(id, links, component)] of (id, vector, label) rows, each a vector of its own."""
+    unit = [None if l is None or x is None or any(v is None or not np.isfinite(v) for v in x) or not any(x) else np.array(x, float) / np.sqrt((np.array(x, float) ** 2).sum()) for _, x, l in rows]
+    near = [[b for b in range(len(rows)) if b != a and unit[a] is not None and unit[b] is not None and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least] for a in range(len(rows))]
+    group, low = list(range(len(rows))), lambda i: (i is not None, i or 0)
+    for _ in rows:
+        group = [min([group[a], *(group[b] for b in near[a])]) for a in range(len(rows))]
+    lowest = {g: min((rows[a][0] for a in range(len(rows)) if group[a] == g), key=low) for g in set(group)}
+    return sorted(((str(rows[a][0]), len(near[a]), str(lowest[group[a]])) for a in range(len(rows))))
+
+
+@pytest.mark.parametrize("tile", [embedding_join.TILE, 3])
+def test_vectors_that_share_an_id_or_have_none(spark, monkeypatch, tile):
+    monkeypatch.setattr(embedding_join, "TILE", tile)
+    rng = np.random.default_rng(4)
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(7, x, 1), (7, y, 1), (1, [1.0, 0.01, 0.0], 1), (2, [0.01, 1.0, 0.0], 1), (3, [0.0, 1.0, 0.01], 1), (9, [0.0, 0.0, 1.0], 1), (9, [0.01, 0.0, 1.0], 1)]
+    rows += [(None, [0.5, 0.5, 0.5], 1), (None, [1.0, 0.02, 0.0], 1), (None, [-1.0, 0.0, 0.3], 1), (8, None, 1), (8, x, None), (8, [0.0, 0.0, 0.0], 1), (5, x, 1), (5, x, 1)]
+    rows += [(int(i % 5), (np.eye(3)[i % 3] + 0.05 * rng.normal(size=3)).tolist(), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = embedding_join.near_vectors(with_clashes(df)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute_vectors(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+    assert embedding_join.near_vectors(df.limit(0)).count() == 0
