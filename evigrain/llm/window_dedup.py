@@ -5,9 +5,10 @@ the hashes to shuffle partitions by hash and finds there each window that also s
 earlier. ``remove_windows`` merges these windows into maximal intervals per document.
 
 Only compact rows are shuffled: a task packs the windows that go to one bucket into one
-row (9 bytes of hash, 1 to 2 for the place), in flushes of bounded size. One window's
-occurrences are a few bytes each, in sorted arrays, so a passage in a third of all
-documents stays far smaller than a bucket's share of all windows.
+row (9 bytes of hash, 1 to 2 for the place), in flushes of ``FLUSH`` windows. Of a window
+that occurs several times in a flush only the first place goes to the window's bucket; the
+others are later ones for certain and go to their documents straight away. A passage in a
+third of all documents thus costs its bucket one entry a flush.
 
 A window's identity has 72 + log2(buckets) bits: all 64 of one hash, and of a second hash,
 over other codes of the bytes, one byte and the bucket, which comes from bits outside that
@@ -15,8 +16,8 @@ byte. D distinct windows give about D^2 / (2^73 * buckets) false repeats in all.
 
 Defined cases: null or empty text, or fewer words than a window: nothing is removed. Rows
 with the same doc_id count as one document (identical places never count as earlier), and
-each of them gets a result row. A null doc_id sorts before all others. Other columns of
-the input are ignored.
+each of them gets a result row. A null doc_id sorts before all others. An empty table
+gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -143,38 +144,70 @@ def pack_held(held: list, buckets: int):
     return pack(bucket_of(h, buckets), buckets, doc, at, h)
 
 
+def later_places(doc: np.ndarray, at: np.ndarray, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, extra): entries whose window has an earlier place among these, and all that needn't be passed on."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(h) else order
+    order = order[np.lexsort((at[order], doc[order], check[order], h[order]))]
+    d, a, x, c = doc[order], at[order], h[order], check[order]
+    head = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (c[1:] != c[:-1]))))[: len(x)]
+    size = np.diff(np.append(head, len(x)))
+    later, extra = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    later[order] = (d != np.repeat(d[head], size)) | (a != np.repeat(a[head], size))
+    extra[order] = True
+    extra[order[head]] = False
+    return later, extra
+
+
+def place_batches(doc: np.ndarray, at: np.ndarray, buckets: int):
+    """Places packed for the buckets of their documents."""
+    order = np.lexsort((at, doc))
+    if len(order):
+        yield to_batch(list(pack(bucket_of(t.mix(doc[order].view(np.uint64)), buckets), buckets, doc[order], at[order])), PACKED_ARROW)
+
+
 def mark_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
     """Words of windows that also start earlier: rows (doc, gone), gone the merged intervals start, end, start, end ..."""
     buckets = parts(docs.sparkSession)
 
+    def windows(batches):
+        for batch in batches:
+            doc = ids(batch, "doc")
+            for lo, _, buf, offs in t.chunks(t.column(batch, "body")):
+                starts, ends, first = t.words(buf, offs)
+                at, which = t.window_starts(first, window)
+                if len(at):
+                    h, check = (t.range_hash(t.word_hashes(buf, starts, ends, codes), at, at + window) for codes in (t.BYTE_CODES, t.CHECK_CODES))
+                    yield doc[lo + which], at - first[which], h, check
+
     def hashed(batches):
-        def pieces():
-            for batch in batches:
-                doc = ids(batch, "doc")
-                for lo, _, buf, offs in t.chunks(t.column(batch, "body")):
-                    starts, ends, first = t.words(buf, offs)
-                    at, which = t.window_starts(first, window)
-                    if len(at):
-                        h, check = (t.range_hash(t.word_hashes(buf, starts, ends, codes), at, at + window) for codes in (t.BYTE_CODES, t.CHECK_CODES))
-                        yield doc[lo + which], at - first[which], h, check
-
-        yield from pack_all(pieces(), buckets)
+        held, n = [], 0
+
+        def sent():
+            doc, at, h, check = (np.concatenate(x) for x in zip(*held, strict=True))
+            later, extra = later_places(doc, at, h, check)
+            yield from place_batches(doc[later], at[later], buckets)
+            yield to_batch(list(pack_held([(doc[~extra], at[~extra], h[~extra], check[~extra])], buckets)), PACKED_ARROW)
+
+        for piece in windows(batches):
+            held.append(piece)
+            n += len(piece[0])
+            if n >= FLUSH:
+                yield from sent()
+                held, n = [], 0
+        if n:
+            yield from sent()
 
     def repeated(batches):
-        doc, at, h, check = unpack_wide(packed_rows(batches))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(h) else order
-        doc, at, h, check = doc[order], at[order], h[order], check[order]
-        order = np.lexsort((at, doc, check, h))
-        doc, at, h, check = doc[order], at[order], h[order], check[order]
-        head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]))))[: len(h)]
-        size = np.diff(np.append(head, len(h)))
-        later = (doc != np.repeat(doc[head], size)) | (at != np.repeat(at[head], size))
-        doc, at = doc[later], at[later]
-        order = np.lexsort((at, doc))
-        if len(order):
-            yield to_batch(list(pack(bucket_of(t.mix(doc[order].view(np.uint64)), buckets), buckets, doc[order], at[order])), PACKED_ARROW)
+        rows, known = [], []
+        for r in packed_rows(batches):
+            (rows if r[3] or not r[0] else known).append(r)
+        if known:
+            yield from place_batches(*unpack(known)[:2], buckets)
+        doc, at, h, check = unpack_wide(rows or [(b"",) * 4])
+        later, _ = later_places(doc, at, h, check)
+        yield from place_batches(doc[later], at[later], buckets)
 
     def merged(batches):
         doc, at, _ = unpack(packed_rows(batches))

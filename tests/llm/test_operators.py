@@ -387,3 +387,13 @@ def test_vectors_that_share_an_id_or_have_none(spark, monkeypatch, tile):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute_vectors(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert embedding_join.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("flush", [window_dedup.FLUSH, 50])
+def test_a_window_in_every_document(spark, monkeypatch, flush):
+    monkeypatch.setattr(window_dedup, "FLUSH", flush)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(i, f"{passage} own{i} {passage}") for i in range(300)] + [(0, f"{passage} own0 {passage}")]
+    got = window_dedup.remove_windows(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in got} == {(i, 51, 25 if i == 0 else 50, f"{passage} own0" if i == 0 else f"own{i}") for i in range(300)}
+    assert len(got) == 301
