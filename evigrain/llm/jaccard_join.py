@@ -19,8 +19,9 @@ smallest doc_id its links reach. The steps:
    them, two of which fall in the same of CLASSES hash classes, so the keys are pairs of
    frequent shingles of one class. Sets too small for that use single shingles.
 5. Components of step 3 that share a key are compared, set by set, and the links found
-   join them. A key with up to ``CROWD`` components gives their pairs. The components of a
-   more crowded key are a crowd. Its sets are first held against some of them, the links
+   join them. Sets of a key are ordered by size, since links need similar sizes; where none
+   has more than ``CROWD`` others in reach, the key gives pairs of components. Otherwise its
+   components are a crowd. Its sets are first held against some of them, the links
    found join components, and the keys are read again with these. The crowds that remain are
    compared among themselves; one that lies within another is left to that. Crowds don't
    chain.
@@ -52,7 +53,7 @@ FREQUENT = 64
 CLASSES = 16
 KEYS = 4
 TILE = 512
-CROWD = 64
+CROWD = 24
 CENTRES = 48
 #: Sets below SMALL, or with fewer than CLASSES + 1 shingles to share, index single shingles only; those up to what can link with them do both.
 SMALL = 23
@@ -256,42 +257,52 @@ def contacts(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     def indexed(batches):
         def pieces():
             for batch in batches:
-                comp, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                comp, size, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for c, n, rare, body in zip(*(batch.column(x).to_pylist() for x in ("component", "n", "rare", "tokens")), strict=True):
                     got = t.mix(index_keys(n, rare, tokens_of(body), percent))
                     keys.append(got)
                     comp.append(np.full(len(got), c, np.int64))
-                comp, keys = np.concatenate(comp), np.concatenate(keys)
-                order = np.lexsort((keys, comp))
-                comp, keys = comp[order], keys[order]
-                new = np.concatenate(([True], (comp[1:] != comp[:-1]) | (keys[1:] != keys[:-1])))[: len(comp)]
-                yield comp[new], np.zeros(int(new.sum()), np.int64), keys[new]
+                    size.append(np.full(len(got), n, np.int64))
+                comp, size, keys = np.concatenate(comp), np.concatenate(size), np.concatenate(keys)
+                order = np.lexsort((size, keys, comp))
+                comp, size, keys = comp[order], size[order], keys[order]
+                new = distinct(comp, size, keys)
+                yield comp[new], size[new], keys[new]
 
         yield from pack_all(pieces(), buckets)
 
     def met(batches):
-        comp, _, h = unpack(packed_rows(batches))
-        order = np.lexsort((comp, h))
-        comp, h = comp[order], h[order]
-        new = np.concatenate(([True], (comp[1:] != comp[:-1]) | (h[1:] != h[:-1])))[: len(comp)]
-        comp, h = comp[new], h[new]
+        comp, n, h = unpack(packed_rows(batches))
+        order = np.lexsort((comp, n, h))
+        comp, n, h = comp[order], n[order], h[order]
+        new = distinct(comp, n, h)
+        comp, n, h = comp[new], n[new], h[new]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
-        size = np.diff(np.append(head, len(h)))
-        left = np.repeat(head + size, size) - np.arange(len(h))  # of its key from here on
-        size = np.repeat(size, size)
-        crowd = np.flatnonzero(size > CROWD)
-        for lo in range(0, len(crowd), 1 << 16):
-            part = crowd[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[part].view(np.int64), comp[part], size[part])], names=MET)
-        live, d = np.flatnonzero((size <= CROWD) & (left > 1)), 1
+        key = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+        # how many of its key follow that are not too long for it
+        near = np.searchsorted(key * (1 << 32) + n, key * (1 << 32) + n * 100 // percent, "right") - np.arange(len(h)) - 1
+        most = np.maximum.reduceat(near, head) if len(head) else near
+        crowd = most[key] > CROWD
+        a, b = h[crowd].view(np.int64), comp[crowd]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = distinct(a, b)
+        a, b = a[new], b[new]
+        head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))[: len(a)]
+        size = np.diff(np.append(head, len(a)))
+        found = [(a, b, np.repeat(size, size))]
+        live, d = np.flatnonzero(~crowd & (near > 0)), 1
         pairs = [np.zeros((0, 2), np.int64)]
         while len(live):
-            pairs.append(np.unique(np.stack((comp[live], comp[live + d]), axis=1), axis=0))
+            x, y = comp[live], comp[live + d]
+            pairs.append(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1)[x != y], axis=0))
             d += 1
-            live = live[left[live] > d]
-        a, b = np.unique(np.concatenate(pairs), axis=0).T
-        for lo in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)], np.zeros(len(a[lo : lo + (1 << 16)]), np.int64))], names=MET)
+            live = live[near[live] >= d]
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        found.append((*pairs.T, np.zeros(len(pairs), np.int64)))
+        for part in found:
+            for lo in range(0, len(part[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)], pa.int64()) for x in part], names=MET)
 
     found = materialise(active.mapInArrow(indexed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(met, "a long, b long, size long"))
     return found.where("size = 0").select("a", "b").distinct(), found.where("size > 0").select(F.col("a").alias("key"), F.col("b").alias("component"), "size")
@@ -300,6 +311,12 @@ def contacts(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 MET = ["a", "b", "size"]
 
 
+def distinct(*sorted_by: np.ndarray) -> np.ndarray:
+    """The first of each run of rows that are equal in all columns."""
+    n = len(sorted_by[0])
+    return np.concatenate(([True], np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)))[:n] if n else np.zeros(0, bool)
+
+
 def crowds(members: DataFrame) -> DataFrame:
     """(key, component) of the crowded keys whose components are not all among another key's.
 
