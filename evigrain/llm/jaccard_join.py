@@ -23,8 +23,7 @@ smallest doc_id its links reach. The steps:
    has more than ``CROWD`` others in reach, the key gives pairs of components. Otherwise its
    components are a crowd. Its sets are first held against some of them, the links
    found join components, and the keys are read again with these. The crowds that remain are
-   compared among themselves; one that lies within another is left to that. Crowds don't
-   chain.
+   compared among themselves; keys that overlap by half make one crowd.
 6. Both sides of a comparison are dealt to tiles of ``TILE`` sets, so that a task reads
    two tiles at a time whatever the size of a group.
 
@@ -318,17 +317,18 @@ def distinct(*sorted_by: np.ndarray) -> np.ndarray:
 
 
 def crowds(members: DataFrame) -> DataFrame:
-    """(key, component) of the crowded keys whose components are not all among another key's.
+    """(key, component): the components of crowded keys, those of keys that overlap by half put together.
 
-    Each key is held against one other: the largest that its smallest component has. If all its components have that
-    too, the other key's crowd covers it.
+    Each key is held against one other: the largest that its smallest component has. If at least half of its components
+    have that too, both make one crowd, so that the keys of one passage compare their sets once.
     """
     largest = members.groupBy("component").agg(F.max(F.struct("size", "key")).alias("top"))
     first = members.groupBy("key").agg(F.min("component").alias("component"))
     over = first.join(largest, "component").select("key", F.col("top.key").alias("over")).where("key != over")
     both = members.join(over, "key").join(members.select(F.col("key").alias("over"), "component"), ["over", "component"])
-    covered = both.groupBy("key", "size").agg(F.count("*").alias("common")).where("common = size").select("key")
-    return members.join(covered, "key", "left_anti").select("key", "component")
+    merged = both.groupBy("key", "over", "size").agg(F.count("*").alias("common")).where("2 * common >= size")
+    named = materialise(components(merged, "key", "over").select(F.col("node").alias("key"), F.col("component").alias("name")))
+    return members.join(named, "key", "left").select(F.coalesce("name", "key").alias("key"), "component").distinct()
 
 
 def dealt(c: str) -> Column:
