@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="spark-")

@@ -182,11 +182,12 @@ def dedup_pairs(spark, sf_dir):
     return ranking.cluster_pairs(c.select("cluster_id", F.explode("record_ids").alias("record_id")))
 
 
-@query("SELECT count(*) FILTER (n % 5 = 0) / count(*) AS recall, count(*) AS k FROM (SELECT n FROM ranked JOIN records USING (record_id) ORDER BY score DESC, record_id LIMIT 50)", RECORDS, RANKED)
+@query(
+    """SELECT count(t.record_id) / nullif(count(*), 0) AS recall, count(*) AS relevant FROM (SELECT record_id FROM records WHERE n % 5 = 0)
+LEFT JOIN (SELECT record_id FROM ranked ORDER BY score DESC, record_id LIMIT 50) t USING (record_id)""", RECORDS, RANKED)
 def recall_at_k(spark, sf_dir):
     r = D.records(spark, sf_dir)
-    top = ranking.top(ranking.scores(r, TERMS), 50).select("record_id").join(r.select("record_id", "n"), "record_id")
-    return top.agg((F.count_if(F.expr("n % 5 = 0")) / F.count("*")).alias("recall"), F.count("*").alias("k"))
+    return ranking.recall_at(ranking.scores(r, TERMS), r.where("n % 5 = 0"), 50)
 
 
 # --- screening
@@ -278,9 +279,22 @@ def audit_append_hash(spark, sf_dir):
     return audit.append_hashes(D.audit_events(spark, sf_dir)).select("event_id", "previous_hash", "event_hash")
 
 
-@query("SELECT review_id, count(*) AS events, max_by(event_hash, k) AS head, 0 AS broken FROM chain GROUP BY review_id", D.AUDIT_EVENTS, CHAIN)
+TAMPERED = r"""tampered AS (SELECT c.review_id, c.k, e.seq, e.body, CASE WHEN e.seq % 101 = 7 THEN 'ev-0' ELSE c.event_id END AS event_id,
+    CASE WHEN e.seq % 97 = 3 THEN 'GENESIS' ELSE c.previous_hash END AS previous_hash, CASE WHEN e.seq % 89 = 5 THEN sha256('x') ELSE c.event_hash END AS event_hash
+    FROM chain c JOIN e USING (review_id, k) WHERE e.seq % 83 <> 2),
+judged AS (SELECT review_id, k, event_hash, previous_hash <> lag(event_hash, 1, 'GENESIS') OVER (PARTITION BY review_id ORDER BY seq) OR event_hash <> sha256(previous_hash || chr(10) || body)
+    OR row_number() OVER (PARTITION BY review_id, event_id ORDER BY seq) > 1 AS bad FROM tampered)"""
+
+
+@query("SELECT review_id, count(*) AS events, max_by(event_hash, k) AS head, count(*) FILTER (bad) AS broken FROM judged GROUP BY review_id", D.AUDIT_EVENTS, CHAIN, TAMPERED)
 def audit_chain_verify(spark, sf_dir):
-    return audit.verify_chain(audit.append_hashes(D.audit_events(spark, sf_dir)))
+    """Chains with changed hashes, wrong links, repeated ids and missing events."""
+    c, seq = audit.append_hashes(D.audit_events(spark, sf_dir)), F.col("seq")
+    c = c.where(seq % 83 != 2).withColumns({
+        "event_id": F.when(seq % 101 == 7, "ev-0").otherwise(F.col("event_id")), "previous_hash": F.when(seq % 97 == 3, audit.GENESIS).otherwise(F.col("previous_hash")),
+        "event_hash": F.when(seq % 89 == 5, F.sha2(F.lit("x"), 256)).otherwise(F.col("event_hash")),
+    })
+    return audit.verify_chain(c)
 
 
 @query("SELECT event_id, lag(event_id) OVER (PARTITION BY review_id ORDER BY seq) AS predecessor FROM audit_events QUALIFY predecessor IS NOT NULL", D.AUDIT_EVENTS)
@@ -850,14 +864,15 @@ for _name, _spec in CONTRACT_ROWS.items():
 
 # --- metrics of duplicate detection, replay keys and delivery chains
 @query(
-    """SELECT metric, value FROM (SELECT unnest(['tp', 'fp', 'fn']) AS metric, unnest([count(*) FILTER (e AND o), count(*) FILTER (o AND NOT e), count(*) FILTER (e AND NOT o)]) AS value FROM (
-    SELECT coalesce(x.e, false) AS e, coalesce(y.o, false) AS o FROM (SELECT a.record_id AS l, b.record_id AS r, true AS e FROM records a JOIN records b ON a.title = b.title AND a.record_id < b.record_id) x
-    FULL JOIN (SELECT left_id AS l, right_id AS r, true AS o FROM exact) y USING (l, r))) WHERE value > 0""", RECORDS, NORMAL, KEYS, EXACT)
+    """SELECT 'dedup.pair.' || name AS name, value, 'proportion' AS unit, n AS sample_size FROM (
+    SELECT tp + fp + fn AS n, unnest(['precision', 'recall', 'f1']) AS name, unnest([tp / nullif(tp + fp, 0), tp / nullif(tp + fn, 0), CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END]) AS value FROM (
+        SELECT count(*) FILTER (e AND o) AS tp, count(*) FILTER (o AND NOT e) AS fp, count(*) FILTER (e AND NOT o) AS fn FROM (
+            SELECT coalesce(x.e, false) AS e, coalesce(y.o, false) AS o FROM (SELECT a.record_id AS l, b.record_id AS r, true AS e FROM records a JOIN records b ON a.title = b.title AND a.record_id < b.record_id) x
+            FULL JOIN (SELECT left_id AS l, right_id AS r, true AS o FROM exact) y USING (l, r)))) WHERE value IS NOT NULL""", RECORDS, NORMAL, KEYS, EXACT)
 def metric_rows(spark, sf_dir):
     r = D.records(spark, sf_dir)
     expected = ranking.cluster_pairs(r.select(F.col("title"), "record_id"))
-    got = ranking.set_metrics(expected, dedup.exact_matches(r), ["left_id", "right_id"]).select("tp", "fp", "fn")
-    return got.unpivot([], ["tp", "fp", "fn"], "metric", "value").where("value > 0")
+    return ranking.metric_rows("dedup.pair", ranking.set_metrics(expected, dedup.exact_matches(r), ["left_id", "right_id"]))
 
 
 @query("SELECT event_id, sha256(array_to_string(['search', CAST(user_id AS VARCHAR), event_type, payload], chr(0))) AS replay_key, count(*) OVER (PARTITION BY user_id, event_type, payload) > 1 AS shared FROM (SELECT *, props AS payload FROM events)")
