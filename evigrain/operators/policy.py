@@ -105,3 +105,65 @@ def transitions(rows: DataFrame, entity: str, order: str, state: str, edges: lis
     known = F.array(*(F.lit(f"{a}>{b}") for a, b in edges))
     step = rows.select(entity, F.concat_ws(">", before, F.col(state)).alias("step"), before.isNotNull().alias("moved"), (before != F.col(state)).alias("changed"))
     return step.groupBy(entity).agg(F.count_if("moved").alias("steps"), F.count_if(F.col("changed") & ~F.array_contains(known, F.col("step"))).alias("broken"))
+
+
+#: Material that must not leave in a bundle (fixed values): names of files, and patterns over bytes.
+SECRET_FILES = (".env", ".env.local", "id_rsa", "id_ed25519", "credentials", "credentials.json", "service-account.json")
+SECRETS = {
+    "private_key": "-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "github_token": r"\bgh[pousr]_[A-Za-z0-9_]{20,}\b",
+    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "credential": r"""(?i)\b(?:password|passwd|api[_-]?key|client[_-]?secret)\s*[:=]\s*['"]?[^\s'"]{8,}""",
+}
+
+
+def scan_secrets(files: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, finding): files with a prohibited name, and each kind of secret that a file's bytes hold."""
+    data = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # a character a byte
+    named = F.lower(F.substring_index(path, "/", -1)).isin(*SECRET_FILES)
+    found = F.array_compact(F.array(F.when(named, "filename"), *(F.when(data.rlike(p), name) for name, p in SECRETS.items())))
+    return files.select(path, F.explode(found).alias("finding"))
+
+
+def verify_approvals(claims: DataFrame, registry: DataFrame, fields: list[str], now: str) -> DataFrame:
+    """claims with ``verified``: the registry holds the same record, null for null, and ``now`` (a column of claims) lies in [approved_at, expires_at).
+
+    approval_id is unique in the registry; both have the columns in ``fields``.
+    """
+    held = registry.select("approval_id", F.struct(*fields).alias("held"), "approved_at", "expires_at")
+    got = claims.join(held, "approval_id", "left")
+    ok = F.struct(*fields).eqNullSafe(F.col("held")) & (F.col(now) >= F.col("approved_at")) & (F.col(now) < F.col("expires_at"))
+    return got.withColumn("verified", F.coalesce(ok, F.lit(False))).drop("held", "approved_at", "expires_at")
+
+
+def evaluate_lifecycle(requests: DataFrame, policy: dict) -> DataFrame:
+    """(request_id, permitted, effects_authorized, blockers, warnings, receipt_required): may data be retained, exported or deleted.
+
+    The approval's columns (approval_id, approval_review, approval_action, approval_digest, approval_policy, verified) are
+    null without one; verified is that of ``verify_approvals``. The codes are fixed values.
+    """
+    c, act = F.col, lambda a: F.col("action") == a
+    given, apply = c("approval_id").isNotNull(), c("execution_mode") == "apply"
+    differs = lambda a, b: apply & given & ~F.coalesce(a == b, F.lit(False))
+    rules = {
+        "lifecycle.classification.denied": ~c("classification").isin(policy["classifications"]),
+        "lifecycle.retention.exceeds_policy": act("retain") & (F.coalesce("retention_days", F.lit(0)) > policy["maximum_retention_days"]),
+        "lifecycle.delete.immutable_audit_denied": act("delete") & c("includes_audit_log"),
+        "lifecycle.delete.legal_hold": act("delete") & c("legal_hold"),
+        "lifecycle.apply.approval_required": apply & ~given,
+        "lifecycle.apply.approval_review_mismatch": differs(c("approval_review"), c("review_id")),
+        "lifecycle.apply.approval_action_mismatch": differs(c("approval_action"), c("action")),
+        "lifecycle.apply.approval_digest_mismatch": differs(c("approval_digest"), c("digest")),
+        "lifecycle.apply.approval_policy_mismatch": differs(c("approval_policy"), F.lit(policy["policy_id"])),
+        "lifecycle.apply.approval_verification_failed": apply & given & ~F.coalesce("verified", F.lit(False)),
+    }
+    notes = {"lifecycle.preview.no_effects": ~apply, "lifecycle.export.destination_review_required": act("export"), "lifecycle.delete.tombstones_required": act("delete")}
+    codes = lambda d: F.array_join(F.array_compact(F.array(*(F.when(v, k) for k, v in d.items()))), ",")
+    got = requests.select("request_id", codes(rules).alias("blockers"), codes(notes).alias("warnings"), apply.alias("receipt_required"))
+    permitted = c("blockers") == ""
+    return got.select("request_id", permitted.alias("permitted"), (permitted & c("receipt_required")).alias("effects_authorized"), "blockers", "warnings", "receipt_required")
+
+
+def leaked_keys(rows: DataFrame, key: str, payload: str, forbidden: tuple[str, ...]) -> DataFrame:
+    """(key): rows whose JSON has one of the forbidden keys at any depth; text inside strings doesn't count."""
+    return rows.where(F.col(payload).rlike('(^|[^\\\\])"(' + "|".join(forbidden) + ')"\\s*:')).select(key)

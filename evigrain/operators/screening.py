@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def admit(decisions: DataFrame, required: int = 2, agent_may_exclude: bool = False) -> DataFrame:
-    """(decision_id, admitted, rejection): the first rule each decision breaks, in order of time and id.
+def judged(decisions: DataFrame, required: int = 2, agent_may_exclude: bool = False) -> DataFrame:
+    """decisions with ``rejection``: the first rule each breaks, in order of time and id; null where it breaks none.
 
     Row rules come first, then a repeated decision_id, a reviewer who decided before, and a
     full quorum of humans (counting the humans that come before by these rules).
@@ -27,7 +27,12 @@ def admit(decisions: DataFrame, required: int = 2, agent_may_exclude: bool = Fal
     d = d.withColumn("counts", F.col("ok") & (F.col("turn") == 1) & (F.col("reviewer_kind") == "human"))
     d = d.withColumn("humans", F.sum(F.col("counts").cast("int")).over(W.partitionBy("subject_id", "round").orderBy(*order)))
     rejection = F.coalesce(F.col("wrong"), F.when(F.col("same_id") > 1, "duplicate_decision_id").when(F.col("turn") > 1, "duplicate_reviewer").when(F.col("counts") & (F.col("humans") > required), "independent_review_complete"))
-    return d.select("decision_id", rejection.isNull().alias("admitted"), rejection.alias("rejection"))
+    return d.withColumn("rejection", rejection)
+
+
+def admit(decisions: DataFrame, required: int = 2, agent_may_exclude: bool = False) -> DataFrame:
+    """(decision_id, admitted, rejection) by the rules of ``judged``."""
+    return judged(decisions, required, agent_may_exclude).select("decision_id", F.isnull("rejection").alias("admitted"), "rejection")
 
 
 def status(decisions: DataFrame, resolutions: DataFrame, required: int = 2) -> DataFrame:
@@ -50,3 +55,40 @@ def confirmed_agent_exclusions(decisions: DataFrame) -> DataFrame:
     agent = d.where("reviewer_kind = 'agent'").select("subject_id", "round", F.col("decision_id").alias("agent_decision_id"))
     human = d.where("reviewer_kind = 'human'").select("subject_id", "round", F.col("decision_id").alias("human_decision_id"))
     return agent.join(human, ["subject_id", "round"]).select("agent_decision_id", "human_decision_id")
+
+
+def resolve(decisions: DataFrame, requests: DataFrame, required: int = 2) -> DataFrame:
+    """(request_id, accepted, rejection) of adjudications (request_id, subject_id, round, adjudicator_id, decision_ids).
+
+    An adjudication names all human decisions of a conflict and comes from someone who made none. The first accepted one
+    (by request_id) finalises its round; a round without decisions has no conflict.
+    """
+    human = F.col("reviewer_kind") != "agent"
+    known = decisions.groupBy("subject_id", "round").agg(
+        F.collect_set(F.when(human, F.col("decision_id"))).alias("known"), F.collect_set("reviewer_id").alias("reviewers"), F.count_if(human).alias("humans"), F.count_distinct(F.when(human, F.col("decision"))).alias("kinds")
+    )
+    ids = F.array_distinct("decision_ids")
+    wrong = (
+        F.when(F.coalesce(F.col("humans") < required, F.lit(True)) | (F.col("kinds") < 2), "no_conflict")
+        .when(F.size(F.array_except(ids, "known")) > 0, "unknown_decision")
+        .when(F.size(ids) < F.size("known"), "incomplete_resolution")
+        .when(F.array_contains("reviewers", F.col("adjudicator_id")), "adjudicator_not_independent")
+    )
+    r = requests.join(known, ["subject_id", "round"], "left").withColumn("wrong", wrong)
+    w = W.partitionBy("subject_id", "round").orderBy("request_id").rowsBetween(W.unboundedPreceding, -1)
+    done = F.coalesce(F.count_if(F.isnull("wrong")).over(w), F.lit(0)) > 0
+    rejection = F.when(done, "round_finalized").otherwise(F.col("wrong"))
+    return r.select("request_id", rejection.isNull().alias("accepted"), rejection.alias("rejection"))
+
+
+def apply_bulk(decisions: DataFrame, previews: DataFrame, **rules) -> DataFrame:
+    """(board_id, state, decisions, first_rejection): a board's batch of decisions is applied whole or not at all.
+
+    ``decisions`` has a column board_id (a board's decisions are one batch), ``previews`` the board's revision now and at the
+    preview. stale_preview comes before the rules; first_rejection is that of the earliest decision that breaks one.
+    """
+    first = F.min(F.when(F.col("rejection").isNotNull(), F.struct("decided_at", "decision_id", "rejection")))
+    batch = judged(decisions, **rules).groupBy("board_id").agg(F.count("*").alias("decisions"), first["rejection"].alias("first_rejection"))
+    got = previews.join(batch, "board_id", "left").withColumn("decisions", F.coalesce("decisions", F.lit(0).cast("long")))
+    state = F.when(F.col("decisions") == 0, "empty_submission").when(F.col("base_revision") != F.col("revision"), "stale_preview").when(F.col("first_rejection").isNotNull(), "rejected").otherwise("applied")
+    return got.select("board_id", state.alias("state"), "decisions", "first_rejection")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -107,7 +108,6 @@ def merkle_roots(leaves: DataFrame, group: str, order: str, value: str) -> DataF
 
     One fold per level over whole frames, so a group's leaves never meet in one task.
     """
-    from pyspark.sql import Window as W
 
     from .components import cut
 
@@ -122,3 +122,22 @@ def merkle_roots(leaves: DataFrame, group: str, order: str, value: str) -> DataF
         level = cut(pair.join(alone, F.col(group) == F.col("g")).select(group, "i", F.when(done, F.col("left")).otherwise(F.sha2(F.concat("left", "right"), 256)).alias("h")))
         most = -(-most // 2)
     return level.join(sizes, group).select(group, "leaves", F.col("h").alias("root"))
+
+
+def receipt_integrity(records: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(receipt_id, problem, records): receipts that records (record_id, receipt_id) name and nobody holds, and those (receipt_id, stated) that state another number of records."""
+    found = records.groupBy("receipt_id").agg(F.count("*").alias("records"))
+    got = found.join(receipts, "receipt_id", "full").withColumn("records", F.coalesce("records", F.lit(0).cast("long")))
+    problem = F.when(F.col("stated").isNull(), "unresolved_receipt").when(F.col("stated") != F.col("records"), "count_mismatch")
+    return got.withColumn("problem", problem).where("problem IS NOT NULL").select("receipt_id", "problem", "records")
+
+
+def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, rows): keys that must be unique and are not."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
+
+
+def broken_spans(spans: DataFrame, group: str, order: str, start: str, end: str) -> DataFrame:
+    """Spans that start before the one before them in their group ends, or end before they start."""
+    w = W.partitionBy(group).orderBy(order)
+    return spans.withColumn("previous_end", F.lag(end).over(w)).where(f"{start} < previous_end OR {end} < {start}")

@@ -280,3 +280,33 @@ def native_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
     kind = F.when(rest.rlike(r"(?i)^[#()0-9\s]*([0-9]\s*(and|or|not)\s*#?[0-9()\s#]*)+$"), "combination").otherwise("search")
     got = line.select(key, (F.col("line") + 1).alias("line"), start.alias("start_byte"), (start + F.octet_length(content)).alias("end_byte"), set_id.alias("set_id"), kind.alias("kind"), content.alias("content"))
     return got.where(F.trim("content") != "")
+
+
+def _suffix(mark: str, fields: tuple[str, ...], close: str = "") -> str:
+    f = "(" + "|".join(fields) + ")"
+    return f"{mark}{f}(,{f})*{close}$"
+
+
+def supported_line(dialect: Column, body: Column) -> Column:
+    """Whether a native line is in the part of its dialect's syntax that is understood; the marks are fixed values."""
+    low = F.lower(body)
+    rules = {
+        "pubmed": F.contains(body, F.lit("[")) & F.contains(body, F.lit("]")) & (F.contains(low, F.lit("[mesh terms]")) | F.contains(low, F.lit("[title/abstract]"))),
+        "ovid_medline": (F.startswith(low, F.lit("exp ")) & F.endswith(body, F.lit("/"))) | low.rlike(_suffix("\\.", ("ti", "ab", "kf"), "\\.")),
+        "psycinfo_ovid": F.endswith(body, F.lit("/")) | low.rlike(_suffix("\\.", ("ti", "ab", "id"), "\\.")),
+        "embase": (F.startswith(body, F.lit("'")) & F.contains(low, F.lit("'/exp"))) | low.rlike(_suffix(":", ("ti", "ab", "kw"))),
+        "cinahl_ebsco": low.rlike('^(\\(?mh "|ti |ab )'),
+        "scopus": F.startswith(low, F.lit("title-abs-key(")) & F.endswith(body, F.lit(")")),
+        "web_of_science": F.startswith(low, F.lit("ts=(")) & F.endswith(body, F.lit(")")),
+        "generic_boolean": F.trim(body) != "",
+    }
+    got = F.lit(False)
+    for name, rule in rules.items():
+        got = F.when(dialect == name, rule).otherwise(got)
+    return got
+
+
+def native_diagnostics(lines: DataFrame, dialect: str, body: str) -> DataFrame:
+    """Lines outside their dialect's subset, with the diagnostic's code; all are warnings that want a review."""
+    bad = lines.where(~F.coalesce(supported_line(F.col(dialect), F.col(body)), F.lit(False)))
+    return bad.withColumns({"code": F.concat(F.lit("native."), dialect, F.lit(".unsupported_syntax")), "severity": F.lit("warning"), "review_required": F.lit(True)})

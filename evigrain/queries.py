@@ -892,3 +892,233 @@ def lifecycle_head(spark, sf_dir):
     runs = living.lineage(chain.select(F.col("id").alias("run_id"), F.col("previous").alias("parent_id")), 64)
     heads = chain.join(chain.select(F.col("previous").alias("id")).where("id IS NOT NULL"), "id", "left_anti")
     return heads.join(runs, heads["id"] == runs["run_id"]).select("n_regionkey", F.col("ancestors").cast("long").alias("steps"), F.col("id").alias("head"))
+
+
+# --- further provider pages
+def _json_pages(items: DataFrame, head: str, tail: str) -> DataFrame:
+    """Pages of 25 items (n, item) as JSON texts."""
+    got = items.groupBy(F.floor(F.col("n") / 25).alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("x"))
+    return got.select("page", F.concat(F.lit(head), F.array_join(F.transform("x", lambda x: x["item"]), ","), F.lit(tail)).alias("payload"))
+
+
+BLOCKS = "blocks AS (SELECT *, n // 25 AS page, row_number() OVER (PARTITION BY n // 25 ORDER BY n) - 1 AS block FROM records)"
+
+
+@query(
+    """SELECT page, CASE WHEN n % 13 <> 0 THEN 'W' || n ELSE 'europe-pmc-' || block END AS record_id, CASE WHEN n % 13 <> 0 THEN 'W' || n ELSE '' END AS native_id, CASE WHEN n % 19 = 0 THEN '[untitled]' ELSE title END AS title, container,
+    CASE WHEN n % 17 <> 0 THEN year END AS year, doi, pmid, CASE WHEN len(authors) = 0 THEN 0 ELSE 1 END AS authors, sha256(abstract) AS abstract_sha256 FROM blocks""", RECORDS, BLOCKS)
+def src_europepmc(spark, sf_dir):
+    from .sources import tagged
+
+    r, n = D.records(spark, sf_dir), F.col("n")
+    item = F.struct(
+        F.when(n % 13 != 0, F.concat(F.lit("W"), "n")).alias("id"), "doi", "pmid", F.when(n % 19 != 0, F.col("title")).alias("title"), F.col("abstract").alias("abstractText"), F.when(F.size("authors") > 0, F.array_join("authors", ", ")).alias("authorString"),
+        F.col("container").alias("journalTitle"), F.when(n % 17 == 0, F.concat(F.col("year").cast("string"), F.lit(" Jan"))).otherwise(F.col("year").cast("string")).alias("pubYear"),
+    )
+    pages = _json_pages(r.select("n", F.to_json(item).alias("item")), '{"hitCount":7,"resultList":{"result":[', "]}}")
+    got = tagged.europepmc(pages, "page", "payload")
+    return got.select("page", "record_id", "native_id", "title", "container", "year", "doi", "pmid", F.size("authors").cast("long").alias("authors"), F.sha2("abstract", 256).alias("abstract_sha256"))
+
+
+@query(
+    """SELECT page, 'clinicaltrials-' || coalesce(trim(trial), 'trial-' || block) AS record_id, CASE WHEN n % 19 = 0 THEN '[untitled trial]' ELSE title END AS title, trim(trial) AS trial, array_to_string(subjects, ',') AS subjects,
+    'https://clinicaltrials.gov/study/' || coalesce(trim(trial), 'trial-' || block) AS url, CAST(year AS VARCHAR) AS date, sha256(abstract) AS abstract_sha256 FROM blocks""", RECORDS, BLOCKS)
+def src_ctgov(spark, sf_dir):
+    from .sources import tagged
+
+    r, n = D.records(spark, sf_dir), F.col("n")
+    title = F.when(n % 19 != 0, F.col("title"))
+    names = [F.trim("trial").alias("nctId"), F.when(n % 5 != 0, title).alias("briefTitle"), F.when(n % 5 == 0, title).alias("officialTitle")]
+    more = [F.struct(F.col("subjects").alias("conditions")).alias("conditionsModule"), F.struct(F.col("abstract").alias("briefSummary")).alias("descriptionModule"), F.struct(F.struct(F.col("year").cast("string").alias("date")).alias("startDateStruct")).alias("statusModule")]
+    nested = F.struct(F.struct(*names).alias("identificationModule"), *more)
+    item = F.when(n % 6 == 1, F.to_json(nested)).when(n % 6 == 2, F.to_json(F.struct(F.struct(*names, *more).alias("protocolSection")))).otherwise(F.to_json(F.struct(nested.alias("protocolSection"))))
+    pages = _json_pages(r.select("n", item.alias("item")), '{"studies":[', '],"nextPageToken":"t"}')
+    got = tagged.ctgov(pages, "page", "payload")
+    return got.select("page", "record_id", "title", "trial", F.array_join("subjects", ",").alias("subjects"), F.get("urls", F.lit(0)).alias("url"), "date", F.sha2("abstract", 256).alias("abstract_sha256"))
+
+
+@query("SELECT o_orderkey AS page, CASE WHEN o_orderkey % 5 <> 0 THEN 'c' || o_custkey END AS next_cursor, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS total_available, CASE WHEN o_orderkey % 11 = 0 THEN 'response omitted the list of records' END AS error FROM orders")
+def src_page_envelope(spark, sf_dir):
+    from .sources import tagged
+
+    k = F.col("o_orderkey")
+    body = F.struct(F.when(k % 5 != 0, F.concat(F.lit("c"), "o_custkey")).alias("nextPageToken"), F.when(k % 7 != 0, F.col("o_custkey")).alias("totalCount"), F.when(k % 11 != 0, F.array("o_orderstatus")).alias("studies"))
+    return tagged.envelope(D.table(spark, sf_dir, "orders").select(k.alias("page"), F.to_json(body).alias("payload")), "page", "payload", "clinicaltrials-gov")
+
+
+# --- adjudication, batches, derived flows and gates
+ADJUDICATED = """boards AS (
+    SELECT subject_id, round, coalesce(list(DISTINCT decision_id) FILTER (reviewer_kind <> 'agent'), []) AS ids, list(DISTINCT reviewer_id) AS reviewers, count(*) FILTER (reviewer_kind <> 'agent') AS humans,
+        count(DISTINCT decision) FILTER (reviewer_kind <> 'agent') AS kinds FROM decisions GROUP BY ALL),
+asked AS (
+    SELECT *, 1 AS turn, subject_id % 7 AS adjudicator, CASE WHEN subject_id % 11 = 0 THEN list_append(ids, 'other') WHEN subject_id % 3 = 0 THEN list_filter(ids, lambda x: x <> list_min(ids)) ELSE ids END AS named FROM boards UNION ALL
+    SELECT boards.*, t, 99, ids FROM boards, (VALUES (2), (3)) v(t)),
+wrongs AS (
+    SELECT *, CASE WHEN humans < 2 OR kinds < 2 THEN 'no_conflict' WHEN NOT list_has_all(ids, named) THEN 'unknown_decision' WHEN NOT list_has_all(named, ids) THEN 'incomplete_resolution'
+        WHEN list_contains(reviewers, adjudicator) THEN 'adjudicator_not_independent' END AS wrong FROM asked)"""
+
+
+@query(
+    """SELECT subject_id || '-' || round || '-' || turn AS request_id, a.wrong IS NULL AND NOT EXISTS (FROM wrongs b WHERE b.subject_id = a.subject_id AND b.round = a.round AND b.turn < a.turn AND b.wrong IS NULL) AS accepted,
+    CASE WHEN EXISTS (FROM wrongs b WHERE b.subject_id = a.subject_id AND b.round = a.round AND b.turn < a.turn AND b.wrong IS NULL) THEN 'round_finalized' ELSE a.wrong END AS rejection FROM wrongs a""", D.DECISIONS, ADJUDICATED)
+def resolve_conflict(spark, sf_dir):
+    """Three adjudications of each round: an incomplete, strange or dependent one for some, then two complete ones."""
+    d = D.decisions(spark, sf_dir)
+    ids = F.collect_set(F.when(F.col("reviewer_kind") != "agent", F.col("decision_id")))
+    asked = d.groupBy("subject_id", "round").agg(ids.alias("ids")).withColumn("turn", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    first, s = F.col("turn") == 1, F.col("subject_id")
+    named = F.when(first & (s % 11 == 0), F.array_append("ids", "other")).when(first & (s % 3 == 0), F.array_except("ids", F.array(F.array_min("ids")))).otherwise(F.col("ids"))
+    asked = asked.select("subject_id", "round", F.concat_ws("-", "subject_id", "round", "turn").alias("request_id"), F.when(first, s % 7).otherwise(99).alias("adjudicator_id"), named.alias("decision_ids"))
+    return screening.resolve(d, asked)
+
+
+@query(
+    """SELECT o_orderkey AS board_id, CASE WHEN n IS NULL THEN 'empty_submission' WHEN o_orderkey % 13 = 0 THEN 'stale_preview' WHEN first_rejection IS NOT NULL THEN 'rejected' ELSE 'applied' END AS state, coalesce(n, 0) AS decisions, first_rejection
+    FROM orders LEFT JOIN (SELECT subject_id, count(*) AS n, first(rejection ORDER BY decided_at, decision_id, rejection) FILTER (rejection IS NOT NULL) AS first_rejection FROM broken GROUP BY subject_id) ON subject_id = o_orderkey""",
+    D.DECISIONS, ADMIT, """broken AS (SELECT subject_id, decided_at, decision_id, coalesce(wrong, CASE WHEN same > 1 THEN 'duplicate_decision_id' WHEN turn > 1 THEN 'duplicate_reviewer' WHEN counts AND humans > 2 THEN 'independent_review_complete' END) AS rejection FROM u)""")
+def bulk_preview_apply(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("board_id"), F.lit(0).alias("revision"), F.when(F.col("o_orderkey") % 13 == 0, 1).otherwise(0).alias("base_revision"))
+    return screening.apply_bulk(D.decisions(spark, sf_dir).withColumn("board_id", F.col("subject_id")), o)
+
+
+@query(
+    """SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, review_required_clusters / nullif(proposed_clusters, 0) AS review_required_cluster_rate FROM (
+    SELECT (SELECT count(*) FROM e JOIN o USING (l, r)) AS tp, (SELECT count(*) FROM o ANTI JOIN e USING (l, r)) AS fp, (SELECT count(*) FROM e ANTI JOIN o USING (l, r)) AS fn, (SELECT count(*) FROM clusters) AS proposed_clusters,
+        (SELECT count(DISTINCT component) FROM unsure) AS review_required_clusters, (SELECT count(*) FROM members WHERE component IN (SELECT component FROM unsure)) AS review_required_records)""",
+    *CLUSTER_CTES, "e AS (SELECT a.record_id AS l, b.record_id AS r FROM records a JOIN records b ON a.title = b.title AND a.record_id < b.record_id)",
+    "o AS (SELECT a.record_id AS l, b.record_id AS r FROM members a JOIN members b ON a.component = b.component AND a.record_id < b.record_id)",
+    "unsure AS (SELECT component FROM members JOIN (SELECT left_id FROM fuzzy ANTI JOIN exact USING (left_id, right_id)) ON left_id = record_id)")
+def dedup_evaluation(spark, sf_dir):
+    r = D.records(spark, sf_dir)
+    observed = dedup.clusters(r).select("cluster_id", F.explode("record_ids").alias("record_id"))
+    return ranking.dedup_evaluation(r.select(F.col("title").alias("cluster_id"), "record_id"), observed, dedup.matches(r))
+
+
+DERIVED = """d AS (
+    SELECT o_custkey AS review_id, l_orderkey || '-' || l_linenumber % 6 AS decision_id, l_orderkey AS subject_id, CASE WHEN l_linestatus = 'F' THEN 'full_text' ELSE 'title_abstract' END AS stage,
+        CASE l_returnflag WHEN 'A' THEN 'include' WHEN 'N' THEN 'exclude' ELSE 'unclear' END AS decision, l_partkey % 97 = 0 AS agent FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 10 <> 0 OR l_suppkey % 5 = 0),
+c AS (SELECT review_id, count(*) FILTER (stage = 'title_abstract' AND decision = 'exclude') AS te, count(*) FILTER (stage = 'title_abstract' AND decision = 'include') AS rs, count(*) FILTER (stage = 'full_text' AND decision = 'exclude') AS fe,
+    count(*) FILTER (stage = 'full_text' AND decision = 'include') AS ri, count(*) FILTER (agent) AS agents, count(*) FILTER (subject_id % 10 = 0) AS strange, count(*) - count(DISTINCT decision_id) AS same FROM d GROUP BY review_id),
+b AS (SELECT o_custkey AS review_id, count(*) AS input_records, count(*) FILTER (o_orderkey % 10 = 0) AS duplicate_records, count(*) FILTER (o_orderkey % 10 <> 0) AS unique_records FROM orders GROUP BY o_custkey),
+p AS (SELECT b.*, te, rs, fe, ri, array_to_string(list_filter([CASE WHEN agents > 0 THEN 'decision_not_human' END, CASE WHEN strange > 0 THEN 'unknown_record' END, CASE WHEN same > 0 THEN 'duplicate_decision_id' END], lambda x: x IS NOT NULL), ',') AS problems
+    FROM b LEFT JOIN c USING (review_id)),
+k AS (SELECT review_id, input_records, duplicate_records, unique_records, CASE WHEN problems = '' THEN coalesce(te, 0) END AS title_abstract_excluded, CASE WHEN problems = '' THEN coalesce(rs, 0) END AS reports_sought,
+    CASE WHEN problems = '' THEN coalesce(fe, 0) END AS full_text_excluded, CASE WHEN problems = '' THEN coalesce(ri, 0) END AS reports_included, problems FROM p)"""
+
+
+@query("SELECT *, reports_sought = full_text_excluded + reports_included AS arithmetic_holds FROM k", DERIVED)
+def prisma_derive(spark, sf_dir):
+    o, key = D.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    lines = D.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 != 0 OR l_suppkey % 5 = 0").join(o.select(key.alias("l_orderkey"), F.col("o_custkey").alias("review_id")), "l_orderkey")
+    decision = F.when(F.col("l_returnflag") == "A", "include").when(F.col("l_returnflag") == "N", "exclude").otherwise("unclear")
+    lines = lines.select(
+        "review_id", F.concat_ws("-", "l_orderkey", F.col("l_linenumber") % 6).alias("decision_id"), F.col("l_orderkey").alias("subject_id"), F.when(F.col("l_linestatus") == "F", "full_text").otherwise("title_abstract").alias("stage"),
+        decision.alias("decision"), F.when(F.col("l_partkey") % 97 == 0, "agent").otherwise("human").alias("reviewer_kind"),
+    )
+    return prisma.derive(o.select(F.col("o_custkey").alias("review_id"), key.alias("record_id"), (key % 10 == 0).alias("duplicate")), lines)
+
+
+PLANTED_SECRETS = "CASE doc_id % 50 WHEN 3 THEN ' AKIA' || upper(substr(md5(text), 1, 16)) WHEN 7 THEN ' Api_Key = ' || md5(text) WHEN 13 THEN ' ghp_' || substr(md5(text), 1, 20) WHEN 17 THEN ' -----BEGIN EC PRIVATE KEY-----' WHEN 19 THEN ' password: short' ELSE '' END"
+SECRET_DATA = f"""s AS (SELECT CASE WHEN doc_id % 50 = 11 THEN 'd/' || doc_id || '/.ENV' ELSE 'd/' || doc_id || '.txt' END AS path, text || {PLANTED_SECRETS} AS text FROM documents),
+found AS (SELECT path, 'filename' AS finding FROM s WHERE path LIKE '%/.ENV' UNION ALL SELECT path, 'private_key' FROM s WHERE regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----')
+    UNION ALL SELECT path, 'github_token' FROM s WHERE regexp_matches(text, '\\bgh[pousr]_[A-Za-z0-9_]{{20,}}\\b') UNION ALL SELECT path, 'aws_key' FROM s WHERE regexp_matches(text, '\\bAKIA[0-9A-Z]{{16}}\\b')
+    UNION ALL SELECT path, 'credential' FROM s WHERE regexp_matches(text, '(?i)\\b(password|passwd|api[_-]?key|client[_-]?secret)\\s*[:=]\\s*[''"]?[^\\s''"]{{8,}}'))"""
+
+
+@query("SELECT path, finding FROM found", SECRET_DATA)
+def scan_secrets(spark, sf_dir):
+    """All documents, some with secrets planted at their end and some under a prohibited name."""
+    d = D.table(spark, sf_dir, "documents").selectExpr("CASE WHEN doc_id % 50 = 11 THEN 'd/' || doc_id || '/.ENV' ELSE 'd/' || doc_id || '.txt' END AS path", f"text || {PLANTED_SECRETS} AS text")
+    return policy.scan_secrets(d, "path", "text")
+
+
+LIFECYCLE = {"policy_id": "p1", "classifications": ["public_metadata", "confidential"], "maximum_retention_days": 40}
+CLAIMS = """claims AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS request_id, l_orderkey AS review_id, ['retain', 'export', 'delete'][l_suppkey % 3 + 1] AS action, ['public_metadata', 'confidential', 'restricted_full_text'][l_orderkey % 3 + 1] AS classification,
+    CASE WHEN l_linenumber < 6 THEN CAST(l_quantity AS INT) END AS retention_days, l_partkey % 4 = 0 AS includes_audit_log, l_returnflag = 'A' AS legal_hold, CASE WHEN l_linestatus = 'F' THEN 'apply' ELSE 'preview' END AS execution_mode,
+    sha256(CAST(l_orderkey AS VARCHAR)) AS digest, CASE WHEN l_linenumber <> 1 THEN 'a-' || l_orderkey END AS approval_id, l_orderkey - CAST(l_partkey % 5 = 0 AS INT) AS approval_review, ['retain', 'export', 'delete'][(l_suppkey + CAST(l_partkey % 7 = 0 AS INT)) % 3 + 1] AS approval_action,
+    sha256(CAST(l_orderkey - CAST(l_partkey % 11 = 0 AS INT) AS VARCHAR)) AS approval_digest, 'p' || (1 + CAST(l_partkey % 13 = 0 AS INT)) AS approval_policy, l_shipdate AS used_on FROM lineitem),
+registry AS (SELECT 'a-' || o_orderkey AS approval_id, o_orderkey AS review, sha256(CAST(o_orderkey AS VARCHAR)) AS held_digest, o_orderdate AS approved_at, o_orderdate + INTERVAL 60 DAY AS expires_at FROM orders),
+verified AS (SELECT c.*, coalesce(approval_review = review AND approval_digest = held_digest AND used_on >= approved_at AND used_on < expires_at, false) AS verified FROM claims c LEFT JOIN registry USING (approval_id)),
+coded AS (SELECT request_id, execution_mode = 'apply' AS receipt_required, array_to_string(list_filter([
+    CASE WHEN classification NOT IN ('public_metadata', 'confidential') THEN 'lifecycle.classification.denied' END, CASE WHEN action = 'retain' AND coalesce(retention_days, 0) > 40 THEN 'lifecycle.retention.exceeds_policy' END,
+    CASE WHEN action = 'delete' AND includes_audit_log THEN 'lifecycle.delete.immutable_audit_denied' END, CASE WHEN action = 'delete' AND legal_hold THEN 'lifecycle.delete.legal_hold' END,
+    CASE WHEN execution_mode = 'apply' AND approval_id IS NULL THEN 'lifecycle.apply.approval_required' END, CASE WHEN execution_mode = 'apply' AND approval_id IS NOT NULL AND approval_review <> review_id THEN 'lifecycle.apply.approval_review_mismatch' END,
+    CASE WHEN execution_mode = 'apply' AND approval_id IS NOT NULL AND approval_action <> action THEN 'lifecycle.apply.approval_action_mismatch' END, CASE WHEN execution_mode = 'apply' AND approval_id IS NOT NULL AND approval_digest <> digest THEN 'lifecycle.apply.approval_digest_mismatch' END,
+    CASE WHEN execution_mode = 'apply' AND approval_id IS NOT NULL AND approval_policy <> 'p1' THEN 'lifecycle.apply.approval_policy_mismatch' END, CASE WHEN execution_mode = 'apply' AND approval_id IS NOT NULL AND NOT verified THEN 'lifecycle.apply.approval_verification_failed' END
+    ], lambda x: x IS NOT NULL), ',') AS blockers, array_to_string(list_filter([CASE WHEN execution_mode <> 'apply' THEN 'lifecycle.preview.no_effects' END, CASE WHEN action = 'export' THEN 'lifecycle.export.destination_review_required' END,
+    CASE WHEN action = 'delete' THEN 'lifecycle.delete.tombstones_required' END], lambda x: x IS NOT NULL), ',') AS warnings FROM verified)"""
+
+
+def _claims(spark, sf_dir) -> DataFrame:
+    order = "CAST(l_orderkey AS STRING)"
+    claims = D.table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS request_id", "l_orderkey AS review_id", "array('retain', 'export', 'delete')[CAST(l_suppkey % 3 AS INT)] AS action",
+        "array('public_metadata', 'confidential', 'restricted_full_text')[CAST(l_orderkey % 3 AS INT)] AS classification", "CASE WHEN l_linenumber < 6 THEN CAST(round(l_quantity) AS INT) END AS retention_days", "l_partkey % 4 = 0 AS includes_audit_log",
+        "l_returnflag = 'A' AS legal_hold", "CASE WHEN l_linestatus = 'F' THEN 'apply' ELSE 'preview' END AS execution_mode", f"sha2({order}, 256) AS digest", "CASE WHEN l_linenumber != 1 THEN concat('a-', l_orderkey) END AS approval_id",
+        "l_orderkey - CAST(l_partkey % 5 = 0 AS INT) AS approval_review", "array('retain', 'export', 'delete')[CAST((l_suppkey + CAST(l_partkey % 7 = 0 AS INT)) % 3 AS INT)] AS approval_action",
+        "sha2(CAST(l_orderkey - CAST(l_partkey % 11 = 0 AS INT) AS STRING), 256) AS approval_digest", "concat('p', 1 + CAST(l_partkey % 13 = 0 AS INT)) AS approval_policy", "l_shipdate AS used_on",
+    )
+    registry = D.table(spark, sf_dir, "orders").selectExpr("concat('a-', o_orderkey) AS approval_id", "o_orderkey AS approval_review", "sha2(CAST(o_orderkey AS STRING), 256) AS approval_digest", "o_orderdate AS approved_at", "o_orderdate + INTERVAL 60 DAY AS expires_at")
+    return policy.verify_approvals(claims, registry, ["approval_review", "approval_digest"], "used_on")
+
+
+@query("SELECT request_id, verified FROM verified", CLAIMS)
+def approval_verify(spark, sf_dir):
+    return _claims(spark, sf_dir).select("request_id", "verified")
+
+
+@query("SELECT request_id, blockers = '' AS permitted, blockers = '' AND receipt_required AS effects_authorized, blockers, warnings, receipt_required FROM coded", CLAIMS)
+def lifecycle_evaluate(spark, sf_dir):
+    return policy.evaluate_lifecycle(_claims(spark, sf_dir), LIFECYCLE)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0")
+def benchmark_leak(spark, sf_dir):
+    """All events; some payloads are wrapped in an object with a forbidden key, others name one in a text only."""
+    i, p = F.col("event_id"), F.col("props")
+    wrapped = F.when(i % 97 == 0, F.to_json(F.struct(F.struct(p.alias("gold")).alias("a")))).when(i % 89 == 0, F.to_json(F.struct(F.array(F.struct(p.alias("expected_labels"))).alias("a")))).when(i % 83 == 0, F.to_json(F.struct(F.lit('"gold": 1').alias("note")))).otherwise(p)
+    named = ("label", "labels", "gold", "gold_clusters", "gold_studies", "expected_labels", "outcomes")
+    return policy.leaked_keys(D.table(spark, sf_dir, "events").select("event_id", F.coalesce(wrapped, F.lit("{}")).alias("payload")), "event_id", "payload", named)
+
+
+@query(
+    """SELECT receipt_id, CASE WHEN stated IS NULL THEN 'unresolved_receipt' ELSE 'count_mismatch' END AS problem, coalesce(n, 0) AS records FROM (SELECT l_suppkey + l_linenumber // 7 * 1000000 AS receipt_id, count(*) AS n FROM lineitem GROUP BY ALL)
+    FULL JOIN (SELECT s_suppkey AS receipt_id, count(*) - CAST(s_suppkey % 4 = 0 AS INT) AS stated FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_linenumber < 7 GROUP BY s_suppkey) USING (receipt_id) WHERE stated IS NULL OR stated <> coalesce(n, 0)""")
+def receipt_integrity(spark, sf_dir):
+    lines = D.table(spark, sf_dir, "lineitem")
+    receipts = lines.where("l_linenumber < 7").join(D.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("receipt_id")).agg((F.count("*") - F.when(F.col("s_suppkey") % 4 == 0, 1).otherwise(0)).alias("stated"))
+    return study.receipt_integrity(lines.selectExpr("concat_ws('-', l_orderkey, l_linenumber) AS record_id", "l_suppkey + l_linenumber div 7 * 1000000 AS receipt_id"), receipts)
+
+
+@query("SELECT subject_id, round, reviewer_id, count(*) AS rows FROM decisions GROUP BY ALL HAVING count(*) > 1", D.DECISIONS)
+def set_distinct_required(spark, sf_dir):
+    return study.repeated_keys(D.decisions(spark, sf_dir), "subject_id", "round", "reviewer_id")
+
+
+@query(
+    """SELECT l_orderkey, start_byte, end_byte FROM (SELECT *, lag(end_byte) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM (
+    SELECT *, l_linenumber * 10 + l_partkey % 12 AS start_byte, l_linenumber * 10 + l_partkey % 12 + l_suppkey % 12 - 1 AS end_byte FROM lineitem)) WHERE start_byte < p OR end_byte < start_byte""")
+def span_monotonic(spark, sf_dir):
+    lines = D.table(spark, sf_dir, "lineitem").withColumns({"place": F.struct("l_linenumber", "l_partkey", "l_suppkey"), "start_byte": F.col("l_linenumber") * 10 + F.col("l_partkey") % 12})
+    lines = lines.withColumn("end_byte", F.col("start_byte") + F.col("l_suppkey") % 12 - 1)
+    return study.broken_spans(lines, "l_orderkey", "place", "start_byte", "end_byte").select("l_orderkey", "start_byte", "end_byte")
+
+
+LINES = """lines AS (SELECT p_partkey, ['pubmed', 'ovid_medline', 'psycinfo_ovid', 'embase', 'cinahl_ebsco', 'scopus', 'web_of_science', 'generic_boolean', 'crossref'][p_partkey % 9 + 1] AS dialect,
+    replace('{p}[Title/Abstract]|exp {p}/|{p}.ti,ab.|''{p}''/exp|{p}:ti,kw|(MH "{p}")|TITLE-ABS-KEY({p})|TS=({p})|{p}.ti,zz.|  ', '{p}', p_name) AS forms, p_partkey // 9 % 10 AS form FROM part),
+l AS (SELECT p_partkey, dialect, string_split(forms, '|')[form + 1] AS body, form FROM lines)"""
+
+
+@query(
+    """SELECT p_partkey, 'native.' || dialect || '.unsupported_syntax' AS code FROM l WHERE NOT CASE dialect WHEN 'pubmed' THEN form = 0 WHEN 'ovid_medline' THEN form IN (1, 2) WHEN 'psycinfo_ovid' THEN form IN (1, 2) WHEN 'embase' THEN form IN (3, 4)
+    WHEN 'cinahl_ebsco' THEN form = 5 WHEN 'scopus' THEN form = 6 WHEN 'web_of_science' THEN form = 7 WHEN 'generic_boolean' THEN form <> 9 ELSE false END""", LINES)
+def native_diagnostics(spark, sf_dir):
+    """Every part's name in one of ten line forms, under one of nine dialects."""
+    from .plans.search import native_diagnostics as diagnose
+
+    k, name = F.col("p_partkey"), "p_name"
+    wrap = lambda a, b: F.concat(F.lit(a), name, F.lit(b))
+    forms = F.array(wrap("", "[Title/Abstract]"), wrap("exp ", "/"), wrap("", ".ti,ab."), wrap("'", "'/exp"), wrap("", ":ti,kw"), wrap('(MH "', '")'), wrap("TITLE-ABS-KEY(", ")"), wrap("TS=(", ")"), wrap("", ".ti,zz."), F.lit("  "))
+    dialect = _pick(["pubmed", "ovid_medline", "psycinfo_ovid", "embase", "cinahl_ebsco", "scopus", "web_of_science", "generic_boolean", "crossref"], k % 9)
+    lines = D.table(spark, sf_dir, "part").select("p_partkey", dialect.alias("dialect"), F.element_at(forms, (F.floor(k / 9) % 10 + 1).cast("int")).alias("body"))
+    return diagnose(lines, "dialect", "body").select("p_partkey", "code")

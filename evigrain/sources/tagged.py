@@ -138,3 +138,56 @@ def bounded(pages: DataFrame, provider: str, page_no: str, records: str, max_pag
     before = F.coalesce(F.sum(records).over(W.partitionBy(provider).orderBy(page_no).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     got = pages.withColumn("before", before).where((F.col(page_no) <= max_pages) & (F.col("before") < max_records))
     return got.withColumn("taken", F.least(F.col(records), F.lit(max_records) - F.col("before"))).drop("before")
+
+
+EUROPEPMC_SCHEMA = "array<struct<id:string,doi:string,pmid:string,pmcid:string,title:string,abstractText:string,authorString:string,journalTitle:string,pubYear:string>>"
+
+
+def europepmc(pages: DataFrame, key: str, payload: str) -> DataFrame:
+    """Records of result pages, named by their own id, or by their place where there is none; a page without the list gives no record (see ``envelope``).
+
+    The author string is one author. A year that isn't an integer is null.
+    """
+    x = pages.select(F.col(key), F.posexplode(F.from_json(F.get_json_object(payload, "$.resultList.result"), EUROPEPMC_SCHEMA)).alias("block", "x"))
+    none = F.expr("cast(array() as array<string>)")
+    year = F.when(F.col("x.pubYear").rlike("^[+-]?[0-9]+$"), F.col("x.pubYear").try_cast("int"))
+    return x.select(
+        key, "block", F.coalesce("x.id", F.concat(F.lit("europe-pmc-"), F.col("block").cast("string"))).alias("record_id"), F.coalesce("x.id", F.lit("")).alias("native_id"), F.lit("journal_article").alias("kind"),
+        F.coalesce("x.title", F.lit("[untitled]")).alias("title"), F.col("x.abstractText").alias("abstract"), F.array_compact(F.array("x.authorString")).alias("authors"), F.col("x.journalTitle").alias("container"), year.alias("year"),
+        F.col("x.doi").alias("doi"), F.col("x.pmid").alias("pmid"), F.col("x.pmcid").alias("pmcid"), none.alias("subjects"), none.alias("languages"), none.alias("urls"),
+    )
+
+
+_NAMES = "nctId:string,briefTitle:string,officialTitle:string"
+_MODULES = f"identificationModule:struct<{_NAMES}>,conditionsModule:struct<conditions:array<string>>,descriptionModule:struct<briefSummary:string>,statusModule:struct<startDateStruct:struct<date:string>>,{_NAMES}"
+CTGOV_SCHEMA = f"array<struct<protocolSection:struct<{_MODULES}>,{_MODULES}>>"
+
+
+def ctgov(pages: DataFrame, key: str, payload: str) -> DataFrame:
+    """Records of trial registry pages; modules may lie in a protocol section or directly in the study, names in their module or beside it."""
+    x = pages.select(F.col(key), F.posexplode(F.from_json(F.get_json_object(payload, "$.studies"), CTGOV_SCHEMA)).alias("block", "x"))
+
+    def of(path):
+        return F.when(F.col("x.protocolSection").isNotNull(), F.col(f"x.protocolSection.{path}")).otherwise(F.col(f"x.{path}"))
+
+    def named(c):
+        return F.when(of("identificationModule").isNotNull(), of(f"identificationModule.{c}")).otherwise(of(c))
+
+    native = F.coalesce(named("nctId"), F.concat(F.lit("trial-"), F.col("block").cast("string")))
+    none = F.expr("cast(array() as array<string>)")
+    return x.select(
+        key, "block", F.concat(F.lit("clinicaltrials-"), native).alias("record_id"), native.alias("native_id"), F.lit("trial_registry").alias("kind"), F.coalesce(named("briefTitle"), named("officialTitle"), F.lit("[untitled trial]")).alias("title"),
+        of("descriptionModule.briefSummary").alias("abstract"), none.alias("authors"), F.lit("ClinicalTrials.gov").alias("container"), F.lit(None).cast("int").alias("year"), of("statusModule.startDateStruct.date").alias("date"),
+        named("nctId").alias("trial"), F.coalesce(F.array_compact(of("conditionsModule.conditions")), none).alias("subjects"), none.alias("languages"), F.array(F.concat(F.lit("https://clinicaltrials.gov/study/"), native)).alias("urls"),
+    )
+
+
+#: Where each provider's pages hold the list of records, the next cursor and the total (fixed values).
+ENVELOPES = {"europe-pmc": ("$.resultList.result", "$.nextCursorMark", "$.hitCount"), "clinicaltrials-gov": ("$.studies", "$.nextPageToken", "$.totalCount")}
+
+
+def envelope(pages: DataFrame, key: str, payload: str, provider: str) -> DataFrame:
+    """(key, next_cursor, total_available, error): error where the page holds no list of records."""
+    found, cursor, total = (F.get_json_object(payload, p) for p in ENVELOPES[provider])
+    bad = F.coalesce(~F.startswith(found, F.lit("[")), F.lit(True))
+    return pages.select(key, cursor.alias("next_cursor"), total.try_cast("long").alias("total_available"), F.when(bad, F.lit("response omitted the list of records")).alias("error"))
