@@ -27,17 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the edges (a, b): component is the smallest node reachable.
 
-    Each round gives a node the smallest label among its neighbours' and then that label's
-    own label, so label chains halve. Rounds stop when no label changes.
+    Alternates large-star (each node's larger neighbours move to its smallest one) and small-star (its smaller neighbours do)
+    until the edges stay the same, by their count and the sum of their hashes. Edges shrink towards one a node.
     """
-    edges = cut(edges.select("a", "b").where("a != b").distinct())
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    now, before = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        new = cut(new.join(jump, "component").select("node", F.least("component", "jump").alias("component"), "old"))
-        if new.where("component != old").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = cut(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.*").where("u != v").distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before = state
