@@ -161,3 +161,31 @@ def entropy(x: Column) -> Column:
     n = F.length(x).cast("double")
     count = lambda ch: (F.length(x) - F.length(F.replace(x, ch, F.lit("")))).cast("double")
     return F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0.0), lambda acc, ch: acc - F.when(count(ch) > 0, count(ch) / n * F.log2(count(ch) / n)).otherwise(0.0))
+
+
+def prov(receipts: DataFrame, events: DataFrame, chained: DataFrame) -> DataFrame:
+    """(review_id, section, id, body): the provenance graph of each review, a row per node or edge, body its JSON.
+
+    ``receipts`` has review_id, receipt_id, provider_id, records and executed_at; ``chained`` the
+    hashes of the events by ``append_hashes``. An actor is described by the last event.
+    """
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def rows(df, section, prefix, key, **body):
+        return df.select("review_id", F.lit(section).alias("section"), F.concat(F.lit(f"sr:{prefix}-"), key).alias("id"), F.to_json(F.struct(*(v.alias(k) for k, v in body.items()))).alias("body"))
+
+    event, actor = F.concat(F.lit("sr:event-"), "event_id"), F.concat(F.lit("sr:actor-"), "actor_id")
+    agents = events.groupBy("review_id", "actor_id").agg(F.max_by("actor_kind", "seq").alias("actor_kind"))
+    before = chained.select("review_id", F.col("event_hash").alias("previous_hash"), F.col("event_id").alias("used"))
+    derived = chained.join(before, ["review_id", "previous_hash"])
+    parts = [
+        rows(receipts, "entity", "receipt", "receipt_id", **{"prov:type": F.lit("sr:SourceReceipt"), "sr:provider": F.col("provider_id"), "sr:recordsRetrieved": F.col("records"), "prov:generatedAtTime": at("executed_at")}),
+        rows(events, "activity", "event", "event_id", **{"prov:type": F.col("event_type"), "prov:startedAtTime": at("occurred_at")}),
+        rows(agents, "agent", "actor", "actor_id", **{"prov:type": F.col("actor_kind")}),
+        rows(events, "wasAssociatedWith", "association", "event_id", **{"prov:activity": event, "prov:agent": actor}),
+        rows(derived, "wasDerivedFrom", "derivation", "event_id", **{"prov:generatedEntity": event, "prov:usedEntity": F.concat(F.lit("sr:event-"), "used")}),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

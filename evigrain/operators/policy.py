@@ -167,3 +167,37 @@ def evaluate_lifecycle(requests: DataFrame, policy: dict) -> DataFrame:
 def leaked_keys(rows: DataFrame, key: str, payload: str, forbidden: tuple[str, ...]) -> DataFrame:
     """(key): rows whose JSON has one of the forbidden keys at any depth; text inside strings doesn't count."""
     return rows.where(F.col(payload).rlike('(^|[^\\\\])"(' + "|".join(forbidden) + ')"\\s*:')).select(key)
+
+
+def strategy_violations(strategies: DataFrame) -> DataFrame:
+    """(strategy_id, codes): limits without a bound or with crossed ones, empty values, and restrictions without a rationale.
+
+    Columns: dated (whether a date limit is given), from_year, to_year, and the arrays languages, publication_types, filters and rationale.
+    """
+    lists = ("languages", "publication_types", "filters", "rationale")
+    values = F.concat(*(F.coalesce(F.col(c), F.expr("cast(array() as array<string>)")) for c in lists))
+    some = [F.coalesce(F.size(c) > 0, F.lit(False)) for c in lists]
+    rules = {
+        "date.unbounded": F.col("dated") & F.col("from_year").isNull() & F.col("to_year").isNull(),
+        "date.crossed": F.col("dated") & (F.col("from_year") > F.col("to_year")),
+        "limits.empty_value": F.exists(values, lambda v: F.trim(v) == ""),
+        "limits.no_rationale": (some[0] | some[1] | some[2] | F.col("dated")) & ~some[3],
+    }
+    return strategies.select("strategy_id", F.array_join(F.array_compact(F.array(*(F.when(v, k) for k, v in rules.items()))), ",").alias("codes"))
+
+
+def authorise_operation(requests: DataFrame) -> DataFrame:
+    """(request_id, allowed, reason) of what an agent or a human wants to do; contents never grant authority. The reasons are fixed values.
+
+    Columns: operation, principal and receipt_id, that of a verified approval or null.
+    """
+    operation, c = F.col("operation"), F.coalesce(F.trim("receipt_id") != "", F.lit(False))
+    human_only = operation.isin("final_exclusion", "protocol_amendment") & (F.col("principal") != "human")
+    reason = F.when(operation == "draft", "non_canonical_draft").when(operation == "fixture_replay", "network_free_replay").when(human_only, "human_authority_required")
+    reason = reason.when(c, "explicit_approval_verified").otherwise("explicit_approval_required")
+    return requests.select("request_id", reason.isin("non_canonical_draft", "network_free_replay", "explicit_approval_verified").alias("allowed"), reason.alias("reason"))
+
+
+def translation_acceptable(observed: Column, maximum: Column, approved: Column) -> Column:
+    """A translation within its budget of material warnings that a human approved."""
+    return (observed <= maximum) & approved

@@ -141,3 +141,28 @@ def broken_spans(spans: DataFrame, group: str, order: str, start: str, end: str)
     """Spans that start before the one before them in their group ends, or end before they start."""
     w = W.partitionBy(group).orderBy(order)
     return spans.withColumn("previous_end", F.lag(end).over(w)).where(f"{start} < previous_end OR {end} < {start}")
+
+
+def graph_violations(reports: DataFrame, studies: DataFrame, links: DataFrame) -> DataFrame:
+    """(object, id, code), each once: what breaks a study graph's rules.
+
+    reports have report_id, title and records (how many they rest on); studies study_id, label and report_ids; links link_id,
+    from_id, to_id, confidence and evidence (how many pieces). Reports and studies share one space of identifiers.
+    """
+    none = F.expr("cast(array() as array<string>)")
+
+    def broken(df, kind, key, **rules):
+        codes = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(True)), code) for code, rule in rules.items())))
+        return df.select(F.lit(kind).alias("object"), F.col(key).alias("id"), F.explode(codes).alias("code"))
+
+    empty = lambda c: F.trim(c) == ""
+    objects = reports.select(F.col("report_id").alias("id"), F.lit("report").alias("object")).unionByName(studies.select(F.col("study_id").alias("id"), F.lit("study").alias("object")))
+    twice = objects.groupBy("id").agg(F.count("*").alias("rows"), F.max("object").alias("object")).where("rows > 1").select("object", "id", F.lit("duplicate_identifier").alias("code"))
+    ends = studies.select("study_id", F.explode("report_ids").alias("report_id"))
+    unknown = ends.join(reports.select("report_id"), "report_id", "left_anti").select(F.lit("study").alias("object"), F.col("study_id").alias("id"), F.lit("unknown_report").alias("code"))
+    links_twice = repeated_keys(links, "link_id").select(F.lit("link").alias("object"), F.col("link_id").alias("id"), F.lit("duplicate_identifier").alias("code"))
+    given = F.coalesce("report_ids", none)
+    found = broken(reports, "report", "report_id", empty_title=empty("title"), no_records=F.col("records") == 0)
+    found = found.unionByName(broken(studies, "study", "study_id", empty_label=empty("label"), no_reports=F.size(given) == 0, duplicate_report=F.size(F.array_distinct(given)) < F.size(given)))
+    found = found.unionByName(broken(links, "link", "link_id", self_reference=F.col("from_id") == F.col("to_id"), confidence_range=~F.col("confidence").between(0, 1), no_evidence=F.col("evidence") == 0))
+    return found.unionByName(twice).unionByName(unknown).unionByName(links_twice).distinct()

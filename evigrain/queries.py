@@ -1122,3 +1122,88 @@ def native_diagnostics(spark, sf_dir):
     dialect = _pick(["pubmed", "ovid_medline", "psycinfo_ovid", "embase", "cinahl_ebsco", "scopus", "web_of_science", "generic_boolean", "crossref"], k % 9)
     lines = D.table(spark, sf_dir, "part").select("p_partkey", dialect.alias("dialect"), F.element_at(forms, (F.floor(k / 9) % 10 + 1).cast("int")).alias("body"))
     return diagnose(lines, "dialect", "body").select("p_partkey", "code")
+
+
+# --- requests, study graphs, limits, authority and provenance
+_enc = lambda x: f"replace(replace(replace(url_encode(CAST({x} AS VARCHAR)), '%20', '+'), '~', '%7E'), '%2A', '*')"
+_opt = lambda name, x: f"coalesce('&{name}=' || {_enc(x)}, '')"
+ASKED = "asked AS (SELECT p_partkey, p_name || ' & \"' || p_type || '\" ~' AS q, p_size AS n, CASE WHEN p_partkey % 3 = 0 THEN 'AoJ/' || p_partkey || '*=' END AS c, CASE WHEN p_partkey % 2 = 0 THEN 'a+b@example.org' END AS m FROM part)"
+
+
+@query(
+    f"""SELECT p_partkey, unnest(['europe-pmc', 'pubmed', 'pubmed-summary', 'crossref', 'openalex', 'clinicaltrials-gov']) AS service, unnest([
+    'https://www.ebi.ac.uk/europepmc/webservices/rest/search?query=' || {_enc('q')} || '&format=json&resultType=core&pageSize=' || n || {_opt('cursorMark', 'c')},
+    'https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi?db=pubmed&retmode=json&term=' || {_enc('q')} || '&retmax=' || n || '&retstart=' || p_partkey || '&tool=t' || {_opt('email', 'm')},
+    'https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esummary.fcgi?db=pubmed&retmode=json&id=' || p_partkey || '%2C' || n || '&tool=t' || {_opt('email', 'm')},
+    'https://api.crossref.org/works?query.bibliographic=' || {_enc('q')} || '&rows=' || n || {_opt('cursor', 'c')} || {_opt('mailto', 'm')},
+    'https://api.openalex.org/works?search=' || {_enc('q')} || '&per-page=' || n || '&cursor=' || coalesce({_enc('c')}, '*') || {_opt('mailto', 'm')},
+    'https://clinicaltrials.gov/api/v2/studies?query.term=' || {_enc('q')} || '&pageSize=' || n || '&format=json' || {_opt('pageToken', 'c')}]) AS url FROM asked""", ASKED)
+def src_endpoint_urls(spark, sf_dir):
+    from .sources.endpoints import SERVICES, endpoint
+
+    k = F.col("p_partkey")
+    given = {
+        "query": F.concat("p_name", F.lit(' & "'), "p_type", F.lit('" ~')), "size": F.col("p_size"), "offset": k, "ids": F.concat_ws(",", k, "p_size"), "tool": F.lit("t"),
+        "cursor": F.when(k % 3 == 0, F.concat(F.lit("AoJ/"), k, F.lit("*="))), "email": F.when(k % 2 == 0, "a+b@example.org"),
+    }
+    urls = F.array(*(F.struct(F.lit(s).alias("service"), endpoint(s, **given).alias("url")) for s in SERVICES))
+    return D.table(spark, sf_dir, "part").select("p_partkey", F.explode(urls).alias("u")).select("p_partkey", "u.service", "u.url")
+
+
+GRAPH = """reports AS (SELECT 'r-' || CASE WHEN o_orderkey % 50 = 49 THEN o_orderkey - 1 ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 31 = 0 THEN ' ' ELSE o_orderpriority END AS title, o_custkey % 20 AS records FROM orders),
+studies AS (SELECT CASE WHEN c_custkey % 40 = 0 THEN 'r-' ELSE 's-' END || c_custkey AS id, c_name AS label, CASE WHEN c_custkey % 13 = 0 THEN [] ELSE list_filter(['r-' || c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'r-' || c_custkey END, CASE WHEN c_custkey % 11 = 0 THEN 'r-x' END], lambda x: x IS NOT NULL) END AS ids FROM customer),
+links AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS id, l_orderkey AS a, CASE WHEN l_partkey % 9 = 0 THEN l_orderkey ELSE l_suppkey END AS b, l_discount * 11 AS confidence, l_partkey % 6 AS evidence FROM lineitem)"""
+
+
+@query(
+    """SELECT 'report' AS object, id, 'empty_title' AS code FROM reports WHERE title = ' ' UNION SELECT 'report', id, 'no_records' FROM reports WHERE records = 0 UNION SELECT 'study', id, 'no_reports' FROM studies WHERE len(ids) = 0
+    UNION SELECT 'study', id, 'duplicate_report' FROM studies WHERE len(list_distinct(ids)) < len(ids) UNION SELECT 'study', id, 'unknown_report' FROM (SELECT id, unnest(ids) AS r FROM studies) WHERE r NOT IN (SELECT id FROM reports)
+    UNION SELECT 'link', id, 'self_reference' FROM links WHERE a = b UNION SELECT 'link', id, 'confidence_range' FROM links WHERE confidence < 0 OR confidence > 1 UNION SELECT 'link', id, 'no_evidence' FROM links WHERE evidence = 0
+    UNION SELECT 'link', id, 'duplicate_identifier' FROM links GROUP BY id HAVING count(*) > 1 UNION SELECT max(o), id, 'duplicate_identifier' FROM (SELECT 'report' AS o, id FROM reports UNION ALL SELECT 'study', id FROM studies) GROUP BY id HAVING count(*) > 1""", GRAPH)
+def val_study_graph(spark, sf_dir):
+    text = "CAST({} AS STRING)".format
+    reports = D.table(spark, sf_dir, "orders").selectExpr("concat('r-', CASE WHEN o_orderkey % 50 = 49 THEN o_orderkey - 1 ELSE o_orderkey END) AS report_id", "CASE WHEN o_orderkey % 31 = 0 THEN ' ' ELSE o_orderpriority END AS title", "o_custkey % 20 AS records")
+    ids = "filter(array(concat('r-', c_custkey), CASE WHEN c_custkey % 7 = 0 THEN concat('r-', c_custkey) END, CASE WHEN c_custkey % 11 = 0 THEN 'r-x' END), x -> x IS NOT NULL)"
+    studies = D.table(spark, sf_dir, "customer").selectExpr("concat(CASE WHEN c_custkey % 40 = 0 THEN 'r-' ELSE 's-' END, c_custkey) AS study_id", "c_name AS label", f"CASE WHEN c_custkey % 13 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE {ids} END AS report_ids")
+    links = D.table(spark, sf_dir, "lineitem").selectExpr("concat_ws('-', l_orderkey, l_linenumber, l_suppkey) AS link_id", f"{text('l_orderkey')} AS from_id", f"{text('CASE WHEN l_partkey % 9 = 0 THEN l_orderkey ELSE l_suppkey END')} AS to_id", "l_discount * 11 AS confidence", "l_partkey % 6 AS evidence")
+    return study.graph_violations(reports, studies, links)
+
+
+@query(
+    """SELECT p_partkey AS strategy_id, array_to_string(list_filter([CASE WHEN p_partkey % 3 = 0 AND p_size % 5 = 0 AND p_size % 4 = 0 THEN 'date.unbounded' END, CASE WHEN p_partkey % 3 = 0 AND p_size % 5 <> 0 AND p_size % 4 <> 0 AND p_size > 25 THEN 'date.crossed' END,
+    CASE WHEN p_partkey % 10 = 0 THEN 'limits.empty_value' END, CASE WHEN (p_partkey % 3 = 0 OR p_partkey % 10 = 0 OR p_partkey % 4 = 1 OR p_partkey % 7 = 1) AND p_partkey % 6 > 2 THEN 'limits.no_rationale' END], lambda x: x IS NOT NULL), ',') AS codes FROM part""")
+def val_strategy(spark, sf_dir):
+    none = "CAST(array() AS ARRAY<STRING>)"
+    return policy.strategy_violations(D.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS strategy_id", "p_partkey % 3 = 0 AS dated", "CASE WHEN p_size % 5 != 0 THEN 1980 + p_size END AS from_year", "CASE WHEN p_size % 4 != 0 THEN 2030 - p_size END AS to_year", f"CASE WHEN p_partkey % 10 = 0 THEN array('en', ' ') ELSE {none} END AS languages",
+        "CASE WHEN p_partkey % 4 = 1 THEN array('review') END AS publication_types", f"CASE WHEN p_partkey % 7 = 1 THEN array('rct') ELSE {none} END AS filters", f"CASE WHEN p_partkey % 6 > 2 THEN {none} ELSE array('scope') END AS rationale",
+    ))
+
+
+@query(
+    """SELECT event_id AS request_id, reason IN ('non_canonical_draft', 'network_free_replay', 'explicit_approval_verified') AS allowed, reason FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'non_canonical_draft' WHEN 1 THEN 'network_free_replay'
+    ELSE CASE WHEN event_id % 7 IN (2, 3) AND user_id % 3 <> 0 THEN 'human_authority_required' WHEN user_id % 5 < 3 THEN 'explicit_approval_verified' ELSE 'explicit_approval_required' END END AS reason FROM events)""")
+def agent_operation(spark, sf_dir):
+    kinds = ["draft", "fixture_replay", "final_exclusion", "protocol_amendment", "live_execution", "apply_deduplication", "registry_publication"]
+    u = F.col("user_id")
+    receipt = F.when(u % 5 == 3, " ").when(u % 5 < 3, F.concat(F.lit("rc-"), u))
+    return policy.authorise_operation(D.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), _pick(kinds, F.col("event_id") % 7).alias("operation"), _pick(["human", "agent", "service"], u % 3).alias("principal"), receipt.alias("receipt_id")))
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS assessment_id, l_suppkey % 6 <= l_partkey % 4 AND l_returnflag = 'A' AS acceptable FROM lineitem")
+def translation_acceptable(spark, sf_dir):
+    good = policy.translation_acceptable(F.col("l_suppkey") % 6, F.col("l_partkey") % 4, F.col("l_returnflag") == "A")
+    return D.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("assessment_id"), good.alias("acceptable"))
+
+
+@query(
+    """SELECT o_custkey AS review_id, 'entity' AS section, 'sr:receipt-' || o_orderkey AS id, '{"prov:type":"sr:SourceReceipt","sr:provider":"' || o_orderpriority || '","sr:recordsRetrieved":' || o_orderkey % 100 || ',"prov:generatedAtTime":"' || strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') || '"}' AS body FROM orders
+    UNION ALL SELECT review_id, 'activity', 'sr:event-' || event_id, '{"prov:type":"' || event_type || '","prov:startedAtTime":"' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ') || '"}' FROM audit_events
+    UNION ALL SELECT review_id, 'agent', 'sr:actor-' || actor_id, '{"prov:type":"' || max_by(actor_kind, seq) || '"}' FROM audit_events GROUP BY review_id, actor_id
+    UNION ALL SELECT review_id, 'wasAssociatedWith', 'sr:association-' || event_id, '{"prov:activity":"sr:event-' || event_id || '","prov:agent":"sr:actor-' || actor_id || '"}' FROM audit_events
+    UNION ALL SELECT review_id, 'wasDerivedFrom', 'sr:derivation-' || event_id, '{"prov:generatedEntity":"sr:event-' || event_id || '","prov:usedEntity":"sr:event-' || before || '"}' FROM (
+        SELECT *, lag(event_id) OVER (PARTITION BY review_id ORDER BY seq) AS before FROM audit_events) WHERE before IS NOT NULL""", D.AUDIT_EVENTS)
+def snk_prov(spark, sf_dir):
+    receipts = D.table(spark, sf_dir, "orders").selectExpr("o_custkey AS review_id", "o_orderkey AS receipt_id", "o_orderpriority AS provider_id", "o_orderkey % 100 AS records", "o_orderdate AS executed_at")
+    events = D.audit_events(spark, sf_dir)
+    return audit.prov(receipts, events, audit.append_hashes(events))
