@@ -182,3 +182,67 @@ def test_abstracts_of_several_lines_stay_in_their_record(spark, fmt):
     text = getattr(export, fmt)(export.one_line(r)).select("record_id", F.concat(fmt, F.lit("\n")).alias("text"))
     got = tagged.tagged(text, "record_id", "text", fmt).where(F.col("title") != tagged.UNTITLED).collect()
     assert [(x.title, x.authors, x.abstract) for x in got] == [("A", ["X"], "one TI  - two ER  -  AU  - three")]
+
+
+def test_components(spark):
+    import random
+
+    from evigrain.operators.components import components
+
+    random.seed(5)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
+    star = [("s000", f"s{i:03}") for i in range(1, 90)]
+    ring = [(f"r{i:03}", f"r{(i + 1) % 30:03}") for i in range(30)]
+    some = [(f"x{random.randrange(200):03}", f"x{random.randrange(200):03}") for _ in range(90)]
+    edges = chain + star + ring + some + [("c001", "c000"), ("z", "z")]
+    parent = {}
+
+    def root(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {n: root(n) for n in parent}
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_pages_without_lists(spark):
+    pages = spark.createDataFrame([(1, "{}"), (2, None), (3, "not json"), (4, '{"resultList":{"result":[]}}'), (5, '{"resultList":{"result":[{"title":"t","pubYear":" 1990"},{"id":"7","pubYear":"1990"}]},"hitCount":2}')], "page int, payload string")
+    got = tagged.europepmc(pages, "page", "payload").select("page", "record_id", "native_id", "title", "year").collect()
+    assert sorted(map(tuple, got)) == [(5, "7", "7", "[untitled]", 1990), (5, "europe-pmc-0", "", "t", None)]
+    assert {r.page: r.error is not None for r in tagged.envelope(pages, "page", "payload", "europe-pmc").collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_trials(spark):
+    flat = '{"nctId":"N1","officialTitle":"o"}'
+    part = '{"protocolSection":{"identificationModule":{"briefTitle":"b","officialTitle":"o"},"nctId":"beside","conditionsModule":{"conditions":["x",null,"y"]}}}'
+    pages = spark.createDataFrame([(1, '{"studies":[' + flat + "," + part + "]}"), (2, '{"studies":[]}')], "page int, payload string")
+    got = tagged.ctgov(pages, "page", "payload").select("record_id", "title", "trial", "subjects").collect()
+    assert sorted(map(tuple, got)) == [("clinicaltrials-N1", "o", "N1", []), ("clinicaltrials-trial-1", "b", None, ["x", "y"])]
+
+
+def test_resolve(spark):
+    d = [(f"d{i}", 1, "full_text", r, k, c) for i, (r, k, c) in enumerate([(1, "human", "include"), (2, "human", "exclude"), (3, "agent", "include")])]
+    decisions = spark.createDataFrame(d, "decision_id string, subject_id int, round string, reviewer_id int, reviewer_kind string, decision string")
+    asked = [("a", 1, 9, ["d0"]), ("b", 1, 9, ["d0", "d2"]), ("c", 1, 3, ["d0", "d1"]), ("d", 1, 9, ["d1", "d0", "d1"]), ("e", 1, 8, ["d0", "d1"]), ("f", 2, 9, [])]
+    requests = spark.createDataFrame([(i, s, "full_text", r, ids) for i, s, r, ids in asked], "request_id string, subject_id int, round string, adjudicator_id int, decision_ids array<string>")
+    got = {r.request_id: r.rejection for r in screening.resolve(decisions, requests).collect()}
+    assert got == {"a": "incomplete_resolution", "b": "unknown_decision", "c": "adjudicator_not_independent", "d": None, "e": "round_finalized", "f": "no_conflict"}
+
+
+def test_secrets(spark):
+    texts = {"a": "password: äöüß", "b": "password: short", "c": "xAKIA" + "A" * 16, "d/.ENV": "", "e": None, "f": "é AKIA" + "A" * 16, "g": "-----BEGIN PRIVATE KEY----- ghs_" + "a1" * 10}
+    got = policy.scan_secrets(spark.createDataFrame(list(texts.items()), "path string, text string"), "path", "text").collect()
+    assert sorted(map(tuple, got)) == [("a", "credential"), ("d/.ENV", "filename"), ("f", "aws_key"), ("g", "github_token"), ("g", "private_key")]
+
+
+def test_approvals(spark):
+    claims = spark.createDataFrame([("x", None, 5), ("x", "s", 5), ("x", None, 9), ("x", None, 1), (None, None, 5), ("y", None, 5)], "approval_id string, scope string, now int")
+    registry = spark.createDataFrame([("x", None, 1, 9)], "approval_id string, scope string, approved_at int, expires_at int")
+    got = sorted((r.approval_id or "", r.scope or "", r.now, r.verified) for r in policy.verify_approvals(claims, registry, ["scope"], "now").collect())
+    assert got == [("", "", 5, False), ("x", "", 1, True), ("x", "", 5, True), ("x", "", 9, False), ("x", "s", 5, False), ("y", "", 5, False)]
