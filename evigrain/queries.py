@@ -264,7 +264,37 @@ PARENTS = "RECURSIVE runs AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey
 @query("SELECT start AS run_id, max(n) AS ancestors FROM up GROUP BY start", PARENTS)
 def lineage_depth(spark, sf_dir):
     o = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 16 != 0, F.col("o_orderkey") - 1).alias("parent_id"))
-    return living.lineage(o, 16).select("run_id", "ancestors")
+    return living.lineage(o).select("run_id", "ancestors")
+
+
+UPDATES = """updates AS (SELECT o_orderkey AS run_id, o_orderkey // 64 AS review_id, CASE WHEN o_orderkey % 160 = 0 THEN o_orderkey + 5 WHEN o_orderkey % 64 = 48 THEN o_orderkey - 60 WHEN o_orderkey % 48 = 16 THEN -o_orderkey WHEN o_orderkey % 16 <> 0 THEN o_orderkey - 1 END AS parent_id,
+    CASE o_orderkey % 7 WHEN 0 THEN o_orderkey - 3 WHEN 1 THEN o_orderkey + 1 WHEN 2 THEN -1 WHEN 3 THEN o_orderkey - 6 END AS supersedes_id, o_orderstatus = 'F' AS completed FROM orders)"""
+REACHED = "RECURSIVE reached AS (SELECT run_id, parent_id AS node FROM updates WHERE parent_id IS NOT NULL UNION SELECT r.run_id, u.parent_id FROM reached r JOIN updates u ON u.run_id = r.node WHERE u.parent_id IS NOT NULL)"
+LOOPS = "loops AS (SELECT DISTINCT r.run_id FROM reached r JOIN reached c ON c.run_id = r.node AND c.node = r.node)"
+
+
+def _updates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    parent = F.when(k % 160 == 0, k + 5).when(k % 64 == 48, k - 60).when(k % 48 == 16, -k).when(k % 16 != 0, k - 1)
+    over = F.when(k % 7 == 0, k - 3).when(k % 7 == 1, k + 1).when(k % 7 == 2, -1).when(k % 7 == 3, k - 6)
+    return D.table(spark, sf_dir, "orders").select(k.alias("run_id"), F.floor(k / 64).alias("review_id"), parent.alias("parent_id"), over.alias("supersedes_id"), (F.col("o_orderstatus") == "F").alias("completed"))
+
+
+@query("SELECT u.run_id, u.supersedes_id AS candidate FROM updates u JOIN reached r ON r.run_id = u.run_id AND r.node = u.supersedes_id WHERE u.run_id NOT IN (FROM loops) AND u.supersedes_id IN (SELECT run_id FROM updates)", UPDATES, REACHED, LOOPS)
+def ancestor_of(spark, sf_dir):
+    runs = _updates(spark, sf_dir)
+    return living.ancestor_pairs(runs.select("run_id", F.col("supersedes_id").alias("candidate")), runs)
+
+
+@query(
+    """SELECT run_id, 'unknown_parent' AS code FROM updates WHERE parent_id NOT IN (SELECT run_id FROM updates) UNION SELECT u.run_id, 'cross_review_parent' FROM updates u JOIN updates p ON p.run_id = u.parent_id WHERE p.review_id <> u.review_id
+    UNION SELECT run_id, 'unknown_superseded' FROM updates WHERE completed AND supersedes_id NOT IN (SELECT run_id FROM updates) UNION SELECT u.run_id, 'cross_review_superseded' FROM updates u JOIN updates p ON p.run_id = u.supersedes_id WHERE u.completed AND p.review_id <> u.review_id
+    UNION SELECT u.run_id, 'invalid_supersession' FROM updates u JOIN updates p ON p.run_id = u.supersedes_id WHERE u.completed AND p.review_id = u.review_id AND u.run_id NOT IN (FROM loops) AND NOT EXISTS (SELECT 1 FROM reached r WHERE r.run_id = u.run_id AND r.node = u.supersedes_id)
+    UNION SELECT run_id, 'lineage_cycle' FROM loops UNION SELECT run_id, 'duplicate_run' FROM updates WHERE run_id % 50 = 7""", UPDATES, REACHED, LOOPS)
+def lineage_validate(spark, sf_dir):
+    """Update runs over orders; some name unknown or foreign parents, some chains lead into a cycle, one run in fifty is listed twice."""
+    runs = _updates(spark, sf_dir)
+    return living.lineage_violations(runs.unionByName(runs.where("run_id % 50 = 7")))
 
 
 # --- audit
@@ -889,7 +919,7 @@ def lifecycle_head(spark, sf_dir):
 
     w = W.partitionBy("n_regionkey").orderBy("n_name")
     chain = D.table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("id"), F.lag("n_name").over(w).alias("previous"))
-    runs = living.lineage(chain.select(F.col("id").alias("run_id"), F.col("previous").alias("parent_id")), 64)
+    runs = living.lineage(chain.select(F.col("id").alias("run_id"), F.col("previous").alias("parent_id")))
     heads = chain.join(chain.select(F.col("previous").alias("id")).where("id IS NOT NULL"), "id", "left_anti")
     return heads.join(runs, heads["id"] == runs["run_id"]).select("n_regionkey", F.col("ancestors").cast("long").alias("steps"), F.col("id").alias("head"))
 
