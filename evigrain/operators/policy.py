@@ -201,3 +201,54 @@ def authorise_operation(requests: DataFrame) -> DataFrame:
 def translation_acceptable(observed: Column, maximum: Column, approved: Column) -> Column:
     """A translation within its budget of material warnings that a human approved."""
     return (observed <= maximum) & approved
+
+
+def licensed_plan(requests: DataFrame) -> DataFrame:
+    """(request_id, refused, blockers, ready) of requests to licensed services.
+
+    Columns: request_id, endpoint, allowed_hosts, dialect, strategy_dialect, credential_present, opt_in (the setting's
+    text or null), review_required. A refused request has its first reason and null blockers; others have all blockers.
+    """
+    scheme = F.lower(F.regexp_extract("endpoint", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    host = F.lower(F.regexp_extract("endpoint", r"^[^:]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    refused = F.when(scheme == "", "malformed_endpoint").when(scheme != "https", "insecure_endpoint").when(host == "", "missing_host")
+    refused = refused.when(~F.array_contains("allowed_hosts", host), "host_not_allowed").when(F.col("dialect") != F.col("strategy_dialect"), "dialect_mismatch")
+    blockers = codes(
+        ("credential_absent", ~F.col("credential_present")), ("live_opt_in_disabled", ~F.coalesce(F.col("opt_in").isin("1", "true", "TRUE", "YES", "yes"), F.lit(False))),
+        ("translation_review_required", F.col("review_required")),
+    )
+    judged = requests.select("request_id", refused.alias("refused"), blockers.alias("b"))
+    open_ = F.col("refused").isNull()
+    return judged.select("request_id", "refused", F.when(open_, F.array_join("b", ",")).alias("blockers"), (open_ & (F.size("b") == 0)).alias("ready"))
+
+
+def search_validation_violations(reports: DataFrame) -> DataFrame:
+    """(report_id, codes) of validation reports of a search, those without breaches too.
+
+    Columns: report_id, strategy_id, minimum_recall, press (array of structs with strategy_id, decision and findings, an
+    array of messages), seeds (array of structs with seed_id and basis), translations (array of structs with
+    strategy_id and dialect), approved, approver. Null arrays are empty, null texts blank.
+    """
+    own = F.col("strategy_id")
+    blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    found = codes(
+        ("strategy_id.blank", blank(own)), ("minimum_recall.range", (F.col("minimum_recall") < 0) | (F.col("minimum_recall") > 1) | F.isnan(F.col("minimum_recall"))),
+        ("press.blank", F.exists("press", lambda p: blank(p["decision"]) | F.coalesce(F.exists(p["findings"], blank), F.lit(False)))), ("press.other_strategy", F.exists("press", lambda p: ~p["strategy_id"].eqNullSafe(own))),
+        ("seed.blank", F.exists("seeds", lambda s: blank(s["seed_id"]) | blank(s["basis"]))), ("translation.blank", F.exists("translations", lambda t: blank(t["dialect"]))),
+        ("translation.other_strategy", F.exists("translations", lambda t: ~t["strategy_id"].eqNullSafe(own))), ("approved.without_approver", F.col("approved") & blank(F.col("approver"))),
+    )
+    return reports.select("report_id", F.array_join(found, ",").alias("codes"))
+
+
+def trace_violations(transitions: DataFrame) -> DataFrame:
+    """(review_id, transition_id, code) of workflow transitions that break a rule, each once.
+
+    Columns: review_id, transition_id, actor_id, occurred_at, before, after, evidence_ids (an array of texts).
+    """
+    blank = lambda x: F.coalesce(F.trim(F.col(x).cast("string")) == "", F.lit(True))
+    none = F.coalesce(F.size("evidence_ids") < 1, F.lit(True))
+    empty = F.exists("evidence_ids", lambda e: F.coalesce(F.trim(e) == "", F.lit(True)))
+    rules = codes(("transition_id.blank", blank("transition_id")), ("actor.blank", blank("actor_id")), ("occurred_at.blank", blank("occurred_at")), ("state.unchanged", F.col("before").eqNullSafe(F.col("after"))), ("evidence.none", none), ("evidence.blank", empty))
+    own = transitions.select("review_id", "transition_id", F.explode(rules).alias("code")).distinct()
+    repeated = transitions.groupBy("review_id", "transition_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    return own.unionByName(repeated.select("review_id", "transition_id", F.lit("transition_id.duplicate").alias("code")))

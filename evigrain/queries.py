@@ -1237,3 +1237,59 @@ def snk_prov(spark, sf_dir):
     receipts = D.table(spark, sf_dir, "orders").selectExpr("o_custkey AS review_id", "o_orderkey AS receipt_id", "o_orderpriority AS provider_id", "o_orderkey % 100 AS records", "o_orderdate AS executed_at")
     events = D.audit_events(spark, sf_dir)
     return audit.prov(receipts, events, audit.append_hashes(events))
+
+
+# --- licensed requests, validation reports and workflow traces
+@query(
+    """SELECT request_id, refused, CASE WHEN refused IS NULL THEN array_to_string(b, ',') END AS blockers, refused IS NULL AND len(b) = 0 AS ready FROM (SELECT o_orderkey AS request_id,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'malformed_endpoint' WHEN o_orderkey % 7 = 0 THEN 'insecure_endpoint' WHEN o_orderkey % 13 = 0 THEN 'missing_host' WHEN o_custkey % 5 = 4 THEN 'host_not_allowed' WHEN o_orderstatus = 'P' THEN 'dialect_mismatch' END AS refused,
+    list_filter([CASE WHEN o_custkey % 3 = 0 THEN 'credential_absent' END, CASE WHEN o_orderkey % 4 IN (0, 3) THEN 'live_opt_in_disabled' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'translation_review_required' END], lambda x: x IS NOT NULL) AS b FROM orders)""")
+def licensed_plan(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    scheme = F.when(k % 11 == 0, "api").when(k % 7 == 0, "http://").otherwise("HTTPS://")
+    host = F.when((k % 13 == 0) & (k % 11 != 0), "").otherwise(F.concat(F.when(c % 2 == 0, "user@").otherwise(""), F.lit("Api"), c % 5, F.lit(".example.org"), F.when(c % 3 == 0, ":443").otherwise("")))
+    asked = D.table(spark, sf_dir, "orders").select(
+        k.alias("request_id"), F.concat(scheme, host, F.lit("/search?q="), k).alias("endpoint"), F.array(*(F.lit(f"api{i}.example.org") for i in range(4))).alias("allowed_hosts"), F.lit("embase").alias("dialect"),
+        F.when(F.col("o_orderstatus") == "P", "scopus").otherwise("embase").alias("strategy_dialect"), (c % 3 != 0).alias("credential_present"), F.when(k % 4 == 0, "0").when(k % 4 == 1, "yes").when(k % 4 == 2, "TRUE").alias("opt_in"), F.col("o_orderpriority").startswith("1").alias("review_required"),
+    )
+    return policy.licensed_plan(asked)
+
+
+@query(
+    """SELECT o_orderkey AS report_id, array_to_string(list_filter([CASE WHEN o_orderkey % 17 = 0 THEN 'strategy_id.blank' END, CASE WHEN o_custkey % 8 IN (6, 7) THEN 'minimum_recall.range' END, CASE WHEN pb THEN 'press.blank' END, CASE WHEN po THEN 'press.other_strategy' END,
+    CASE WHEN sb THEN 'seed.blank' END, CASE WHEN tb THEN 'translation.blank' END, CASE WHEN t THEN 'translation.other_strategy' END, CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 <> 0 THEN 'approved.without_approver' END], lambda x: x IS NOT NULL), ',') AS codes
+    FROM orders LEFT JOIN (SELECT l_orderkey, bool_or(l_returnflag = 'A' AND (l_partkey % 10 = 0 OR l_suppkey % 9 = 0)) AS pb, bool_or(l_returnflag = 'A' AND (l_partkey % 12 = 0 OR l_orderkey % 17 = 0)) AS po, bool_or(l_returnflag = 'N' AND l_partkey % 14 = 0) AS sb,
+        bool_or(l_returnflag = 'R' AND l_partkey % 15 = 0) AS tb, bool_or(l_returnflag = 'R' AND (l_suppkey % 8 = 0 OR l_orderkey % 17 = 0)) AS t FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def val_search_validation(spark, sf_dir):
+    """A report per order: its lines are peer reviews, seeds and translations."""
+    p, key = F.col("l_partkey"), F.concat(F.lit("st-"), "l_orderkey")
+    strategy = lambda wrong: F.when(wrong, "st-other").otherwise(key).alias("strategy_id")
+    press = F.struct(strategy(p % 12 == 0), F.when(p % 10 != 0, "approve").alias("decision"), F.array(F.lit("add synonyms"), F.when(F.col("l_suppkey") % 9 == 0, " ").otherwise("check fields")).alias("findings"))
+    seed = F.struct(F.concat(F.lit("seed-"), p).alias("seed_id"), F.when(p % 14 == 0, "  ").otherwise("known item").alias("basis"))
+    translation = F.struct(strategy(F.col("l_suppkey") % 8 == 0), F.when(p % 15 != 0, "scopus").alias("dialect"))
+    each = lambda flag, row, name: F.collect_list(F.when(F.col("l_returnflag") == flag, row)).alias(name)
+    parts = D.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(each("A", press, "press"), each("N", seed, "seeds"), each("R", translation, "translations"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    reports = D.table(spark, sf_dir, "orders").join(parts, F.col("l_orderkey") == k, "left").select(
+        k.alias("report_id"), F.when(k % 17 != 0, F.concat(F.lit("st-"), k)).alias("strategy_id"), F.when(c % 8 == 7, F.lit(float("nan"))).otherwise((c % 8) / 5).alias("minimum_recall"), "press", "seeds", "translations",
+        (F.col("o_orderstatus") == "F").alias("approved"), F.when(c % 3 == 0, "editor").when(c % 3 == 1, " ").alias("approver"),
+    )
+    return policy.search_validation_violations(reports)
+
+
+TRACE = "trace AS (SELECT l_orderkey AS review_id, CASE WHEN l_partkey % 40 = 0 THEN ' ' ELSE 't-' || l_partkey % 25 END AS transition_id, l_suppkey, l_partkey, l_linenumber, l_returnflag, l_linestatus, l_shipdate FROM lineitem)"
+
+
+@query(
+    """SELECT DISTINCT review_id, transition_id, code FROM (SELECT review_id, transition_id, 'transition_id.blank' AS code FROM trace WHERE transition_id = ' ' UNION ALL SELECT review_id, transition_id, 'actor.blank' FROM trace WHERE l_suppkey % 9 = 0
+    UNION ALL SELECT review_id, transition_id, 'occurred_at.blank' FROM trace WHERE l_linenumber = 7 UNION ALL SELECT review_id, transition_id, 'state.unchanged' FROM trace WHERE (l_returnflag, l_linestatus) IN (('N', 'O'), ('A', 'F'))
+    UNION ALL SELECT review_id, transition_id, 'evidence.none' FROM trace WHERE l_partkey % 6 IN (0, 1) UNION ALL SELECT review_id, transition_id, 'evidence.blank' FROM trace WHERE l_partkey % 6 = 2
+    UNION ALL SELECT review_id, transition_id, 'transition_id.duplicate' FROM trace GROUP BY ALL HAVING count(*) > 1)""", TRACE)
+def val_workflow_trace(spark, sf_dir):
+    p = F.col("l_partkey")
+    evidence = F.when(p % 6 == 0, F.array().cast("array<string>")).when(p % 6 == 2, F.array(F.lit("e-1"), F.lit(" "))).when(p % 6 != 1, F.array(F.concat(F.lit("e-"), p)))
+    after = F.when(F.col("l_returnflag") == "N", "O").when(F.col("l_returnflag") == "A", "F").otherwise("closed")
+    return policy.trace_violations(D.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("review_id"), F.when(p % 40 == 0, " ").otherwise(F.concat(F.lit("t-"), p % 25)).alias("transition_id"), F.when(F.col("l_suppkey") % 9 == 0, "").otherwise("actor").alias("actor_id"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_shipdate")).alias("occurred_at"), F.col("l_linestatus").alias("before"), after.alias("after"), evidence.alias("evidence_ids"),
+    ))

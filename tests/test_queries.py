@@ -246,3 +246,17 @@ def test_approvals(spark):
     registry = spark.createDataFrame([("x", None, 1, 9)], "approval_id string, scope string, approved_at int, expires_at int")
     got = sorted((r.approval_id or "", r.scope or "", r.now, r.verified) for r in policy.verify_approvals(claims, registry, ["scope"], "now").collect())
     assert got == [("", "", 5, False), ("x", "", 1, True), ("x", "", 5, True), ("x", "", 9, False), ("x", "s", 5, False), ("y", "", 5, False)]
+
+
+def test_lineage_long_chains_and_breaches(spark):
+    runs = [(i, 1, i - 1 if i else None, 3 if i == 99 else None, True) for i in range(100)]
+    runs += [(200, 1, 201, None, False), (201, 1, 200, None, False), (202, 1, 201, 200, True), (300, 2, 5, 6, True), (301, 2, 999, 998, True), (302, 2, None, 999, False), (303, 2, None, 302, True), (304, 2, 303, 304, True)]
+    df = spark.createDataFrame(runs + [runs[7]], "run_id long, review_id long, parent_id long, supersedes_id long, completed boolean")
+    got = {tuple(r) for r in living.lineage_violations(df).collect()}
+    assert got == {
+        (7, "duplicate_run"), (200, "lineage_cycle"), (201, "lineage_cycle"), (202, "lineage_cycle"), (300, "cross_review_parent"), (300, "cross_review_superseded"),
+        (301, "unknown_parent"), (301, "unknown_superseded"), (303, "invalid_supersession"), (304, "invalid_supersession"),
+    }
+    chains = {r.run_id: r.ancestors for r in living.lineage(df.distinct()).collect()}
+    assert chains[99] == 99 and chains[0] == 0 and chains[202] is None and chains[301] == 1
+    assert living.lineage_violations(df.limit(0)).count() == 0
