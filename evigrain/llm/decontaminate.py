@@ -5,7 +5,8 @@ A window is contained in a document when all its shingles (of up to three words)
 each other there. As all of them must occur, the join prefix of a window is one shingle:
 its rarest, by occurrences counted over all documents. Documents look their shingles up
 in this index; the shingle's offset gives the only possible start, length and position
-must lie inside the document, and all words of the window are compared.
+must lie inside the document, and all words of the window are compared, by 64-bit hashes
+with a key for each place in a word.
 
 The index goes to the tasks as broadcast blocks of at most ``BLOCK`` windows (about 150
 bytes each); a larger benchmark takes several passes, whose hits are merged.

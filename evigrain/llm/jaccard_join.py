@@ -27,7 +27,7 @@ smallest doc_id its links reach. The steps:
 6. Both sides of a comparison are dealt to tiles of ``TILE`` sets, so that a task reads
    two tiles at a time whatever the size of a group.
 
-Identity: 64 bits for sets (D distinct sets give about D^2 / 2^65 false merges in all); 48
+Identity: words by 64-bit hashes with a key for each place; 64 bits for sets (D distinct sets give about D^2 / 2^65 false merges in all); 48
 bits and the bucket for shingles when counting, 48 bits when verifying.
 
 Defined cases: null or wordless text: empty set, linked with nothing, component_id is its

@@ -10,9 +10,11 @@ have a longer common prefix.
 The corpus is cut into such blocks by content. Each window of ``least`` bytes has an
 anchor, the byte k-gram in it with the smallest hash, so equal windows have the same
 anchor at the same offset. Consecutive windows with one anchor form a stretch, about 1.5
-windows long. Stretches are the rows that Spark counts: equal ones (two 64-bit hashes)
-collapse to one with a count, first within a task's chunk of text, so that a passage in
-every document costs one row a chunk.
+windows long. Stretches are the rows that Spark counts: equal ones (two hashes, one modulo
+2^64 and one modulo the prime 2^61 - 1) collapse to one with a count, first within a task's
+chunk of text, so that a passage in every document costs one row a chunk. A stretch with a
+count above one is repeated as a whole and marked by that count; the transform finds what
+repeats inside stretches that differ.
 
 Different stretches of an anchor can share a window only if they agree on the
 ``(least - gram) / 2`` bytes before the anchor or on as many after it, since a window that
@@ -44,7 +46,6 @@ from .window_dedup import NO_ID, to_batch
 GRAM = 32
 BLOCK = 1 << 20
 SEGMENT = 2 << 20
-CODES = (t.BYTE_CODES, t.mix(t.BYTE_CODES + np.uint64(7)))
 #: A context that a stretch does not have. Left contexts end in the bits 11, right ones in 0.
 NONE = np.int64(1)
 
@@ -76,7 +77,7 @@ def stretches(buf: np.ndarray, offs: np.ndarray, least: int, gram: int):
     size = np.diff(offs)
     if not len(buf) or size.max() < least:
         return None
-    first, second = (sums(c[buf]) for c in CODES)
+    first, second = sums(t.BYTE_CODES[buf]), t.PrimeHash(buf)
     at = np.arange(len(buf) - gram + 1)
     grams = hash_of(first, at, at + gram)
     keys = (grams >> np.uint64(28) << np.uint64(28)) | at.astype(np.uint64)
@@ -92,7 +93,7 @@ def stretches(buf: np.ndarray, offs: np.ndarray, least: int, gram: int):
     # a context that reaches beyond the stretch lies in none of its windows
     left = np.where(anchor - side >= begin, hash_of(first, np.maximum(anchor - side, begin), anchor).view(np.int64) | 3, NONE)
     right = np.where(anchor + gram + side <= end, hash_of(first, anchor + gram, np.minimum(anchor + gram + side, end)).view(np.int64) & ~1, NONE)
-    return which, begin - offs[:-1][which], end - begin, grams[anchor].view(np.int64), hash_of(first, begin, end).view(np.int64), hash_of(second, begin, end).view(np.int64), left, right
+    return which, begin - offs[:-1][which], end - begin, grams[anchor].view(np.int64), hash_of(first, begin, end).view(np.int64), second.of(begin, end).view(np.int64), left, right
 
 
 def collapsed(anchor: np.ndarray, h1: np.ndarray, h2: np.ndarray):
@@ -263,7 +264,7 @@ def find_repeats(rows: DataFrame, least: int = 400, gram: int = GRAM, hot: int =
             for a, doc, uid, start, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf = np.frombuffer(body, np.uint8)
                 at = np.arange(len(buf) - least + 1)
-                one, two = (hash_of(sums(c[buf]), at, at + least).view(np.int64) for c in CODES)
+                one, two = hash_of(sums(t.BYTE_CODES[buf]), at, at + least).view(np.int64), t.PrimeHash(buf).of(at, at + least).view(np.int64)
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.full(k, a), np.full(k, doc), np.full(k, uid), at + start, np.full(k, n), one, two), WINDOW, strict=True)], schema=WINDOW)
 

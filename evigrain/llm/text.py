@@ -103,8 +103,79 @@ def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray = NOT_SPACE):
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def place_keys(n: int) -> np.ndarray:
+    """A fixed pseudorandom key for each place in a word, n of them at least."""
+    if len(_powers.get("places", ())) < n:
+        _powers["places"] = mix(np.arange(1, max(n, 1024) + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+    return _powers["places"]
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-    return range_hash(codes[buf], starts, ends)
+    """A hash of each word: the sum of its bytes' codes, each times the key of its place, and its length.
+
+    Keys that are no powers of one number leave no words, however regular, that collide for every choice of codes.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
+    head = np.cumsum(size) - size
+    at = np.arange(size.sum()) - np.repeat(head, size)
+    keys = place_keys(int(size.max()))[at]
+    at += np.repeat(starts, size)
+    keys *= codes[buf[at]]
+    return mix(np.add.reduceat(keys, head) + size.astype(U64) * U64(BASE))
+
+
+PRIME = (1 << 61) - 1
+LOW = U64((1 << 31) - 1)
+
+
+def prime_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    a1, a0, b1, b0 = a >> U64(31), a & LOW, b >> U64(31), b & LOW
+    middle = a1 * b0 + a0 * b1
+    x = U64(2) * a1 * b1 + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << U64(31)) + a0 * b0
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME, n of them at least."""
+    if len(_powers.get("prime", ())) < n:
+        size = max(n, CHUNK + 1)
+        base = BASE % PRIME
+        for name, b in (("prime", base), ("inverse", pow(base, -1, PRIME))):
+            table = np.ones(size, dtype=U64)
+            known = 1
+            while known < size:
+                more = min(known, size - known)
+                table[known : known + more] = prime_product(table[:more], np.full(more, pow(b, known, PRIME), dtype=U64))
+                known += more
+            _powers[name] = table
+    return _powers["prime"], _powers["inverse"]
+
+
+class PrimeHash:
+    """Polynomial hashes modulo PRIME of byte ranges of buf, up to 4 million bytes long.
+
+    Two running sums, of the upper and the lower half of the powers, stay below 2**64; only the wanted ranges are reduced.
+    """
+
+    def __init__(self, buf: np.ndarray):
+        assert len(buf) < 1 << 22
+        up, self.down = prime_powers(len(buf) + 1)
+        codes = buf.astype(U64) + U64(1)
+        self.sums = []
+        for half in (up[: len(buf)] & LOW, up[: len(buf)] >> U64(31)):
+            half *= codes
+            total = np.zeros(len(buf) + 1, dtype=U64)
+            np.cumsum(half, dtype=U64, out=total[1:])
+            self.sums.append(total)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        low, high = ((s[ends] - s[starts]) % U64(PRIME) for s in self.sums)
+        x = (prime_product(high, np.full(len(high), 1 << 31, dtype=U64)) + low) % U64(PRIME)
+        return mix(prime_product(x, self.down[starts]) + (ends - starts).astype(U64) * U64(BASE))
 
 
 def window_starts(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,10 +14,15 @@ A window's identity has 72 + log2(buckets) bits: all 64 of one hash, and of a se
 over other codes of the bytes, one byte and the bucket, which comes from bits outside that
 byte. D distinct windows give about D^2 / (2^73 * buckets) false repeats in all.
 
-Defined cases: null or empty text, or fewer words than a window: nothing is removed. Rows
-with the same doc_id count as one document (identical places never count as earlier), and
-each of them gets a result row. A null doc_id sorts before all others. An empty table
-gives an empty result. Other columns of the input are ignored.
+Words are hashed with a key for each place, so regular words don't collide; windows by
+powers of one base over their words' hashes.
+
+Defined cases: null or empty text, or fewer words than a window: nothing is removed. Equal
+rows (same doc_id and text) count as one document, as identical places never count as
+earlier, and each of them gets a result row. Rows that share a doc_id and differ in text
+are documents of their own, in the order of their texts' hashes. A null doc_id sorts
+before all others. An empty table gives an empty result. Other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
-from .common import parts
+from .common import materialise, parts
 
 #: Windows that a task holds before it sends them on.
 FLUSH = 1 << 20
@@ -57,13 +62,15 @@ def wide_key(h: np.ndarray, check: np.ndarray) -> np.ndarray:
     return np.concatenate((hash_bytes(h), hash_bytes(check)[:, :1]), axis=1)
 
 
-def pack(bucket: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray | None = None):
+def pack(bucket: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray | None = None, uid: np.ndarray | None = None):
     """One row (bucket, docs, runs, at, hash) for each bucket; entries keep their order.
 
     h is 64-bit hashes, of which the upper 48 bits are kept, or rows of bytes, kept whole. Without h, hash is empty.
+    docs has a number for each run of entries of one document, and then, where not all are zero, a uid for each.
     """
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     bucket, doc, at = bucket[order], doc[order], at[order]
+    uid = None if uid is None or not uid.any() else uid[order]
     if h is None:
         key = np.zeros((len(doc), 0), np.uint8)
     else:
@@ -72,33 +79,43 @@ def pack(bucket: np.ndarray, buckets: int, doc: np.ndarray, at: np.ndarray, h: n
     for k in np.flatnonzero(np.diff(edges)):
         lo, hi = edges[k], edges[k + 1]
         d, a = doc[lo:hi], at[lo:hi].astype(np.int64)
-        heads = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        u = d if uid is None else uid[lo:hi]
+        heads = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (u[1:] != u[:-1]))))
         step = np.diff(a, prepend=0)
         step[heads] = a[heads]
-        yield int(k), d[heads].astype("<i8").tobytes(), planes(np.diff(np.append(heads, hi - lo))), planes(step), key[lo:hi].tobytes()
+        more = b"" if uid is None or not u.any() else u[heads].astype("<i8").tobytes()
+        yield int(k), d[heads].astype("<i8").tobytes() + more, planes(np.diff(np.append(heads, hi - lo))), planes(step), key[lo:hi].tobytes()
 
 
 def unpack(rows: list[tuple[bytes, bytes, bytes, bytes]]):
     """doc, at and hash (its upper 48 bits, if packed) of all entries of some packed rows."""
-    docs, ats, hashes = [], [], []
+    doc, _, at, h = unpack_all(rows)
+    return doc, at, h
+
+
+def unpack_all(rows: list[tuple[bytes, bytes, bytes, bytes]]):
+    """doc, uid, at and hash (its upper 48 bits, if packed) of all entries of some packed rows."""
+    docs, uids, ats, hashes = [], [], [], []
     for d, runs, at, h in rows:
         runs = unplanes(runs)
         step = unplanes(at).astype(np.int64)
         total = np.cumsum(step)
         heads = np.cumsum(runs) - runs
         ats.append(total - np.repeat(total[heads] - step[heads], runs))
-        docs.append(np.repeat(np.frombuffer(d, "<i8"), runs))
+        named = np.frombuffer(d, "<i8")
+        docs.append(np.repeat(named[: len(runs)], runs))
+        uids.append(np.repeat(named[len(runs) :] if len(named) > len(runs) else np.zeros(len(runs), np.int64), runs))
         key = np.zeros((len(h) // 6, 8), np.uint8)
         key[:, 2:] = np.frombuffer(h, np.uint8).reshape(-1, 6)
         hashes.append(key.view("<u8").ravel())
-    return tuple(np.concatenate(x) for x in (docs, ats, hashes))
+    return tuple(np.concatenate(x) for x in (docs, uids, ats, hashes))
 
 
 def unpack_wide(rows: list[tuple[bytes, bytes, bytes, bytes]]):
-    """doc, at, hash and check byte of all entries of some rows packed with wide_key."""
-    doc, at, _ = unpack([(*r[:3], b"") for r in rows])
+    """doc, uid, at, hash and check byte of all entries of some rows packed with wide_key."""
+    doc, uid, at, _ = unpack_all([(*r[:3], b"") for r in rows])
     keys = [np.frombuffer(r[3], np.uint8).reshape(-1, WIDE) for r in rows]
-    return doc, at, np.concatenate([np.ascontiguousarray(k[:, :8]).view("<u8").ravel() for k in keys]), np.concatenate([k[:, 8] for k in keys])
+    return doc, uid, at, np.concatenate([np.ascontiguousarray(k[:, :8]).view("<u8").ravel() for k in keys]), np.concatenate([k[:, 8] for k in keys])
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -125,7 +142,7 @@ PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("
 
 
 def pack_all(pieces, buckets: int):
-    """Pack (doc, at, hash) or (doc, at, hash, check) pieces into record batches, a flush at a time."""
+    """Pack (doc, at, hash) or (doc, at, hash, check, uid) pieces into record batches, a flush at a time."""
     held, n = [], 0
     for piece in pieces:
         held.append(piece)
@@ -140,55 +157,69 @@ def pack_all(pieces, buckets: int):
 def pack_held(held: list, buckets: int):
     doc, at, h, *check = (np.concatenate(x) for x in zip(*held, strict=True))
     if check:
-        return pack(bucket_of(check[0], buckets), buckets, doc, at, wide_key(h, check[0]))
+        return pack(bucket_of(check[0], buckets), buckets, doc, at, wide_key(h, check[0]), *check[1:])
     return pack(bucket_of(h, buckets), buckets, doc, at, h)
 
 
-def later_places(doc: np.ndarray, at: np.ndarray, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def later_places(doc: np.ndarray, uid: np.ndarray, at: np.ndarray, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(later, extra): entries whose window has an earlier place among these, and all that needn't be passed on."""
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(h) else order
-    order = order[np.lexsort((at[order], doc[order], check[order], h[order]))]
-    d, a, x, c = doc[order], at[order], h[order], check[order]
+    order = order[np.lexsort((at[order], uid[order], doc[order], check[order], h[order]))]
+    d, u, a, x, c = doc[order], uid[order], at[order], h[order], check[order]
     head = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (c[1:] != c[:-1]))))[: len(x)]
     size = np.diff(np.append(head, len(x)))
     later, extra = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    later[order] = (d != np.repeat(d[head], size)) | (a != np.repeat(a[head], size))
+    later[order] = (d != np.repeat(d[head], size)) | (u != np.repeat(u[head], size)) | (a != np.repeat(a[head], size))
     extra[order] = True
     extra[order[head]] = False
     return later, extra
 
 
-def place_batches(doc: np.ndarray, at: np.ndarray, buckets: int):
+def place_batches(doc: np.ndarray, uid: np.ndarray, at: np.ndarray, buckets: int):
     """Places packed for the buckets of their documents."""
-    order = np.lexsort((at, doc))
+    order = np.lexsort((at, uid, doc))
+    doc, uid, at = doc[order], uid[order], at[order]
     if len(order):
-        yield to_batch(list(pack(bucket_of(t.mix(doc[order].view(np.uint64)), buckets), buckets, doc[order], at[order])), PACKED_ARROW)
+        bucket = bucket_of(t.mix(doc.view(np.uint64) ^ t.mix(uid.view(np.uint64))), buckets)
+        yield to_batch(list(pack(bucket, buckets, doc, at, uid=uid)), PACKED_ARROW)
+
 
+def told_apart(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, doc, uid, body): doc is doc_id with NO_ID for null; uid is a hash of the text where rows of its doc differ in text, else 0."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("uid"), F.col(text).alias("body"))
+    several = materialise(rows.groupBy("doc").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low != high").select("doc", F.lit(True).alias("several")))
+    if several.isEmpty():
+        return rows.withColumn("uid", F.lit(0).cast("long"))
+    return rows.join(several, "doc", "left").withColumn("uid", F.when(F.col("several"), F.col("uid")).otherwise(0)).drop("several")
 
-def mark_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Words of windows that also start earlier: rows (doc, gone), gone the merged intervals start, end, start, end ..."""
-    buckets = parts(docs.sparkSession)
+
+def mark_windows(rows: DataFrame, window: int = 20) -> DataFrame:
+    """Words of windows that also start earlier: rows (doc, uid, gone), gone the merged intervals start, end, start, end ...
+
+    ``rows`` has the columns doc, uid and body.
+    """
+    buckets = parts(rows.sparkSession)
 
     def windows(batches):
         for batch in batches:
-            doc = ids(batch, "doc")
+            doc, uid = ids(batch, "doc"), ids(batch, "uid")
             for lo, _, buf, offs in t.chunks(t.column(batch, "body")):
                 starts, ends, first = t.words(buf, offs)
                 at, which = t.window_starts(first, window)
                 if len(at):
                     h, check = (t.range_hash(t.word_hashes(buf, starts, ends, codes), at, at + window) for codes in (t.BYTE_CODES, t.CHECK_CODES))
-                    yield doc[lo + which], at - first[which], h, check
+                    yield doc[lo + which], at - first[which], h, check, uid[lo + which]
 
     def hashed(batches):
         held, n = [], 0
 
         def sent():
-            doc, at, h, check = (np.concatenate(x) for x in zip(*held, strict=True))
-            later, extra = later_places(doc, at, h, check)
-            yield from place_batches(doc[later], at[later], buckets)
-            yield to_batch(list(pack_held([(doc[~extra], at[~extra], h[~extra], check[~extra])], buckets)), PACKED_ARROW)
+            doc, at, h, check, uid = (np.concatenate(x) for x in zip(*held, strict=True))
+            later, extra = later_places(doc, uid, at, h, check)
+            yield from place_batches(doc[later], uid[later], at[later], buckets)
+            yield to_batch(list(pack_held([tuple(x[~extra] for x in (doc, at, h, check, uid))], buckets)), PACKED_ARROW)
 
         for piece in windows(batches):
             held.append(piece)
@@ -204,25 +235,26 @@ def mark_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         for r in packed_rows(batches):
             (rows if r[3] or not r[0] else known).append(r)
         if known:
-            yield from place_batches(*unpack(known)[:2], buckets)
-        doc, at, h, check = unpack_wide(rows or [(b"",) * 4])
-        later, _ = later_places(doc, at, h, check)
-        yield from place_batches(doc[later], at[later], buckets)
+            yield from place_batches(*unpack_all(known)[:3], buckets)
+        doc, uid, at, h, check = unpack_wide(rows or [(b"",) * 4])
+        later, _ = later_places(doc, uid, at, h, check)
+        yield from place_batches(doc[later], uid[later], at[later], buckets)
 
     def merged(batches):
-        doc, at, _ = unpack(packed_rows(batches))
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        head = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)))[: len(doc)]
+        doc, uid, at, _ = unpack_all(packed_rows(batches))
+        order = np.lexsort((at, uid, doc))
+        doc, uid, at = doc[order], uid[order], at[order]
+        other = (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])
+        head = np.concatenate(([True], other | (at[1:] > at[:-1] + window)))[: len(doc)]
         tail = np.append(head[1:], True)[: len(doc)]
-        doc, pairs = doc[head], np.stack((at[head], at[tail] + window), axis=1)
-        head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[: len(doc)]
+        doc, uid, pairs = doc[head], uid[head], np.stack((at[head], at[tail] + window), axis=1)
+        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1]))))[: len(doc)]
         edges = np.append(head, len(doc)).astype(np.int32)
         if len(head):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[head], pa.int64()), pa.ListArray.from_arrays(pa.array(edges * 2), pa.array(pairs.ravel(), pa.int64()))], names=["doc", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[head], pa.int64()), pa.array(uid[head], pa.int64()), pa.ListArray.from_arrays(pa.array(edges * 2), pa.array(pairs.ravel(), pa.int64()))], names=["doc", "uid", "gone"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
-    return rows.mapInArrow(hashed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(repeated, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(merged, "doc long, gone array<long>")
+    dealt = rows.select("doc", "uid", "body").mapInArrow(hashed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(repeated, PACKED)
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(merged, "doc long, uid long, gone array<long>")
 
 
 def remove_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
@@ -231,8 +263,8 @@ def remove_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Returns (doc_id, n_words, n_removed, spans: removed word intervals [start, end), kept: the kept words joined by
     one space).
     """
-    marks = mark_windows(docs, doc_id, text, window)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("body"))
+    rows = told_apart(docs, doc_id, text)
+    marks = mark_windows(rows, window)
 
     def removed(batches):
         for batch in batches:
@@ -250,7 +282,7 @@ def remove_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     out.append((doc[lo + i].as_py(), int(b - a), int(gone.sum()), [{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)], joined(buf, starts[a:b][~gone], ends[a:b][~gone])))
                 yield to_batch(out, REMOVED_ARROW)
 
-    return rows.join(marks, "doc", "left").mapInArrow(removed, REMOVED).withColumnRenamed("doc", doc_id)
+    return rows.join(marks, ["doc", "uid"], "left").mapInArrow(removed, REMOVED).withColumnRenamed("doc", doc_id)
 
 
 REMOVED = "doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"

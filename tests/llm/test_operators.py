@@ -79,7 +79,7 @@ def test_window_dedup_empty_and_repeated_rows(spark):
 
 
 def test_window_dedup_tells_apart_windows_that_share_48_hash_bits(spark):
-    pair = "00a56d66", "01c12d33"
+    pair = "00ecfed1", "008022af"
     h = [int(text.range_hash(text.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([8])), np.array([0]), np.array([1]))[0]) for w in pair]
     assert h[0] >> 16 == h[1] >> 16 and h[0] != h[1]
     got = window_dedup.remove_windows(frame(spark, [(1, pair[0]), (2, pair[1]), (3, pair[1])]), window=1).collect()
@@ -89,7 +89,56 @@ def test_window_dedup_tells_apart_windows_that_share_48_hash_bits(spark):
 def test_window_dedup_equal_hash_but_other_check_byte():
     h, check = np.full(3, 7, np.uint64), np.array([1, 2, 2], np.uint64)
     rows = [r[1:] for r in window_dedup.pack_held([(np.arange(3), np.zeros(3, np.int64), h, check)], 1)]
-    assert [x.tolist() for x in window_dedup.unpack_wide(rows)] == [[0, 1, 2], [0, 0, 0], [7, 7, 7], [1, 2, 2]]
+    assert [x.tolist() for x in window_dedup.unpack_wide(rows)] == [[0, 1, 2], [0, 0, 0], [0, 0, 0], [7, 7, 7], [1, 2, 2]]
+
+
+@pytest.mark.parametrize("shared", [5, None])
+def test_window_dedup_unlike_texts_under_one_id(spark, shared):
+    fresh = lambda tag: " ".join(f"{tag}{i}" for i in range(25))
+    rows = [(1, fresh("a")), (shared, fresh("a")), (shared, fresh("b")), (shared, fresh("b")), (9, fresh("b")), (shared, fresh("c"))]
+    got = Counter((r.doc_id, bytes(r.kept), r.n_removed) for r in window_dedup.remove_windows(frame(spark, rows), window=20).collect())
+    a_first = shared is None
+    want = [(1, fresh("a") * (not a_first), 25 * a_first), (shared, fresh("a") * a_first, 25 * (not a_first)), (shared, fresh("b"), 0), (shared, fresh("b"), 0), (9, "", 25), (shared, fresh("c"), 0)]
+    assert got == Counter((i, x.encode(), n) for i, x, n in want)
+
+
+def test_window_dedup_every_row_under_one_id(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(7, " ".join([*base, f"x{i}"])) for i in range(20)]
+    got = window_dedup.remove_windows(frame(spark, rows), window=20).collect()
+    assert sorted(r.n_removed for r in got) == [0] + [40] * 19
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_regular_words_and_strings_do_not_collide(spark, size):
+    x, y = thue_morse(size)
+    tail = [f"t{i}" for i in range(19)]
+    one, two = " ".join([x, *tail]), " ".join([y, *tail])
+    got = window_dedup.remove_windows(frame(spark, [(1, one), (2, two)]), window=20).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    assert sorted(r.component_id for r in jaccard_join.near_duplicates(frame(spark, [(1, x), (2, y)])).collect()) == [1, 2]
+    items = spark.createDataFrame([("i", " ".join([x, *tail[:12]]))], "item_id string, text string")
+    assert sorted((r.doc_id, r.n_hit) for r in decontaminate.contamination(frame(spark, [(1, one), (2, two)]), items).collect()) == [(1, 13), (2, 0)]
+    got = suffix_dedup.remove_repeats(frame(spark, [(1, x), (2, y)]), least=size).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    for codes in (text.BYTE_CODES, text.CHECK_CODES):
+        h = [text.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([size]), codes)[0] for w in (x, y)]
+        assert h[0] != h[1]
+
+
+def test_prime_hash():
+    rng = np.random.default_rng(0)
+    a, b = (rng.integers(0, text.PRIME, 500, dtype=np.uint64) for _ in range(2))
+    assert text.prime_product(a, b).tolist() == [int(x) * int(y) % text.PRIME for x, y in zip(a, b)]
+    buf = rng.integers(0, 256, 3000, dtype=np.uint8)
+    buf[1000:1400] = buf[2000:2400]
+    s, e = np.array([1000, 2000, 1001, 1000]), np.array([1400, 2400, 1401, 1399])
+    h = text.PrimeHash(buf).of(s, e).tolist()
+    assert h[0] == h[1] and len(set(h)) == 3
 
 
 def test_repeats_block():
