@@ -15,9 +15,8 @@ from evigrain.llm.common import materialise
 from evigrain.llm.window_dedup import NO_ID
 
 REJECT = 0.7
-#: The largest share of its bytes that a document may lose as repeated passages and still stay; a fifth, as in
-#: published web corpora that drop documents by their share of duplicated text.
-REPEATED = 0.2
+#: A document that loses more than this share of its bytes as repeated passages goes whole: next to nothing is left of it.
+NEARLY_ALL = 0.9
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -45,8 +44,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates, and all without words.
 
-    Of rows with the same doc_id and text one stays; those with the same doc_id and different texts are different
-    documents. Ids alone are grouped; the texts are shuffled once, by the same plan at every size.
+    Of rows with the same doc_id and text one stays, the least by a hash of the other columns; those with the same
+    doc_id and different texts are different documents. Ids alone are grouped; the texts are shuffled once, by the same plan at every size.
     """
     found = jaccard_join.groups(docs)
     kept = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc", "uid")).alias("k")).select("k.*")
@@ -57,19 +56,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = keyed.join(kept.select("doc", "uid").hint("merge"), ["doc", "uid"], "left_semi")
     repeated = materialise(found.groupBy("doc", "uid").agg(F.count("*").alias("rows")).where("rows > 1"))
     if not repeated.isEmpty():
-        rows = rows.dropDuplicates(["doc", "uid"])
+        other = [n for c, n in names.items() if c not in ("doc_id", "text")]
+        rows = rows.groupBy("doc", "uid").agg(F.min_by(F.struct(*names.values()), F.xxhash64(F.lit(0), *other)).alias("row")).select("row.*")
     return rows.select(*names.values()).toDF(*names)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur again; one that loses more than REPEATED of its bytes goes whole.
+    """Documents without the byte strings that occur again; one that loses more than NEARLY_ALL of its bytes goes whole.
 
-    What is left of such a document is fragments around the cuts. Documents without repeated strings all stay.
+    All others stay, with the text that repeats nowhere.
     """
     plain, names = numbered(docs)
     plain = plain.withColumn("no_text", F.col(names["text"]).isNull())
     got = suffix_dedup.remove_repeats(plain, names["doc_id"], names["text"], carry=(*others(names, "doc_id", "text"), "no_text"))
-    got = got.where(F.col("n_removed") <= REPEATED * F.col("n_bytes"))
+    got = got.where(F.col("n_removed") <= NEARLY_ALL * F.col("n_bytes"))
     text = F.when(~F.col("no_text"), F.col("kept_text"))
     changed = {names["text"]: text}
     if "n_chars" in names:
@@ -98,7 +98,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express the stages; tests/llm hold run() against a brute-force version.
+#: SQL can't express the stages; tests/llm hold each stage's decisions against hand-made cases.
 ORACLE_SQL = None
 
 
