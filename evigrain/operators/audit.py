@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
-from ..llm.common import parts
+from .components import parts
 
 GENESIS = "GENESIS"
 
