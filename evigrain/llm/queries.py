@@ -108,7 +108,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_quality_rules, op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op9_chat_format, op10_decontamination)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_quality_rules, op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op9_chat_format, op10_decontamination, op13_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_rules": r"""
