@@ -108,6 +108,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,9 +128,29 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_quality_rules, op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op9_chat_format, op10_decontamination, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_embedding_near_dedup, op4_quality_rules, op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join, op8_url_rules, op9_chat_format, op10_decontamination, op11_centroid_clusters, op12_phrase_collocations, op13_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_phrase_collocations": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT * FROM f WHERE k >= 2),
+inside AS (
+    SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN candidates x ON x.lang = c.lang AND x.k > c.k AND 100 * x.a >= 100 * c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ')),
+kept AS (SELECT * FROM candidates ANTI JOIN inside USING (lang, phrase)),
+cuts AS (
+    SELECT lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS front, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS back
+    FROM kept, (SELECT unnest(range(1, 5)) AS j) WHERE j < k),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, s.n, CAST((1000::HUGEINT * c.a * s.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score, j
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.front JOIN f y ON y.lang = c.lang AND y.phrase = c.back JOIN size s ON s.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest QUALIFY rank <= 2000
+""",
     "op8_url_rules": r"""
 WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 parsed AS (
@@ -132,3 +164,30 @@ fit AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit WHERE k = 1
 """,
 }
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """All rounds written out."""
+    ctes = [
+        "k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "e AS MATERIALIZED (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM k)",
+        "first AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM k QUALIFY c < 8)",
+        "c0 AS MATERIALIZED (SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM first)",
+    ]
+    for r in range(rounds + 1):
+        # 8 * distance + number: its least is the nearest centroid, the smaller number of equals
+        ctes.append(f"d{r} AS (SELECT vec_id, c, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN c{r} c USING (i) GROUP BY vec_id, c)")
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, min(d * 8 + c) % 8 AS c, min(d * 8 + c) // 8 AS d FROM d{r} GROUP BY vec_id)")
+        if r < rounds:
+            mean = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+            ctes.append(f"m{r} AS (SELECT c, i, CAST({mean} AS BIGINT) AS x FROM e JOIN a{r} USING (vec_id) GROUP BY c, i)")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, o.i, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m ON m.c = o.c AND m.i = o.i)")
+    return (
+        "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) FROM c{rounds} z WHERE z.c = a.c) AS centroid_sha256
+FROM a{rounds} a"""
+    )
+
+
+ORACLE_SQL["op11_centroid_clusters"] = _centroid_sql()
