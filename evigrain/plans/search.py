@@ -126,9 +126,12 @@ def problems(node) -> list[str]:
     match node:
         case Term():
             out = ["term.empty"] if not node.text.strip() else []
-            out += ["term.control_character"] if re.search(r"[\x00-\x1f\x7f]", node.text) else []
-            out += ["term.explode_without_vocabulary"] if node.explode and not node.vocabulary else []
-            return out + (["term.duplicate_field"] if len(set(node.fields)) < len(node.fields) else [])
+            out += ["term.control_character"] if re.search(r"[\x00-\x1f\x7f-\x9f]", node.text) else []
+            out += ["term.vocabulary_empty"] if node.vocabulary is not None and not node.vocabulary.strip() else []
+            out += ["term.explode_without_vocabulary"] if node.explode and node.vocabulary is None and "subject_heading" not in node.fields else []
+            out += ["term.vocabulary_field"] if node.vocabulary is not None and any(f != "subject_heading" for f in node.fields) else []
+            out += ["term.duplicate_field"] if len(set(node.fields)) < len(node.fields) else []
+            return out + (["term.custom_name"] if any(f.startswith("custom:") and not re.fullmatch(r"custom:[A-Za-z0-9_./-]+", f) for f in node.fields) else [])
         case And() | Or():
             return (["children.fewer_than_two"] if len(node.children) < 2 else []) + [p for c in node.children for p in problems(c)]
         case Not():
