@@ -88,11 +88,45 @@ def private_ipv4(ip: Column) -> Column:
 
 #: IPv4 networks no request may go to.
 PRIVATE_NETS = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
+    ("0.0.0.0", 32), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
     ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 )
 
 
+#: IPv6 networks no request may go to: itself, unspecified, multicast, unique local, link-local, documentation.
+PRIVATE_NETS_6 = (("::1", 128), ("::", 128), ("ff00::", 8), ("fc00::", 7), ("fe80::", 10), ("2001:db8::", 32))
+
+
+def address_bytes(ip: Column) -> Column:
+    """The 16 bytes of an IPv4 or IPv6 address, IPv4 as ::ffff:a.b.c.d; null for anything else."""
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    dotted = rf"{octet}\.{octet}\.{octet}\.{octet}$"
+    x = F.lower(ip)
+    tail = F.regexp_extract(x, rf"(?:^|:)({octet}(?:\.{octet}){{3}})$", 1)
+    pair = lambda i: F.lpad(F.lower(F.hex(F.split(tail, r"\.")[i].try_cast("int") * 256 + F.split(tail, r"\.")[i + 1].try_cast("int"))), 4, "0")
+    words = F.when(tail != "", F.concat(F.regexp_replace(x, dotted, ""), pair(0), F.lit(":"), pair(2))).otherwise(x)
+    words = F.when(x.rlike("^" + dotted), F.concat(F.lit("::ffff:"), words)).otherwise(words)
+    halves = F.split(words, "::", -1)
+    side = lambda i: F.when(F.coalesce(F.get(halves, F.lit(i)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(halves, F.lit(i)), ":", -1))
+    left, right = side(0), side(1)
+    n = F.size(left) + F.size(right)
+    whole = F.when(F.size(halves) == 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)).otherwise(left)
+    good = F.when(F.size(halves) == 2, n < 8).otherwise((F.size(halves) == 1) & (n == 8)) & F.forall(whole, lambda w: w.rlike(r"^[0-9a-f]{1,4}$"))
+    return F.when(F.coalesce(good, F.lit(False)), F.unhex(F.array_join(F.transform(whole, lambda w: F.lpad(w, 4, "0")), "")))
+
+
+def prohibited_address(ip: Column) -> Column:
+    """May no request go to this address, of either family? IPv4 addresses inside IPv6 ones count as IPv4; null if it is none."""
+    import ipaddress
+
+    nets = [ipaddress.ip_network(f"::ffff:{net}/{bits + 96}") for net, bits in PRIVATE_NETS] + [ipaddress.ip_network(f"{net}/{bits}") for net, bits in PRIVATE_NETS_6]
+    at = address_bytes(ip)
+    inside = F.lit(False)
+    for net in nets:
+        inside = inside | at.between(F.lit(net[0].packed), F.lit(net[-1].packed))
+    return F.when(at.isNotNull(), inside)
+
+
 def retry_delay(attempt: Column, base_ms: int, max_ms: int) -> Column:
     return F.least(F.lit(base_ms) * F.pow(F.lit(2.0), attempt - 1), F.lit(float(max_ms))).cast("long")
 
