@@ -140,3 +140,60 @@ FLOWS = """flows AS (
         count(*) FILTER (o_orderkey % 10 > 1 AND o_orderstatus = 'O' AND o_orderkey % 7 >= 3) AS reports,
         count(*) FILTER (o_orderkey % 10 > 1 AND o_orderstatus = 'O' AND o_orderkey % 7 >= 4 OR o_orderkey % 50 = 2) AS studies
     FROM orders GROUP BY o_custkey)"""
+
+
+def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """review_id, reason_id, label, count: why the reports of a flow were excluded after reading."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 > 1 AND o_orderstatus = 'O' AND o_orderkey % 7 < 3")
+    label = F.element_at(F.array(F.lit("wrong <population>"), F.lit('no "control" & arm'), F.lit("other")), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return o.groupBy(F.col("o_custkey").alias("review_id"), (F.col("o_orderkey") % 7).alias("reason_id"), label.alias("label")).agg(F.count("*").alias("count"))
+
+
+EXCLUSION_REASONS = """exclusion_reasons AS (
+    SELECT o_custkey AS review_id, o_orderkey % 7 AS reason_id, ['wrong <population>', 'no "control" & arm', 'other'][CAST(o_orderkey % 7 + 1 AS INT)] AS label, count(*) AS count
+    FROM orders WHERE o_orderkey % 10 > 1 AND o_orderstatus = 'O' AND o_orderkey % 7 < 3 GROUP BY ALL)"""
+
+
+def registered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered audit events of one review a user, chained; some reviews hold an event that breaks a rule."""
+    t = table(spark, sf_dir, "events")
+    return t.selectExpr("CAST(user_id AS STRING) AS review_id", "event_id AS seq", *REGISTERED_SPARK)
+
+
+#: Shared by both engines: who said what. The rules that judge it are not shared.
+_PLACE = "row_number() OVER (PARTITION BY user_id ORDER BY event_id)"
+_BEFORE = "lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id)"
+
+
+def _registered(text: str, sha: str) -> list[str]:
+    e, u = f"CAST(event_id AS {text})", f"CAST(user_id AS {text})"
+    number = lambda n: f"CAST(event_id % {n} AS {text})"
+    odd = "event_id % 16 = 0"
+    kind = (
+        "CASE WHEN user_id % 20 = 6 AND event_id % 16 = 0 THEN 'made_up' WHEN event_id % 9 = 0 THEN 'review_plan_validated' WHEN event_id % 9 <= 2 THEN 'search_run_completed' WHEN event_id % 9 = 3 THEN 'protocol_amended' "
+        "WHEN event_id % 9 = 4 THEN 'review_status_changed' ELSE 'screening_decision_recorded' END"
+    )
+    payload = (
+        f"CASE WHEN user_id % 20 = 3 AND {odd} THEN '{{\"plan_id\":{{\"deep\":[1,{{\"Token\":2}}]}}}}' WHEN user_id % 20 = 4 AND {odd} THEN '{{\"unheard_of\":1}}' WHEN user_id % 20 = 7 AND {odd} THEN '{{\"_schema_version\":9}}' "
+        f"WHEN event_id % 9 = 0 THEN '{{\"plan_id\":\"p' || {u} || '\"}}' "
+        f"WHEN event_id % 9 = 1 THEN '{{\"source_id\":\"s' || {number(3)} || '\",\"run_id\":\"run-' || {number(5)} || '\",\"record_count\":' || {number(100)} || '}}' "
+        f"WHEN event_id % 9 = 2 THEN '{{\"run_id\":\"run-' || {number(5)} || '\",\"_schema_version\":0,\"provider\":\"v' || {number(3)} || '\",\"record_count\":' || {number(100)} || '}}' "
+        f"WHEN event_id % 9 = 3 THEN '{{\"amendment_id\":\"a' || {number(4)} || '\"}}' WHEN event_id % 9 = 4 THEN '{{\"status\":\"st' || {number(3)} || '\"}}' "
+        f"ELSE '{{\"record_id\":\"rec' || {number(6)} || '\",\"stage\":\"full_text\",\"decision\":\"' || CASE WHEN event_id % 5 < 2 THEN 'include' ELSE 'exclude' END || '\",\"final_authority\":' || CASE WHEN event_id % 4 = 0 THEN 'false' ELSE 'true' END || '}}' END"
+    )
+    before = f"CASE WHEN user_id % 20 = 5 AND {_PLACE} = 20 THEN 'elsewhere' WHEN {_BEFORE} IS NULL THEN 'GENESIS' ELSE {sha.format(f'CAST({_BEFORE} AS {text})')} END"
+    return [
+        "'audit-event.v1' AS schema_version", f"'e' || {e} AS event_id", f"{kind} AS event_type", f"'u' || {number(7)} AS actor_id", "CASE WHEN event_id % 7 = 0 THEN 'agent' ELSE 'human' END AS actor_type",
+        f"{payload} AS payload", f"{before} AS previous_hash", f"{sha.format(e)} AS event_hash",
+    ]
+
+
+REGISTERED_SPARK = _registered("STRING", "sha2({}, 256)")
+REGISTERED_EVENTS = "registered AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS review_id, event_id AS seq, " + ", ".join(_registered("VARCHAR", "sha256({})")) + " FROM events)"
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests (tenant, actor, request, at, seq, blocker) of three users a tenant; some ids come again, some are denied otherwise."""
+    t = table(spark, sf_dir, "events")
+    blocker = F.when(F.col("event_type") == "error", "access.scope.denied")
+    return t.select(F.floor(F.col("user_id") / 3).alias("tenant"), F.col("user_id").alias("actor"), F.concat(F.lit("q"), F.col("event_id") % 40).alias("request"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), blocker.alias("blocker"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, dedup, living, policy, prisma, ranking, screening, study, validators
+from .operators import access, audit, dedup, events, living, policy, prisma, ranking, screening, study, validators
 from .plans import derive as D
 from .sinks import export
 
@@ -388,9 +388,19 @@ def prisma_validate(spark, sf_dir):
 
 
 @query(
-    "SELECT review_id, format('" + prisma.DIAGRAM.replace("%d", "{}").replace("%s", "Reports excluded (n = {})").replace("'", "''") + "', databases, registers, other, duplicates, automation, other_removed, screened, assessed, ft_excluded, studies, reports) AS diagram FROM flows", D.FLOWS)
+    """SELECT review_id, CASE WHEN f.screened = databases + registers + other - duplicates - automation - other_removed AND duplicates + automation + other_removed <= databases + registers + other
+        AND excluded <= screened AND sought = screened - excluded AND not_retrieved <= sought AND assessed = sought - not_retrieved AND assessed = ft_excluded + reports AND studies <= reports
+    THEN 'flowchart TB' || chr(10) || '  databases["In databases: ' || databases || '"]' || chr(10) || '  registers["In registers: ' || registers || '"]' || chr(10) || '  elsewhere["By other ways: ' || other || '"]' || chr(10)
+        || '  found["Found in all: ' || (databases + registers + other) || '"]' || chr(10)
+        || '  removed["Duplicates: ' || duplicates || '<br/>Removed by automation: ' || automation || '<br/>Removed for other reasons: ' || other_removed || '"]' || chr(10)
+        || '  screened["Screened: ' || screened || '"]' || chr(10) || '  rejected["Excluded by title or abstract: ' || excluded || '"]' || chr(10) || '  sought["Reports sought: ' || sought || '"]' || chr(10)
+        || '  missing["Reports not obtained: ' || not_retrieved || '"]' || chr(10) || '  read["Reports read in full: ' || assessed || '"]' || chr(10) || '  refused["Excluded after reading<br/>' || coalesce(listed, 'none') || '"]' || chr(10)
+        || '  kept["Studies included: ' || studies || '<br/>Reports of these: ' || reports || '"]' || chr(10)
+        || '  databases --> found' || chr(10) || '  registers --> found' || chr(10) || '  elsewhere --> found' || chr(10) || '  found --> removed' || chr(10) || '  removed --> screened' || chr(10)
+        || '  screened --> rejected' || chr(10) || '  screened --> sought' || chr(10) || '  sought --> missing' || chr(10) || '  sought --> read' || chr(10) || '  read --> refused' || chr(10) || '  read --> kept' || chr(10) END AS diagram
+    FROM flows f LEFT JOIN (SELECT review_id, string_agg(CASE reason_id WHEN 0 THEN 'wrong &lt;population&gt;' WHEN 1 THEN 'no \'\'control\'\' &amp; arm' ELSE 'other' END || ': ' || count, '<br/>' ORDER BY reason_id) AS listed FROM exclusion_reasons GROUP BY 1) USING (review_id)""", D.FLOWS, D.EXCLUSION_REASONS)
 def snk_mermaid(spark, sf_dir):
-    return prisma.diagram(D.flows(spark, sf_dir))
+    return prisma.diagram(D.flows(spark, sf_dir), D.exclusion_reasons(spark, sf_dir))
 
 
 DOMAIN_SQL = "['" + "', '".join(prisma.DOMAINS) + "']"
@@ -686,24 +696,80 @@ def src_native_lines(spark, sf_dir):
     return native_lines(D.table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line", "start_byte", "end_byte")
 
 
-@query()
+def _part_trees(spark, sf_dir):
+    """One tree a part: its first word near its last one, and its type as a heading."""
+    p = D.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("strategy_id"), F.split("p_name", " ").alias("w"), "p_type", F.col("p_size").cast("int").alias("size"))
+    size = F.col("size")
+
+    def node(name, parent, ordinal, op, **more):
+        place = [F.lit(name).alias("node"), F.lit(parent).cast("string").alias("parent"), F.lit(ordinal).alias("ordinal"), F.lit(op).alias("op")]
+        return F.struct(*place, *(more.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _NODE.items()))
+
+    made = F.array(
+        node("all", None, 0, "and"), node("near", "all", 0, "proximity", distance=size % 5 + 1, ordered=size % 2 == 0), node("first", "near", 0, "term", text=F.col("w")[0], fields=F.array(F.lit("title"))),
+        node("last", "near", 1, "term", text=F.element_at("w", -1), fields=F.array(F.lit("title_abstract")), truncation=F.lit(True)), node("type", "all", 1, "term", text=F.col("p_type"), vocabulary=F.lit("mesh"), explode=size % 3 == 0),
+    )
+    none = F.array().cast("array<string>")
+    strategies = p.select("strategy_id", F.lit("pubmed").alias("dialect"), (1900 + size).alias("from_year"), F.lit(None).cast("int").alias("to_year"), *(none.alias(c) for c in ("languages", "publication_types", "filters")))
+    return strategies, p.select("strategy_id", F.explode(made).alias("n")).select("strategy_id", "n.*")
+
+
+_NODE = {"text": "string", "fields": "array<string>", "vocabulary": "string", "explode": "boolean", "phrase": "boolean", "truncation": "boolean", "distance": "int", "ordered": "boolean"}
+#: dialect, title, title and abstract, their warnings, proximity and its warnings (any order, in order), heading plain and exploded, its warning.
+DIALECT_FORMS = """forms(d, t, ta, tw, taw, near, strict, nw, sw, h, hx, hw) AS (VALUES
+    ('pubmed', '{}[Title]', '{}[Title/Abstract]', NULL, NULL, 'AND', 'AND', 'translation.pubmed.proximity_review', 'translation.pubmed.proximity_review', '"{}"[MeSH Terms:noexp]', '"{}"[MeSH Terms]', NULL),
+    ('ovid_medline', '{}.ti.', '{}.ti,ab.', NULL, NULL, 'adj#', 'adj#', NULL, 'translation.proximity.order_degraded', '{}/', 'exp {}/', NULL),
+    ('psycinfo_ovid', '{}.ti.', '{}.ti,ab.', NULL, NULL, 'adj#', 'adj#', NULL, 'translation.proximity.order_degraded', '{}/', 'exp {}/', 'translation.controlled_vocabulary.system_mismatch'),
+    ('embase', '{}:ti', '{}:ti,ab', NULL, NULL, 'NEAR/#', 'NEAR/#', NULL, 'translation.proximity.order_degraded', '''{}''/de', '''{}''/exp', 'translation.controlled_vocabulary.system_mismatch'),
+    ('web_of_science', 'TI=({})', 'TS=({})', NULL, 'translation.field.degraded', 'NEAR/#', 'NEAR/#', NULL, 'translation.proximity.order_degraded', '"{}"', '"{}"', 'translation.controlled_vocabulary.degraded'),
+    ('scopus', 'TITLE({})', 'TITLE-ABS-KEY({})', NULL, NULL, 'W/#', 'PRE/#', NULL, NULL, '"{}"', '"{}"', 'translation.controlled_vocabulary.degraded'),
+    ('cinahl_ebsco', 'TI {}', '(TI {} OR AB {})', NULL, NULL, 'N#', 'W#', NULL, NULL, 'MH "{}"', 'MH "{}+"', NULL),
+    ('generic_boolean', '{}', '{}', 'translation.field.degraded', NULL, 'NEAR/#', 'NEAR/#', 'translation.proximity.generic', 'translation.proximity.generic', '"{}"', '"{}"', 'translation.controlled_vocabulary.degraded'),
+    ('europe_pmc', 'TITLE:{}', '(TITLE:{} OR ABSTRACT:{})', NULL, NULL, 'AND', 'AND', 'translation.europe_pmc.proximity_degraded', 'translation.europe_pmc.proximity_degraded', 'MESH:"{}"', 'MESH:"{}"', NULL),
+    ('crossref', '{}', '{}', 'translation.field.degraded', NULL, 'AND', 'AND', 'translation.proximity.lossy', 'translation.proximity.lossy', '"{}"', '"{}"', 'translation.controlled_vocabulary.degraded'),
+    ('openalex', '{}', '{}', 'translation.field.degraded', NULL, 'AND', 'AND', 'translation.proximity.lossy', 'translation.proximity.lossy', '"{}"', '"{}"', 'translation.controlled_vocabulary.degraded'),
+    ('clinical_trials_gov', '{}', '{}', 'translation.field.degraded', NULL, 'AND', 'AND', 'translation.proximity.lossy', 'translation.proximity.lossy', '"{}"', '"{}"', 'translation.controlled_vocabulary.degraded'))"""
+
+
+@query(
+    r"""SELECT p_partkey, d AS dialect, query, CASE WHEN warnings = '' THEN 'exact' WHEN regexp_matches(warnings, '\.lossy|degraded|\.generic|\.manual|\.fallback|[._]review|target_differs') THEN 'degraded' ELSE 'approximate' END AS fidelity, warnings FROM (
+    SELECT p_partkey, d, '((' || replace(t, '{}', string_split(p_name, ' ')[1]) || ' ' || replace(CASE WHEN p_size % 2 = 0 THEN strict ELSE near END, '#', CAST(p_size % 5 + 1 AS VARCHAR)) || ' ' || replace(ta, '{}', string_split(p_name, ' ')[-1] || '*') || ') AND '
+        || replace(CASE WHEN p_size % 3 = 0 THEN hx ELSE h END, '{}', p_type) || ')' || CASE WHEN d = 'pubmed' THEN ' AND ("' || (1900 + p_size) || '"[Date - Publication] : "3000"[Date - Publication])' ELSE '' END AS query,
+        concat_ws(',', CASE WHEN d <> 'pubmed' THEN 'translation.target_differs_from_declared_dialect' END, tw, taw, CASE WHEN p_size % 2 = 0 THEN sw ELSE nw END, hw, CASE WHEN d <> 'pubmed' THEN 'translation.date_limit.manual' END) AS warnings FROM part, forms)""", DIALECT_FORMS)
 def compile_strategies(spark, sf_dir):
-    """One strategy per part and dialect: its title words, in the part's type as heading, rendered for every dialect."""
-    from .plans.search import DIALECTS, And, Near, Strategy, Term, compile_strategy
+    """One strategy per part and dialect: its title words, and the part's type as heading, rendered for every dialect."""
+    from .plans import trees
 
-    def rendered(batches):
-        for pdf in batches:
-            out = []
-            for key, name, kind, size in pdf.itertuples(index=False):
-                first, last = name.split()[0], name.split()[-1]
-                tree = And((Near(Term(first, ("title",)), Term(last, ("title_abstract",), truncation=True), size % 5 + 1, size % 2 == 0), Term(kind, vocabulary="mesh", explode=size % 3 == 0)))
-                for d in DIALECTS:
-                    c = compile_strategy(Strategy(str(key), "pubmed", tree, from_year=1900 + size), d)
-                    out.append((key, d, c.query, c.fidelity, ",".join(c.warnings)))
-            yield type(pdf)(out, columns=["p_partkey", "dialect", "query", "fidelity", "warnings"])
+    got = trees.compile_all(*_part_trees(spark, sf_dir))
+    return got.select(F.col("strategy_id").cast("long").alias("p_partkey"), F.col("target").alias("dialect"), "query", "fidelity", F.array_join("warnings", ",").alias("warnings"))
 
-    parts = D.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", F.col("p_size").cast("int"))
-    return parts.mapInPandas(rendered, "p_partkey long, dialect string, query string, fidelity string, warnings string")
+
+@query(
+    """SELECT DISTINCT s AS strategy_id, node, unnest(list_filter([CASE WHEN same > 1 THEN 'node.duplicate' END, CASE WHEN parent = '9' THEN 'node.orphan' END, CASE WHEN op IN ('and', 'or') AND kids < 2 THEN 'children.fewer_than_two' END,
+        CASE WHEN op = 'proximity' AND kids <> 2 THEN 'children.not_two' END, CASE WHEN places < kids THEN 'children.repeated_ordinal' END, CASE WHEN op = 'proximity' AND kids = 2 AND places = 2 THEN 'children.ordinals' END,
+        CASE WHEN op = 'term' AND kids > 0 THEN 'term.children' END, CASE WHEN op = 'proximity' AND distance < 1 THEN 'proximity.distance' END, CASE WHEN op = 'term' AND text = '' THEN 'term.empty' END], lambda x: x IS NOT NULL)) AS problem FROM judged
+UNION ALL SELECT s, NULL, CASE WHEN roots = 0 THEN 'root.none' ELSE 'root.several' END FROM roots WHERE roots <> 1
+UNION ALL SELECT s, node, 'node.unreached' FROM plain ANTI JOIN reach USING (s, node)""",
+    """RECURSIVE nodes AS MATERIALIZED (
+    SELECT CAST(l_orderkey AS VARCHAR) AS s, CAST(l_linenumber AS VARCHAR) AS node, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 AND l_orderkey % 11 = 5 THEN '4' WHEN l_linenumber = 3 AND l_orderkey % 11 = 7 THEN '9' ELSE CAST(l_linenumber // 2 AS VARCHAR) END AS parent,
+        l_linenumber AS ordinal, CASE l_returnflag WHEN 'A' THEN 'and' WHEN 'N' THEN 'term' ELSE 'proximity' END AS op, CAST(l_quantity AS INT) % 3 AS distance, CASE WHEN l_linestatus = 'F' THEN '' ELSE 'x' END AS text FROM lineitem)""",
+    "known AS (SELECT DISTINCT s, node FROM nodes)",
+    "children AS (SELECT s, parent AS node, count(*) AS kids, count(DISTINCT ordinal) AS places FROM nodes WHERE parent IS NOT NULL GROUP BY 1, 2)",
+    "judged AS (SELECT n.*, count(*) OVER (PARTITION BY s, node) AS same, coalesce(kids, 0) AS kids, coalesce(places, 0) AS places FROM (SELECT n.* REPLACE (CASE WHEN parent IS NOT NULL AND k.s IS NULL THEN '9' ELSE parent END AS parent) FROM nodes n LEFT JOIN known k ON k.s = n.s AND k.node = n.parent) n LEFT JOIN children USING (s, node))",
+    "roots AS (SELECT s, count(*) FILTER (parent IS NULL) AS roots FROM nodes GROUP BY s)",
+    "plain AS (SELECT n.* FROM nodes n WHERE s NOT IN (SELECT s FROM judged WHERE same > 1 OR parent = '9') AND s NOT IN (SELECT s FROM roots WHERE roots > 1))",
+    "reach AS (SELECT s, node FROM plain WHERE parent IS NULL UNION SELECT p.s, p.node FROM plain p JOIN reach r ON r.s = p.s AND r.node = p.parent)",
+)
+def tree_problems(spark, sf_dir):
+    """Trees made of line items, many of them broken: orphans, cycles, repeated nodes, wrong numbers of children."""
+    from .plans import trees
+
+    li, o, n = D.table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_linenumber")
+    parent = F.when(n == 1, F.lit(None)).when((n == 2) & (o % 11 == 5), "4").when((n == 3) & (o % 11 == 7), "9").otherwise(F.floor(n / 2).cast("string"))
+    op = F.when(F.col("l_returnflag") == "A", "and").when(F.col("l_returnflag") == "N", "term").otherwise("proximity")
+    values = {"strategy_id": o, "node": n, "parent": parent, "ordinal": n, "op": op, "text": F.when(F.col("l_linestatus") == "F", "").otherwise("x"), "distance": F.col("l_quantity").cast("int") % 3}
+    kinds = {"strategy_id": "string", "node": "string", "parent": "string", "ordinal": "int", "op": "string"} | _NODE
+    return trees.problems(li.select(*(values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items())))
 
 
 # --- study graphs, gates and evidence tables
@@ -1293,3 +1359,131 @@ def val_workflow_trace(spark, sf_dir):
         F.col("l_orderkey").alias("review_id"), F.when(p % 40 == 0, " ").otherwise(F.concat(F.lit("t-"), p % 25)).alias("transition_id"), F.when(F.col("l_suppkey") % 9 == 0, "").otherwise("actor").alias("actor_id"),
         F.when(F.col("l_linenumber") != 7, F.col("l_shipdate")).alias("occurred_at"), F.col("l_linestatus").alias("before"), after.alias("after"), evidence.alias("evidence_ids"),
     ))
+
+
+# --- registered events
+JUDGED = """judged AS MATERIALIZED (
+    SELECT *, CASE WHEN EXISTS (SELECT 1 FROM json_tree(payload) WHERE lower(key) IN ('credential', 'password', 'secret', 'token', 'full_text')) THEN 'prohibited_key' WHEN event_type = 'made_up' THEN 'unregistered_type'
+        WHEN len(list_filter(json_keys(payload), lambda k: k NOT IN ('_schema_version', 'amendment_id', 'contract_version', 'plan_id', 'status', 'decision', 'final_authority', 'record_id', 'reviewer_id', 'stage', 'provider', 'record_count', 'run_id', 'source_id'))) > 0 THEN 'unregistered_key'
+        WHEN CAST(payload ->> '$._schema_version' AS INT) NOT IN (0, 1) THEN 'unsupported_version' END AS code
+    FROM registered)"""
+
+
+@query(
+    """SELECT event_id, code, sha256('{' || (SELECT string_agg(to_json(k)::VARCHAR || ':' || (payload -> ('$."' || k || '"'))::VARCHAR, ',' ORDER BY k) FROM (SELECT unnest(json_keys(payload)) AS k)) || '}') AS payload_digest,
+    CASE WHEN code IS NULL THEN coalesce(payload ->> '$.source_id', payload ->> '$.provider') END AS source_id FROM judged""", D.REGISTERED_EVENTS, JUDGED)
+def payload_registered(spark, sf_dir):
+    got = events.ingested(D.registered_events(spark, sf_dir))
+    return got.select("event_id", "code", events.canonical_digest(F.col("payload")).alias("payload_digest"), F.try_element_at("fields", F.lit("source_id")).alias("source_id"))
+
+
+@query(
+    """SELECT review_id, 'state' AS section, '' AS key, CASE WHEN wrong IS NULL THEN '{"status":"' || status || '","plan_validated":' || plan_validated || ',"source_event_count":' || n || ',"source_head_hash":"' || head || '","last_event_id":"' || last || '","advisory_recommendation_count":' || advisory || '}'
+    ELSE '{"error":"' || wrong || '"}' END AS body FROM state
+UNION ALL SELECT review_id, 'search_run', p ->> '$.run_id', '{"run_id":"' || (p ->> '$.run_id') || '","source_id":"' || coalesce(p ->> '$.source_id', p ->> '$.provider') || '","record_count":' || (p ->> '$.record_count') || ',"event_id":"' || event_id || '"}'
+    FROM (SELECT *, payload AS p FROM good WHERE event_type = 'search_run_completed' QUALIFY row_number() OVER (PARTITION BY review_id, payload ->> '$.run_id' ORDER BY seq DESC) = 1)
+UNION ALL SELECT DISTINCT review_id, 'amendment', payload ->> '$.amendment_id', '{}' FROM good WHERE event_type = 'protocol_amended'
+UNION ALL SELECT review_id, 'final_decision', payload ->> '$.record_id', '{"record_id":"' || (payload ->> '$.record_id') || '","stage":"full_text","decision":"' || (payload ->> '$.decision') || '","reviewer_id":"' || actor_id || '","event_id":"' || event_id || '"}' FROM final
+UNION ALL SELECT review_id, 'rejected_final_authority', event_id, '{}' FROM good WHERE event_type = 'screening_decision_recorded' AND payload ->> '$.final_authority' = 'true' AND actor_type <> 'human'
+UNION ALL SELECT review_id, 'final_decision_count', payload ->> '$.decision', '{"n":' || count(*) || '}' FROM final GROUP BY 1, 2, 3
+UNION ALL SELECT review_id, 'event_type_count', event_type, '{"n":' || count(*) || '}' FROM good GROUP BY 1, 2, 3""",
+    D.REGISTERED_EVENTS, JUDGED,
+    """linked AS (SELECT *, CASE WHEN previous_hash <> coalesce(lag(event_hash) OVER (PARTITION BY review_id ORDER BY seq), 'GENESIS') THEN 'not_after_preceding_event' END AS link FROM judged)""",
+    """decides AS (SELECT *, event_type = 'screening_decision_recorded' AND payload ->> '$.final_authority' = 'true' AND actor_type = 'human' AS final FROM linked)""",
+    """said AS (SELECT *, CASE WHEN code IS NOT NULL THEN NULL WHEN final THEN 'screening' WHEN event_type = 'review_plan_validated' THEN 'planned' WHEN event_type = 'search_run_completed' THEN 'searching' WHEN event_type = 'review_status_changed' THEN payload ->> '$.status' END AS status FROM decides)""",
+    """state AS (SELECT review_id, coalesce(arg_max(status, seq) FILTER (status IS NOT NULL), 'created') AS status, bool_or(event_type = 'review_plan_validated') AS plan_validated, count(*) AS n, arg_max(event_hash, seq) AS head, arg_max(event_id, seq) AS last,
+        count(*) FILTER (event_type = 'screening_decision_recorded' AND payload ->> '$.final_authority' = 'false') AS advisory,
+        coalesce(arg_min(link || ':' || event_id, seq) FILTER (link IS NOT NULL), arg_min(code || ':' || event_id, seq) FILTER (code IS NOT NULL)) AS wrong FROM said GROUP BY review_id)""",
+    "good AS (SELECT s.* FROM said s JOIN state t ON t.review_id = s.review_id AND t.wrong IS NULL)",
+    "final AS (SELECT * FROM good WHERE final QUALIFY row_number() OVER (PARTITION BY review_id, payload ->> '$.record_id' ORDER BY seq DESC) = 1)",
+)
+def review_state(spark, sf_dir):
+    return events.reduce_batch(D.registered_events(spark, sf_dir))
+
+
+# --- gated requests: each decision depends on those before it, so tests hold this against a loop
+@query()
+def requests_gated(spark, sf_dir):
+    return access.gated(D.requests(spark, sf_dir), 2, 8, 3 * 24 * 3600).select("seq", "denied")
+
+
+#: One address an order, of a form that its key chooses; the SQL judges the numbers it is made of.
+ADDRESSES = """addresses AS (
+    SELECT o_orderkey AS k, o_orderkey % 8 AS form, o_custkey % 256 AS a, o_orderkey % 251 AS b FROM orders)"""
+
+
+@query(
+    """SELECT k AS order_id, CASE form WHEN 0 THEN a || '.' || b || '.0.7' WHEN 1 THEN '::ffff:' || a || '.' || b || '.0.7' WHEN 2 THEN 'FC' || printf('%02x', a) || '::' || b WHEN 3 THEN '2001:db8:' || a || '::1' WHEN 4 THEN '2001:4860::' || a || ':' || b
+        WHEN 5 THEN 'fe' || printf('%02x', a) || ':0:0:0:0:0:0:1' WHEN 6 THEN '::' || a WHEN 7 THEN '1:2:3:4:5:6:7' END AS ip,
+    CASE WHEN form = 7 THEN NULL WHEN form <= 1 THEN a IN (10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 0) OR (a = 192 AND b = 168) OR (a = 198 AND b BETWEEN 18 AND 19)
+        WHEN form IN (2, 3) THEN true WHEN form = 4 THEN false WHEN form = 5 THEN a BETWEEN 128 AND 191 ELSE a <= 1 END AS prohibited FROM addresses""", ADDRESSES)
+def ip_prohibited_both(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders")
+    a, b = F.col("o_custkey") % 256, F.col("o_orderkey") % 251
+    two = F.lower(F.lpad(F.hex(a), 2, "0"))
+    v4 = F.concat_ws(".", a, b, F.lit(0), F.lit(7))
+    forms = [v4, F.concat(F.lit("::ffff:"), v4), F.concat(F.lit("FC"), two, F.lit("::"), b), F.concat(F.lit("2001:db8:"), a, F.lit("::1")), F.concat(F.lit("2001:4860::"), a, F.lit(":"), b), F.concat(F.lit("fe"), two, F.lit(":0:0:0:0:0:0:1")), F.concat(F.lit("::"), a), F.lit("1:2:3:4:5:6:7")]
+    ip = F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("order_id"), ip.alias("ip")).withColumn("prohibited", policy.prohibited_address(F.col("ip")))
+
+
+# --- contracts of search execution, nested
+def _runs(spark, sf_dir):
+    """One run an order, its receipts the order's lines."""
+    from .operators import contracts as C
+
+    li = D.table(spark, sf_dir, "lineitem")
+    x, key = F.lit("x"), F.col("l_orderkey").cast("string")
+    policy = F.struct(
+        F.lit(10).alias("max_records"), (F.col("l_partkey") % 13).alias("max_pages"), F.lit(5).alias("timeout_seconds"), F.when(F.col("l_partkey") % 3 == 0, 4 + F.col("l_linenumber") % 3).alias("total_timeout_seconds"), F.lit(1).alias("max_response_bytes"),
+        F.lit(2).alias("retry_base_delay_ms"), (F.col("l_suppkey") % 4 + 1).alias("retry_max_delay_ms"), (F.col("l_linenumber") == 2).alias("cache_write_enabled"), (F.col("l_suppkey") % 2 == 0).alias("replay_enabled"),
+    )
+    texts = {name: x for name in C.RECEIPT_TEXTS} | {"receipt_id": F.when(F.col("l_partkey") % 17 == 0, " ").otherwise("x"), "review_id": key, "run_id": F.when(F.col("l_partkey") % 19 == 0, "other").otherwise(key)}
+    receipt = F.struct(
+        F.lit(C.RECEIPT_VERSION).alias("schema_version"), *(v.alias(k) for k, v in texts.items()), (F.col("l_linenumber") % 3).alias("pages_retrieved"), F.col("l_quantity").cast("int").alias("records_retrieved"),
+        (F.col("l_partkey") % 5).alias("cache_hits"), (F.col("l_suppkey") % 3).alias("cache_writes"), F.array(F.when(F.col("l_suppkey") % 4 == 0, " ").otherwise("w")).alias("warnings"), policy.alias("policy"),
+    )
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    runs = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order, receipt.alias("r")))).alias("rows"))
+    run = F.struct(
+        F.lit(C.RUN_VERSION).alias("schema_version"), key.alias("review_id"), key.alias("run_id"), F.when(F.col("l_orderkey") % 23 == 0, "").otherwise("p").alias("purpose"), x.alias("started_at"), F.lit(None).cast("string").alias("completed_at"),
+        F.when(F.col("l_orderkey") % 7 == 0, key).alias("supersedes_run_id"), F.col("rows.r").alias("receipts"),
+    )
+    return runs.select("l_orderkey", run.alias("run"))
+
+
+@query(
+    """SELECT l_orderkey AS run_id, concat_ws(',', CASE WHEN l_orderkey % 23 = 0 THEN 'purpose' END, CASE WHEN l_orderkey % 7 = 0 THEN 'supersedes_itself' END, string_agg(nullif(codes, ''), ',' ORDER BY i)) AS codes FROM (
+    SELECT l_orderkey, i, array_to_string(list_transform(list_filter([
+        CASE WHEN l_partkey % 17 = 0 THEN 'receipt_id' END, CASE WHEN l_linenumber % 3 = 0 AND l_quantity >= 1 THEN 'records_without_page' END, CASE WHEN l_partkey % 5 + l_suppkey % 3 > 2 * (l_linenumber % 3) THEN 'cache_counters' END, CASE WHEN l_suppkey % 4 = 0 THEN 'blank_warning' END,
+        CASE WHEN l_partkey % 13 = 0 THEN 'policy.budget_zero' END, CASE WHEN l_partkey % 3 = 0 AND l_linenumber % 3 = 0 THEN 'policy.total_timeout' END, CASE WHEN l_suppkey % 4 = 0 THEN 'policy.retry_delays' END,
+        CASE WHEN l_linenumber = 2 AND l_suppkey % 2 = 1 THEN 'policy.cache_without_replay' END, CASE WHEN l_partkey % 19 = 0 THEN 'foreign' END], lambda c: c IS NOT NULL), lambda c: 'receipts[' || i || '].' || c), ',') AS codes
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem)) GROUP BY l_orderkey""")
+def val_search_run(spark, sf_dir):
+    from .operators import contracts as C
+
+    return _runs(spark, sf_dir).select(F.col("l_orderkey").alias("run_id"), F.array_join(C.run_codes(F.col("run")), ",").alias("codes"))
+
+
+# --- the reporting ledger
+LEDGER_EVIDENCE = """evidence AS (
+    SELECT o_custkey AS review_id, unnest(['database_name', 'dates_of_searches', 'total_records']) AS item, 'e' || o_orderkey AS text FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT o_custkey, ['contacts', 'prior_work', 'updates', 'search_filters', 'peer_review', 'study_registries', 'citation_searching'][CAST(o_orderkey % 7 + 1 AS INT)], ['none', ' Not Applicable ', '  ', 'said', NULL][CAST(o_orderkey % 5 + 1 AS INT)] FROM orders)"""
+
+
+@query(
+    """SELECT review_id, place, i.item, CASE WHEN kind = 'evidence' THEN CASE WHEN n > 0 THEN 'complete' ELSE 'missing' END WHEN said > 0 THEN 'complete' WHEN nothing > 0 THEN 'not_applicable' ELSE 'missing' END AS status, coalesce(n, 0) AS n_evidence
+    FROM (SELECT DISTINCT o_custkey AS review_id FROM orders), items i LEFT JOIN (
+    SELECT review_id AS r, item, count(text) AS n, count(*) FILTER (trim(text) <> '' AND lower(trim(text)) NOT IN ('none', 'not applicable')) AS said, count(*) FILTER (lower(trim(text)) IN ('none', 'not applicable')) AS nothing FROM evidence GROUP BY ALL) e ON e.r = review_id AND e.item = i.item""",
+    LEDGER_EVIDENCE,
+    """items(place, item, kind) AS (VALUES (1, 'database_name', 'evidence'), (2, 'multi_database_searching', 'note'), (3, 'study_registries', 'evidence'), (4, 'online_resources_and_browsing', 'note'), (5, 'citation_searching', 'note'), (6, 'contacts', 'note'),
+    (7, 'other_methods', 'note'), (8, 'full_search_strategies', 'evidence'), (9, 'limits_and_restrictions', 'note'), (10, 'search_filters', 'note'), (11, 'prior_work', 'note'), (12, 'updates', 'note'), (13, 'dates_of_searches', 'evidence'),
+    (14, 'peer_review', 'evidence'), (15, 'total_records', 'evidence'), (16, 'deduplication', 'evidence'))""",
+)
+def prisma_s_items(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders")
+    review = F.col("o_custkey").alias("review_id")
+    item = F.element_at(F.array(*map(F.lit, ("contacts", "prior_work", "updates", "search_filters", "peer_review", "study_registries", "citation_searching"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    text = F.element_at(F.array(F.lit("none"), F.lit(" Not Applicable "), F.lit("  "), F.lit("said"), F.lit(None)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    receipts = o.where("o_orderstatus = 'F'").select(review, F.explode(F.array(*map(F.lit, ("database_name", "dates_of_searches", "total_records")))).alias("item"), F.concat(F.lit("e"), "o_orderkey").alias("text"))
+    return prisma.ledger(o.select(review).distinct(), receipts.unionByName(o.select(review, item.alias("item"), text.alias("text"))))
