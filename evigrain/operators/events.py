@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import cut
+
 GENESIS = "GENESIS"
 
 #: The registered event types with their payload keys, and what no payload may hold.
@@ -200,7 +202,8 @@ def reduce_batch(events: DataFrame, registry: Registry | None = None) -> DataFra
     """
     e = effects(ingested(linked(events), registry))
     code = F.when(F.col("link_code").isNotNull(), F.struct(F.lit(0).alias("rank"), "seq", F.col("link_code").alias("code"), "event_id")).when(F.col("code").isNotNull(), F.struct(F.lit(1).alias("rank"), "seq", "code", "event_id"))
-    e = e.withColumn("wrong", code)
+    # judged once: four aggregations read it
+    e = cut(e.select("review_id", "seq", "event_id", "event_type", "event_hash", "status", "section", "key", "body", "decision", "advisory", "plans", code.alias("wrong")))
     state = e.groupBy("review_id").agg(
         F.coalesce(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))), F.lit("created")).alias("status"), F.max("plans").alias("plan_validated"), F.count("*").alias("source_event_count"),
         F.max_by("event_hash", "seq").alias("source_head_hash"), F.max_by("event_id", "seq").alias("last_event_id"), F.count_if("advisory").alias("advisory_recommendation_count"), F.min("wrong").alias("wrong"),
