@@ -14,6 +14,11 @@ are. Level m therefore looks both up in a bitmap of the frequent phrases of m -
 ``BITS`` wide whatever the input (8 MB, broadcast). False positives of the bitmap are
 counted and dropped, so it never changes a result.
 
+Pairs of frequent words are many and mostly rare. Before level 2 every task therefore counts
+its pairs in buckets by hash, each up to ``least``; only pairs whose bucket adds up to
+``least`` over all tasks can be frequent and enter a stripe. There is a bucket for each
+``least / 8`` words of the corpus, 2^COUNTERS at most (a bitmap of 32 MB, broadcast).
+
 Stripes of short prefixes are long and frequent: they are cut into ``SEGMENTS`` by a hash of
 the next word, so that no task gathers a whole stripe. Merging reads sorted stripes as a
 stream and holds one segment and one slice of the stream.
@@ -42,6 +47,11 @@ from .common import materialise, parts
 
 SPAN = 4 << 20
 BITS = 26
+COUNTERS = 28
+#: Counters to a row.
+PART = 1 << 16
+#: Spans that a task counts before it sends their counts on.
+HELD = 8
 #: Into how many pieces a stripe is cut, by the words of its prefix.
 SEGMENTS = (1024, 32, 4, 4, 4)
 #: Entries that are merged at once.
@@ -85,34 +95,50 @@ def assembled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndar
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h >> np.uint64(64 - BITS)).astype(np.int64)
+def is_set(bitmap: np.ndarray, h: np.ndarray, bits: int | None = None) -> np.ndarray:
+    at = (h >> np.uint64(64 - (bits or BITS))).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def span_stripes(buf: np.ndarray, offs: np.ndarray, langs: pa.Array, prefix: int, bitmap: np.ndarray | None) -> pa.RecordBatch | None:
-    """The stripes of one span of whole texts; bitmap marks the frequent phrases of ``prefix`` words."""
-    buf = t.LOWER[buf]
-    starts, ends, first = t.words(buf, offs, INSIDE)
+class Span:
+    """The words of one span of whole texts."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, langs: pa.Array):
+        self.buf = buf = t.LOWER[buf]
+        self.starts, self.ends, first = t.words(buf, offs, INSIDE)
+        cuts = np.concatenate(([0], np.cumsum(DELIMITER[buf])))
+        self.text_of = text_of = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+        self.piece = np.cumsum(np.concatenate(([True], (cuts[self.starts[1:]] != cuts[self.ends[:-1]]) | (text_of[1:] != text_of[:-1])))[: len(text_of)])
+        self.h, self.seed = t.word_hashes(buf, self.starts, self.ends), seeds(langs)[text_of]
+
+    def extended(self, prefix: int, bitmap: np.ndarray):
+        """(where a frequent phrase of ``prefix`` words starts, where the phrase a word longer can be frequent too, hashes of the phrases)."""
+        own, piece, n = phrase_hashes(self.seed, self.h, prefix), self.piece, len(self.h)
+        at = np.flatnonzero((piece[: len(own)] == piece[prefix - 1 : prefix - 1 + len(own)]) & is_set(bitmap, own))
+        following = at[at + prefix < n]
+        following = following[piece[following] == piece[following + prefix]]
+        return at, following[is_set(bitmap, own[following + 1])], own
+
+    def longer(self, own: np.ndarray, at: np.ndarray, prefix: int) -> np.ndarray:
+        """The hashes of the phrases a word longer than own at these places."""
+        return t.mix(own[at] ^ self.h[at + prefix])
+
+
+def span_stripes(span: Span, langs: pa.Array, prefix: int, bitmap: np.ndarray | None, counted: tuple[int, np.ndarray] | None = None) -> pa.RecordBatch | None:
+    """The stripes of one span; bitmap marks the frequent phrases of ``prefix`` words, counted the hashes, to so many bits, of longer ones that can be frequent."""
+    buf, starts, ends, text_of, h = span.buf, span.starts, span.ends, span.text_of, span.h
     n = len(starts)
     if n < max(prefix, 1):
         return None
-    cuts = np.concatenate(([0], np.cumsum(DELIMITER[buf])))
-    text_of = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    piece = np.cumsum(np.concatenate(([True], (cuts[starts[1:]] != cuts[ends[:-1]]) | (text_of[1:] != text_of[:-1]))))
-    h, seed = t.word_hashes(buf, starts, ends), seeds(langs)[text_of]
-    own = phrase_hashes(seed, h, prefix)
     if prefix == 0:
-        at, own, more = np.arange(n), own[:n], np.ones(n, bool)
+        at, own, more = np.arange(n), span.seed, np.ones(n, bool)
     else:
-        at = np.flatnonzero((piece[: len(own)] == piece[prefix - 1 : prefix - 1 + len(own)]) & is_set(bitmap, own))
-        following = at[at + prefix < n]
-        following = following[piece[following] == piece[following + prefix]]
-        following = following[is_set(bitmap, own[following + 1])]
+        at, following, own = span.extended(prefix, bitmap)
+        if counted is not None:
+            following = following[is_set(counted[1], span.longer(own, following, prefix), counted[0])]
         more = np.zeros(n, bool)
         more[following] = True
-        more = more[at]
-        own = own[at]
+        more, own = more[at], own[at]
     if not len(at):
         return None
     # an end is told apart from every word by its own constant
@@ -166,18 +192,71 @@ def merge_slice(rows: pa.Table, least: int, last: bool) -> tuple[pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, schema=MERGED), kept
 
 
-def level(docs: DataFrame, prefix: int, bitmap: np.ndarray | None, least: int) -> DataFrame:
-    """Merged stripes of all prefixes of so many words; docs has lang and body."""
+def spans(batches):
+    """(Span, languages) of the texts of batches with lang and body."""
+    for batch in batches:
+        langs = t.column(batch, "lang")
+        for lo, hi, buf, offs in t.chunks(t.column(batch, "body"), SPAN):
+            own = langs.slice(lo, hi - lo)
+            yield Span(buf, offs, own), own
+
+
+def countable(docs: DataFrame, prefix: int, bitmap: np.ndarray, least: int, words: int) -> tuple[int, np.ndarray]:
+    """(bits, bitmap of the hash buckets) in which ``least`` phrases a word longer than ``prefix`` fall; the corpus has so many words."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bitmap)
+    bits = min(max((8 * words // least).bit_length(), 16), COUNTERS)
+    kind = np.uint8 if least < 256 else np.uint32
+    names = ["part", "places", "counts"]
+
+    def packed(held):
+        place, n = np.unique(np.concatenate(held), return_counts=True)
+        n = np.minimum(n, least).astype(kind)
+        edges = np.searchsorted(place, np.arange(0, (1 << bits) + 1, PART))
+        low = (place % PART).astype("<u2")
+        rows = [(part, low[a:b].tobytes(), n[a:b].tobytes()) for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+    def counted(batches):
+        held = []
+        for span, _ in spans(batches):
+            if len(span.h) > prefix:
+                _, following, own = span.extended(prefix, sent.value)
+                held.append((span.longer(own, following, prefix) >> np.uint64(64 - bits)).astype(np.int64))
+                if len(held) >= HELD:
+                    yield from packed(held)
+                    held = []
+        if held:
+            yield from packed(held)
 
-    def stripes(batches):
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            langs = t.column(batch, "lang")
-            for lo, hi, buf, offs in t.chunks(t.column(batch, "body"), SPAN):
-                made = span_stripes(buf, offs, langs.slice(lo, hi - lo), prefix, sent.value)
-                if made is not None:
-                    yield made
+            for part, places, counts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                mine = total.setdefault(part, np.zeros(PART, np.uint32))
+                at = np.frombuffer(places, "<u2")
+                mine[at] = np.minimum(mine[at] + np.frombuffer(counts, kind), least)
+        for part, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    made = docs.mapInArrow(counted, "part int, places binary, counts binary").repartition(parts(spark), "part").mapInArrow(summed, "part int, bits binary")
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in made.collect():  # 2^bits / PART rows of 8 KB at most
+        out[r["part"] * (PART >> 3) : (r["part"] + 1) * (PART >> 3)] = np.frombuffer(r["bits"], np.uint8)
+    return bits, out
+
+
+def level(docs: DataFrame, prefix: int, bitmap: np.ndarray | None, least: int, counted: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """Merged stripes of all prefixes of so many words; docs has lang and body."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((bitmap, counted))
+
+    def stripes(batches):
+        for span, langs in spans(batches):
+            made = span_stripes(span, langs, prefix, *sent.value)
+            if made is not None:
+                yield made
 
     def merged(batches):
         held, entries = [], 0
@@ -213,7 +292,7 @@ def frequent_bits(phrases: DataFrame, words: int) -> np.ndarray:
     placed = phrases.mapInArrow(positions, "place long")
     blocks = placed.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     bitmap = np.zeros(1 << BITS - 3, np.uint8)
-    for r in blocks.toLocalIterator():  # 2^BITS / 32768 rows of 4 KB at most
+    for r in blocks.collect():  # 2^BITS / 32768 rows of 4 KB at most
         at = (r["block"] - 1) * 4096
         bitmap[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return bitmap
@@ -224,7 +303,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("body"))
     levels, bitmap = [], None
     for words in range(1, most + 1):
-        found = level(rows, words - 1, bitmap, least)
+        counted = None
+        if words == 2:
+            total = levels[0][0].where("next IS NULL").agg(F.sum("n")).first()[0] or 0
+            counted = countable(rows, 1, bitmap, least, total)
+        found = level(rows, words - 1, bitmap, least, counted)
         phrase = F.concat(F.col("prefix"), F.when(F.col("prefix") == "", "").otherwise(" "), F.col("next"))
         levels.append((found, found.where("next IS NOT NULL").select("lang", phrase.alias("phrase"), F.col("n").alias("a"))))
         if words < most:

@@ -75,6 +75,20 @@ def test_a_full_bitmap_and_small_slices_change_nothing(spark, monkeypatch):
     assert as_rows(phrases.collocations(frame(spark, rows), least=4)) == brute(rows, 4, 2000)
 
 
+@pytest.mark.parametrize("least", [3, 300])
+def test_countable_keeps_every_frequent_pair(spark, monkeypatch, least):
+    monkeypatch.setattr(phrases, "SPAN", 2000)
+    monkeypatch.setattr(phrases, "HELD", 2)
+    rows = [("a b " * 200 + f"x{i} y{i}", "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "lang string, body string").selectExpr("body AS lang", "lang AS body").repartition(3)
+    everything = np.full(1 << phrases.BITS - 3, 255, np.uint8)
+    bits, bitmap = phrases.countable(docs, 1, everything, least, 2010)
+    seed = phrases.seeds(pa.array(["en"]))
+    pair = lambda p: phrases.phrase_hashes(np.repeat(seed, 2), phrases.t.word_hashes(np.frombuffer(p.encode(), np.uint8), np.array([0, p.index(" ") + 1]), np.array([p.index(" "), len(p)])), 2)
+    assert [bool(phrases.is_set(bitmap, pair(p), bits)[0]) for p in ("a b", "b a")] == [True, True]
+    assert np.unpackbits(bitmap).sum() <= 3
+
+
 def test_merging_in_small_slices():
     rng = random.Random(1)
     stripes, want = [], defaultdict(Counter)
