@@ -5,8 +5,10 @@ Hilbert curve (``LEVELS`` bits a component, by how far it is from its mean) and
 blocks of ``BLOCK`` with the smallest and largest value of each component. A round sends the
 centroids to all tasks. For each block the box gives bounds of every centroid's distance;
 those whose lower bound exceeds another's upper bound are out, and only the rest are
-compared with the block's vectors, exactly. A task returns a count and component sums for
-each cluster, which Spark adds; the driver holds the centroids and nothing else.
+compared with the block's vectors, exactly. A task returns one row, the count and component
+sums of all clusters, and ``FEW`` tasks add these rows up; the driver holds the centroids and
+as many sums. Sums are kept in two halves of ``LIMB`` bits and more, exact for 2^32 vectors of
+the largest size and for 2^50 of ordinary ones.
 
 The curve only decides which vectors share a block, never a result. Vectors at one place of
 the curve are spread by a hash of id and vector, so that equal vectors don't meet in one
@@ -38,6 +40,28 @@ MOST = (1 << 63) - 1
 #: Below this size, squared distances of 64 components fit 64 bits.
 SAFE = 1 << 26
 LIMB = 31
+#: Tasks that add up the rows of all tasks.
+FEW = 16
+
+
+def added_up(rows: DataFrame, kind: str) -> np.ndarray | None:
+    """The sum of the arrays of a kind in rows of one binary column, as Python integers if they are such."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for body in batch.column(0):
+                x = np.frombuffer(body.as_buffer(), kind)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["body"])
+
+    got = [np.frombuffer(r["body"], kind) for r in rows.repartition(FEW).mapInArrow(add, "body binary").collect()]  # FEW rows at most
+    return sum(x.astype(object) if kind == "<i8" else x for x in got) if got else None
+
+
+def one_row(x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["body"])
 
 
 def hilbert_keys(places: np.ndarray, bits: int) -> np.ndarray:
@@ -107,10 +131,18 @@ BLOCKS_DDL = "ids array<long>, body binary, low array<long>, high array<long>"
 def zone_maps(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of neighbours on the curve, with their boxes."""
     spark = rows.sparkSession
-    spread = rows.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("by"))
-    mean, by = np.zeros(size), np.zeros(size)
-    for r in spread.toLocalIterator():  # a row for each component
-        mean[r["at"]], by[r["at"]] = r["mean"], r["by"] or 0.0
+
+    def measured(batches):
+        total = np.zeros((3, size))
+        for batch in batches:
+            x = matrix(batch, "v", size).astype(np.float64)
+            total += [np.full(size, len(x)), x.sum(axis=0), (x * x).sum(axis=0)]
+        yield one_row(total)
+
+    total = added_up(rows.select("v").mapInArrow(measured, "body binary"), "<f8")
+    n, sums, squares = np.zeros((3, size)) if total is None else total.reshape(3, size)
+    mean = sums / np.maximum(n, 1)
+    by = np.sqrt(np.maximum(squares / np.maximum(n, 1) - mean * mean, 0))
     steps = spark.sparkContext.broadcast([mean + by * z for z in np.linspace(-1, 1, (1 << LEVELS) - 1)])
 
     def placed(batches):
@@ -153,14 +185,14 @@ def next_centroids(blocks: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 high[c] += (own >> LIMB).sum(axis=0)
                 low[c] += (own & ((1 << LIMB) - 1)).sum(axis=0)
                 n[c] += len(own)
-        c, at = np.divmod(np.arange(now.size), now.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c, at, n[c], high.ravel(), low.ravel())], names=["c", "at", "n", "high", "low"])
+        yield one_row(np.concatenate((n, high.ravel(), low.ravel())))
 
-    total = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
-    sums = blocks.mapInArrow(summed, "c long, at long, n long, high long, low long").groupBy("c", "at").agg(total("n"), total("high"), total("low"))
+    total = added_up(blocks.mapInArrow(summed, "body binary"), "<i8")
     out = centroids.copy()
-    for r in sums.where("n > 0").toLocalIterator():  # a row for each component of a centroid
-        out[r["c"], r["at"]] = ((int(r["high"]) << LIMB) + int(r["low"])) // int(r["n"])
+    if total is not None:
+        n, halves = total[: len(centroids)], total[len(centroids) :].reshape(2, *centroids.shape)
+        for c in np.flatnonzero(n > 0):
+            out[c] = ((halves[0, c] << LIMB) + halves[1, c]) // n[c]
     return out
 
 
