@@ -3,8 +3,8 @@
 A stripe is a row (lang, prefix, seg, nexts, counts, other): how often each next word
 follows the prefix, and ``other``, how often none does that matters: the piece ends, or
 the longer phrase can't be frequent. Level m counts phrases of m words as stripes of
-prefixes of m - 1 words. A task makes one stripe a prefix of each ``SPAN`` of text; merging
-stripes adds them elementwise. A merged stripe gives all that is asked for: the frequent
+prefixes of m - 1 words. A task reads its texts in spans of ``SPAN`` bytes, adds their phrases up and makes one
+stripe a prefix of up to ``ENTRIES`` phrases; merging stripes adds them elementwise. A merged stripe gives all that is asked for: the frequent
 extensions (its entries), the prefix's own frequency (its total, with ``other``) and the
 largest extension to the right (its maximum), which decides subsumption; the largest
 extension to the left is the maximum of the entries by what follows their first word.
@@ -23,8 +23,8 @@ Stripes of short prefixes are long and frequent: they are cut into ``SEGMENTS``
 the next word, so that no task gathers a whole stripe. Merging reads sorted stripes as a
 stream and holds one segment and one slice of the stream.
 
-Within a span, phrases are told apart by 64-bit hashes (D distinct phrases of a span merge
-falsely with D^2 / 2^65, under 1e-7); stripes merge by their strings.
+Within a task's stripes, phrases are told apart by 64-bit hashes (D distinct phrases merge
+falsely with D^2 / 2^65, under 1e-7 for ENTRIES); stripes merge by their strings.
 
 Defined cases: null or empty texts have no words. A null lang is ``und``, together with
 rows whose lang says so. Repeated rows count again. Ties in the ranking go by a and phrase.
@@ -54,6 +54,8 @@ PART = 1 << 16
 HELD = 8
 #: Into how many pieces a stripe is cut, by the words of its prefix.
 SEGMENTS = (1024, 32, 4, 4, 4)
+#: Phrases that a task holds before it sends stripes on.
+ENTRIES = 1 << 20
 #: Entries that are merged at once.
 SLICE = 1 << 18
 
@@ -124,10 +126,26 @@ class Span:
         return t.mix(own[at] ^ self.h[at + prefix])
 
 
-def span_stripes(span: Span, langs: pa.Array, prefix: int, bitmap: np.ndarray | None, counted: tuple[int, np.ndarray] | None = None) -> pa.RecordBatch | None:
-    """The stripes of one span; bitmap marks the frequent phrases of ``prefix`` words, counted the hashes, to so many bits, of longer ones that can be frequent."""
-    buf, starts, ends, text_of, h = span.buf, span.starts, span.ends, span.text_of, span.h
-    n = len(starts)
+class Entries:
+    """Counted phrases of some spans: hashes of prefix and phrase, whether there is a next word, counts, and the texts of each."""
+
+    def __init__(self, own, full, more, times, langs, prefixes, nexts):
+        self.own, self.full, self.more, self.times, self.langs, self.prefixes, self.nexts = own, full, more, times, langs, prefixes, nexts
+
+    @staticmethod
+    def together(parts: list[Entries]) -> Entries:
+        """The entries of several spans, equal ones added up."""
+        own, full, more, times = (np.concatenate([getattr(p, c) for p in parts]) for c in ("own", "full", "more", "times"))
+        _, pick, of = np.unique(full, return_index=True, return_inverse=True)
+        total = np.zeros(len(pick), np.int64)
+        np.add.at(total, of, times)
+        texts = (pa.concat_arrays([getattr(p, c) for p in parts]).take(pa.array(pick)) for c in ("langs", "prefixes", "nexts"))
+        return Entries(own[pick], full[pick], more[pick], total, *texts)
+
+
+def span_entries(span: Span, langs: pa.Array, prefix: int, bitmap: np.ndarray | None, counted: tuple[int, np.ndarray] | None = None) -> Entries | None:
+    """The phrases of one span; bitmap marks the frequent ones of ``prefix`` words, counted the hashes, to so many bits, of longer ones that can be frequent."""
+    n = len(span.starts)
     if n < max(prefix, 1):
         return None
     if prefix == 0:
@@ -142,19 +160,26 @@ def span_stripes(span: Span, langs: pa.Array, prefix: int, bitmap: np.ndarray |
     if not len(at):
         return None
     # an end is told apart from every word by its own constant
-    full = t.mix(own ^ np.where(more, h[np.minimum(at + prefix, n - 1)], np.uint64(0x5851F42D4C957F2D)))
+    full = t.mix(own ^ np.where(more, span.h[np.minimum(at + prefix, n - 1)], np.uint64(0x5851F42D4C957F2D)))
     _, pick, times = np.unique(full, return_index=True, return_counts=True)
     at, own, more, full = at[pick], own[pick], more[pick], full[pick]
-    seg = np.where(more, (full % np.uint64(SEGMENTS[prefix])).astype(np.int64), 0)
-    order = np.lexsort((seg, own))
-    at, own, more, seg, times = at[order], own[order], more[order], seg[order], times[order]
+    words = assembled(span.buf, span.starts, span.ends, at[more] + prefix, 1)
+    nexts = words.take(pa.array(np.where(more, np.cumsum(more) - 1, 0), mask=~more))
+    _, first, of = np.unique(own, return_index=True, return_inverse=True)
+    prefixes = assembled(span.buf, span.starts, span.ends, at[first], prefix) if prefix else pa.array([""] * len(first))
+    return Entries(own, full, more, times.astype(np.int64), langs.take(pa.array(span.text_of[at])), prefixes.take(pa.array(of)), nexts)
+
+
+def stripes_of(parts: list[Entries], prefix: int) -> pa.RecordBatch:
+    """The stripes of some spans, one for each prefix and segment."""
+    e = Entries.together(parts)
+    seg = np.where(e.more, (e.full % np.uint64(SEGMENTS[prefix])).astype(np.int64), 0)
+    order = np.lexsort((seg, e.own))
+    own, more, seg, times = e.own[order], e.more[order], seg[order], e.times[order]
     head = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (seg[1:] != seg[:-1]))))
-    edges = np.concatenate(([0], np.cumsum(more)))[np.append(head, len(at))].astype(np.int32)
-    nexts = assembled(buf, starts, ends, at[more] + prefix, 1)
-    counts = pa.array(times[more].astype(np.int64))
-    prefixes = assembled(buf, starts, ends, at[head], prefix) if prefix else pa.array([""] * len(head))
-    edges = pa.array(edges)
-    columns = [langs.take(pa.array(text_of[at[head]])), prefixes, pa.array(seg[head], pa.int32()), pa.ListArray.from_arrays(edges, nexts), pa.ListArray.from_arrays(edges, counts), pa.array(np.add.reduceat(np.where(more, 0, times), head).astype(np.int64))]
+    edges = pa.array(np.concatenate(([0], np.cumsum(more)))[np.append(head, len(own))].astype(np.int32))
+    heads, mine = pa.array(order[head]), pa.array(order[more])
+    columns = [e.langs.take(heads), e.prefixes.take(heads), pa.array(seg[head], pa.int32()), pa.ListArray.from_arrays(edges, e.nexts.take(mine)), pa.ListArray.from_arrays(edges, pa.array(times[more])), pa.array(np.add.reduceat(np.where(more, 0, times), head).astype(np.int64))]
     return pa.RecordBatch.from_arrays(columns, schema=STRIPE)
 
 
@@ -253,10 +278,20 @@ def level(docs: DataFrame, prefix: int, bitmap: np.ndarray | None, least: int, c
     sent = spark.sparkContext.broadcast((bitmap, counted))
 
     def stripes(batches):
+        held, n = [], 0
         for span, langs in spans(batches):
-            made = span_stripes(span, langs, prefix, *sent.value)
+            made = span_entries(span, langs, prefix, *sent.value)
             if made is not None:
-                yield made
+                held.append(made)
+                n += len(made.own)
+            if n >= ENTRIES:
+                held = [Entries.together(held)]
+                n = len(held[0].own)
+                if 2 * n >= ENTRIES:  # too little of it was equal
+                    yield stripes_of(held, prefix)
+                    held, n = [], 0
+        if held:
+            yield stripes_of(held, prefix)
 
     def merged(batches):
         held, entries = [], 0
