@@ -20,8 +20,9 @@ its pairs in buckets by hash, each up to ``least``; only pairs whose bucket adds
 ``least / 8`` words of the corpus, 2^COUNTERS at most (a bitmap of 32 MB, broadcast).
 
 Stripes of short prefixes are long and frequent: they are cut into ``SEGMENTS`` by a hash of
-the next word, so that no task gathers a whole stripe. Merging reads sorted stripes as a
-stream and holds one segment and one slice of the stream.
+the next word, so that no task gathers a whole stripe. A task sends all stripes of a hash
+bucket in one row; merging takes a bucket, sorts its stripes and adds them up slice by slice.
+The number of buckets is that of shuffle partitions, which the user sizes to the input.
 
 Within a task's stripes, phrases are told apart by 64-bit hashes (D distinct phrases merge
 falsely with D^2 / 2^65, under 1e-7 for ENTRIES); stripes merge by their strings.
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 
 from . import text as t
 from .common import materialise, parts
+from .window_dedup import bucket_of
 
 SPAN = 4 << 20
 BITS = 26
@@ -56,13 +58,15 @@ HELD = 8
 SEGMENTS = (1024, 32, 4, 4, 4)
 #: Phrases that a task holds before it sends stripes on.
 ENTRIES = 1 << 20
-#: Entries that are merged at once.
-SLICE = 1 << 18
+#: Stripes that are merged at once.
+SLICE = 1 << 16
 
 DELIMITER = t.byte_table(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 INSIDE = t.byte_table(lambda b: not (b in b" \t.,;:!?" or 0x0A <= b <= 0x0D))
 STRIPE = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("seg", pa.int32()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("other", pa.int64())])
-STRIPE_DDL = "lang string, prefix string, seg int, nexts array<string>, counts array<long>, other long"
+#: The stripes that a task sends to a bucket, in one row.
+PACKED = pa.schema([("bucket", pa.int32()), *((f.name, pa.list_(f.type)) for f in STRIPE)])
+PACKED_DDL = "bucket int, lang array<string>, prefix array<string>, seg array<int>, nexts array<array<string>>, counts array<array<long>>, other array<long>"
 #: next is null in the row that sums a segment up: n is then its total, top its largest entry.
 MERGED = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("next", pa.string()), ("n", pa.int64()), ("top", pa.int64())])
 MERGED_DDL = "lang string, prefix string, next string, n long, top long"
@@ -170,17 +174,21 @@ def span_entries(span: Span, langs: pa.Array, prefix: int, bitmap: np.ndarray |
     return Entries(own, full, more, times.astype(np.int64), langs.take(pa.array(span.text_of[at])), prefixes.take(pa.array(of)), nexts)
 
 
-def stripes_of(parts: list[Entries], prefix: int) -> pa.RecordBatch:
-    """The stripes of some spans, one for each prefix and segment."""
+def packed_stripes(parts: list[Entries], prefix: int, buckets: int) -> pa.RecordBatch:
+    """The stripes of some spans, one for each prefix and segment, those of a bucket together in a row."""
     e = Entries.together(parts)
     seg = np.where(e.more, (e.full % np.uint64(SEGMENTS[prefix])).astype(np.int64), 0)
-    order = np.lexsort((seg, e.own))
-    own, more, seg, times = e.own[order], e.more[order], seg[order], e.times[order]
-    head = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (seg[1:] != seg[:-1]))))
+    bucket = bucket_of(t.mix(e.own + seg.astype(np.uint64)), buckets).astype(np.int64)
+    order = np.lexsort((seg, e.own, bucket))
+    own, more, seg, times, bucket = e.own[order], e.more[order], seg[order], e.times[order], bucket[order]
+    head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1]) | (seg[1:] != seg[:-1]))))
     edges = pa.array(np.concatenate(([0], np.cumsum(more)))[np.append(head, len(own))].astype(np.int32))
     heads, mine = pa.array(order[head]), pa.array(order[more])
     columns = [e.langs.take(heads), e.prefixes.take(heads), pa.array(seg[head], pa.int32()), pa.ListArray.from_arrays(edges, e.nexts.take(mine)), pa.ListArray.from_arrays(edges, pa.array(times[more])), pa.array(np.add.reduceat(np.where(more, 0, times), head).astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, schema=STRIPE)
+    bucket = bucket[head]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    rows = pa.array(np.append(first, len(head)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *(pa.ListArray.from_arrays(rows, c) for c in columns)], schema=PACKED)
 
 
 def merge_slice(rows: pa.Table, least: int, last: bool) -> tuple[pa.RecordBatch | None, pa.RecordBatch | None]:
@@ -277,6 +285,8 @@ def level(docs: DataFrame, prefix: int, bitmap: np.ndarray | None, least: int, c
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((bitmap, counted))
 
+    buckets = parts(spark)
+
     def stripes(batches):
         held, n = [], 0
         for span, langs in spans(batches):
@@ -288,28 +298,26 @@ def level(docs: DataFrame, prefix: int, bitmap: np.ndarray | None, least: int, c
                 held = [Entries.together(held)]
                 n = len(held[0].own)
                 if 2 * n >= ENTRIES:  # too little of it was equal
-                    yield stripes_of(held, prefix)
+                    yield packed_stripes(held, prefix, buckets)
                     held, n = [], 0
         if held:
-            yield stripes_of(held, prefix)
+            yield packed_stripes(held, prefix, buckets)
 
     def merged(batches):
-        held, entries = [], 0
-        for batch in batches:
-            held.append(batch.cast(STRIPE))
-            entries += batch.num_rows + pc.sum(pc.list_value_length(batch.column("nexts"))).as_py() if batch.num_rows else 0
-            if entries >= SLICE:
-                out, kept = merge_slice(pa.Table.from_batches(held), least, False)
-                if out is not None:
-                    yield out
-                held, entries = [kept], 0
-        held = [b for b in held if b.num_rows]
-        if held:
-            yield merge_slice(pa.Table.from_batches(held), least, True)[0]
-
-    key = ["lang", "prefix", "seg"]
-    made = docs.mapInArrow(stripes, STRIPE_DDL).repartition(parts(spark), *key).sortWithinPartitions(*key)
-    return materialise(made.mapInArrow(merged, MERGED_DDL))
+        rows = [pa.RecordBatch.from_arrays([t.column(batch, f.name).flatten().cast(f.type) for f in STRIPE], schema=STRIPE) for batch in batches]
+        rows = pa.Table.from_batches(rows, schema=STRIPE).combine_chunks()
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("lang", "prefix", "seg")])
+        kept, lo = None, 0
+        while lo < len(order):
+            some = rows.take(order.slice(lo, SLICE))
+            lo += SLICE
+            if kept is not None:
+                some = pa.concat_tables([pa.Table.from_batches([kept]), some])
+            out, kept = merge_slice(some, least, lo >= len(order))
+            if out is not None:
+                yield out
+
+    return materialise(docs.mapInArrow(stripes, PACKED_DDL).repartitionById(buckets, F.col("bucket")).mapInArrow(merged, MERGED_DDL))
 
 
 def frequent_bits(phrases: DataFrame, words: int) -> np.ndarray:

@@ -65,6 +65,7 @@ def as_rows(got):
 @pytest.mark.parametrize("least,top,most", [(5, 2000, 5), (3, 7, 5), (2, 50, 3)])
 def test_collocations(spark, monkeypatch, least, top, most):
     monkeypatch.setattr(phrases, "SPAN", 3000)
+    monkeypatch.setattr(phrases, "SLICE", {5: 1 << 16, 3: 7, 2: 100}[least])
     monkeypatch.setattr(phrases, "ENTRIES", {5: 1 << 20, 3: 400, 2: 3000}[least])
     rows = made(least)
     assert as_rows(phrases.collocations(frame(spark, rows), least=least, top=top, most=most)) == brute(rows, least, top, most)
