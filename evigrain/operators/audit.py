@@ -110,7 +110,7 @@ def reserve(events: DataFrame, interval_ms: int) -> DataFrame:
     """
     at = F.floor(F.unix_micros(F.to_timestamp("occurred_at")) / 1000)
     w = W.partitionBy("review_id").orderBy("at", "seq")
-    e = events.select("event_id", "review_id", "seq", at.alias("at")).withColumn("k", F.row_number().over(w) - 1)
+    e = events.select("event_id", "review_id", "seq", at.alias("at")).withColumn("k", F.row_number().over(w).cast("long") - 1)
     high = F.max(F.col("at") - F.col("k") * interval_ms).over(w.rowsBetween(W.unboundedPreceding, 0))
     return e.select("event_id", (high + F.col("k") * interval_ms).alias("start_ms"))
 
