@@ -50,9 +50,11 @@ def problems(nodes: DataFrame) -> DataFrame:
     """(strategy_id, node, problem): everything that is wrong, a row each; node is null where it is about the whole tree."""
     nodes = cut(nodes)
     same = F.count("*").over(Window.partitionBy("strategy_id", "node"))
-    kids = nodes.where("parent IS NOT NULL").groupBy("strategy_id", F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.count_distinct("ordinal").alias("places"), F.collect_set("ordinal").alias("ordinals"))
+    kids = nodes.where("parent IS NOT NULL").groupBy("strategy_id", F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.collect_set("ordinal").alias("ordinals"))
     known = nodes.select("strategy_id", F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
-    n = nodes.withColumn("same", same).join(kids, ["strategy_id", "node"], "left").join(known, ["strategy_id", "parent"], "left").fillna(0, ["kids", "places"])
+    # by parent first, by node last: then the window, the join and the distinct rows below share one shuffle
+    n = shuffled(nodes, known, ["strategy_id", "parent"], "left").withColumn("same", same)
+    n = shuffled(n, kids, ["strategy_id", "node"], "left").fillna(0, ["kids"]).withColumn("places", F.coalesce(F.size("ordinals"), F.lit(0)))
     op, two = F.col("op"), F.col("op").isin("not", "proximity")
     checks = [
         ("node.unnamed", F.col("node").isNull()),
@@ -73,21 +75,27 @@ def problems(nodes: DataFrame) -> DataFrame:
     root = roots.where("roots <> 1").select("strategy_id", F.lit(None).cast("string").alias("node"), F.when(F.col("roots") == 0, "root.none").otherwise("root.several").alias("problem"))
     # a tree whose nodes are named once: what no walk from its root reaches hangs on a cycle or an orphan
     twice = own.where("problem IN ('node.duplicate', 'node.unnamed', 'node.orphan')").select("strategy_id").unionByName(root.where("problem = 'root.several'").select("strategy_id")).distinct()
-    plain = cut(nodes.join(twice, "strategy_id", "left_anti"))
-    reached = [level.select("strategy_id", "node") for level in levels(plain)]
+    plain = cut(shuffled(nodes.select("strategy_id", "node", "parent"), twice, ["strategy_id"], "left_anti"))
+    reached = levels(plain)
     all_ = reached[0]
     for r in reached[1:]:
         all_ = all_.unionByName(r)
-    lost = plain.select("strategy_id", "node").join(all_, ["strategy_id", "node"], "left_anti").withColumn("problem", F.lit("node.unreached"))
+    keys = ["strategy_id", "node"]
+    lost = shuffled(plain.select(*keys), all_.select(*keys), keys, "left_anti").withColumn("problem", F.lit("node.unreached"))
     return own.unionByName(root).unionByName(lost)
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting both sides. Files written between steps are far smaller than their rows, so that Spark would send millions of rows through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def levels(nodes: DataFrame) -> list[DataFrame]:
     """The nodes by their depth, from the roots on. A node has one parent, so a cycle is never reached."""
     out = [cut(nodes.where("parent IS NULL"))]
     while True:
         above = out[-1].select("strategy_id", F.col("node").alias("parent"))
-        below = cut(nodes.join(above, ["strategy_id", "parent"], "left_semi"))
+        below = cut(shuffled(nodes, above, ["strategy_id", "parent"], "left_semi"))
         if below.isEmpty():
             return out
         out.append(below)
@@ -156,7 +164,7 @@ def render(nodes: DataFrame, dialects: tuple[str, ...] = S.DIALECTS) -> DataFram
         out = rendered_terms(here.where("op = 'term'")).select(*DONE)
         if done is not None:
             kids = done.groupBy("strategy_id", F.col("parent").alias("node"), "target").agg(F.sort_array(F.collect_list(F.struct("ordinal", "query", "warnings"))).alias("kids"))
-            out = out.unionByName(rendered_parents(here.where("op <> 'term'").join(kids, ["strategy_id", "node", "target"])).select(*DONE))
+            out = out.unionByName(rendered_parents(shuffled(here.where("op <> 'term'"), kids, ["strategy_id", "node", "target"])).select(*DONE))
         done = cut(out)
     return done.select("strategy_id", "target", "query", "warnings")
 
@@ -164,7 +172,7 @@ def render(nodes: DataFrame, dialects: tuple[str, ...] = S.DIALECTS) -> DataFram
 def compile_all(strategies: DataFrame, nodes: DataFrame, dialects: tuple[str, ...] = S.DIALECTS) -> DataFrame:
     """(strategy_id, target, query, warnings, losses, fidelity) of each strategy and dialect; strategies with problems are left out."""
     wrong = problems(nodes).select("strategy_id").distinct()
-    got = render(cut(nodes.join(wrong, "strategy_id", "left_anti")), dialects).join(strategies, "strategy_id")
+    got = shuffled(render(cut(shuffled(nodes, wrong, ["strategy_id"], "left_anti")), dialects), strategies, ["strategy_id"])
     dated = F.col("from_year").isNotNull() | F.col("to_year").isNotNull()
     pubmed = F.col("target") == "pubmed"
     year = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default))
