@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
+from ..functions import text as T
 from .components import parts
 
 GENESIS = "GENESIS"
@@ -146,21 +147,24 @@ def result_digest(rows: DataFrame, group: str, seq: str, value: Column) -> DataF
 
 def redact(x: Column) -> Column:
     """Text without e-mail addresses, bearer tokens, values of secret-looking keys and high-entropy tokens."""
-    x = F.regexp_replace(x, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]")
+    mail = lambda x: F.regexp_replace(x, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]")
+    x = T.let(x, lambda x: F.when(x.contains("@"), mail(x)).otherwise(x))
     x = F.regexp_replace(x, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
     x = F.regexp_replace(x, r"(?i)(api[_-]?key|token|password|secret)(\s*[:=]\s*)[^\s,;]+", "$1$2[REDACTED]")
     # cut before and after each run of 20 token characters or more; nothing is lost between the pieces
     c = "[A-Za-z0-9_~+/.=-]"
-    pieces = F.split(x, f"(?<!{c})(?={c}{{20}})|(?<={c}{{20}})(?!{c})", -1)
-    kept = F.transform(pieces, lambda p: F.when(p.rlike(rf"\A{c}{{20,}}\z") & p.rlike("[0-9]") & (entropy(p) >= 3.5 - 1e-9), "[REDACTED]").otherwise(p))
-    return F.when(x.rlike(f"{c}{{20}}"), F.array_join(kept, "")).otherwise(x)
+    secret = lambda p: p.rlike(rf"\A{c}{{20,}}\z") & p.rlike("[0-9]") & (entropy(p) >= 3.5 - 1e-9)
+    kept = lambda x: F.transform(F.split(x, f"(?<!{c})(?={c}{{20}})|(?<={c}{{20}})(?!{c})", -1), lambda p: F.when(secret(p), "[REDACTED]").otherwise(p))
+    # the text is named thrice: without let each of the patterns above would run on it thrice
+    return T.let(x, lambda x: F.when(x.rlike(f"{c}{{20}}"), F.array_join(kept(x), "")).otherwise(x))
 
 
 def entropy(x: Column) -> Column:
     """Shannon entropy of the characters of x in bits."""
     n = F.length(x).cast("double")
-    count = lambda ch: (F.length(x) - F.length(F.replace(x, ch, F.lit("")))).cast("double")
-    return F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0.0), lambda acc, ch: acc - F.when(count(ch) > 0, count(ch) / n * F.log2(count(ch) / n)).otherwise(0.0))
+    share = lambda ch: (F.length(x) - F.length(F.replace(x, ch, F.lit("")))).cast("double") / n
+    parts = F.transform(F.transform(F.array_distinct(F.split(x, "")), share), lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc - p)
 
 
 def prov(receipts: DataFrame, events: DataFrame, chained: DataFrame) -> DataFrame:
