@@ -40,17 +40,23 @@ def candidates(edges: DataFrame, seeds: DataFrame, max_depth: int, max_records:
 def lineage(runs: DataFrame) -> DataFrame:
     """(run_id, ancestors, cyclic): the length of each run's chain of parents, over runs (run_id, parent_id) with distinct run_id.
 
-    By doubling, until every chain has ended, however long. A chain that is still open when the hops are longer than
-    there are runs ends in a cycle; its ancestors are null. An unknown parent counts as an ancestor and ends the chain.
+    By doubling, until every chain has ended, however long. After k rounds those of fewer than 2^k ancestors have ended. A
+    chain holds one run of each smaller number of ancestors; so if none ends in a round, no open one ever does: all lead into
+    a cycle, and their ancestors are null. An unknown parent counts as an ancestor and ends the chain. Ended chains are
+    written once.
     """
-    done = cut(runs.select("run_id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("long").alias("ancestors")))
-    for _ in range(done.count().bit_length()):
-        still = done.where("up IS NOT NULL")
-        if still.isEmpty():
+    columns = ("run_id", "up", "ancestors")
+    now = cut(runs.select("run_id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("long").alias("ancestors")))
+    ended, still = now.where("up IS NULL"), now.where("up IS NOT NULL")
+    n = still.count()
+    while n:
+        hop = ended.unionByName(still).select(F.col("run_id").alias("up"), F.col("up").alias("next"), F.col("ancestors").alias("more"))
+        now = cut(still.join(hop, "up", "left").select("run_id", F.col("next").alias("up"), (F.col("ancestors") + F.coalesce("more", F.lit(0))).alias("ancestors")))
+        ended, still, before = ended.unionByName(now.where("up IS NULL").select(*columns)), now.where("up IS NOT NULL"), n
+        n = still.count()
+        if n == before:
             break
-        hop = done.select(F.col("run_id").alias("up"), F.col("up").alias("next"), F.col("ancestors").alias("more"))
-        moved = still.join(hop, "up", "left").select("run_id", F.col("next").alias("up"), (F.col("ancestors") + F.coalesce("more", F.lit(0))).alias("ancestors"))
-        done = cut(done.where("up IS NULL").unionByName(moved))
+    done = ended.unionByName(still)
     return done.select("run_id", F.when(F.col("up").isNull(), F.col("ancestors")).alias("ancestors"), F.col("up").isNotNull().alias("cyclic"))
 
 
