@@ -249,7 +249,9 @@ def index_keys(n: int, rare: int, mine: np.ndarray, percent: int) -> np.ndarray:
 def contacts(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of components with a common index key, and the members (key, component, size) of crowded keys.
 
-    ``active`` has a column component.
+    ``active`` has a column component. The keys of one passage lie in many buckets and mostly have the same sets, so a bucket
+    names each list of sets that meet (component and size) once, and pairs are made of the lists that differ. A list is short:
+    a set has at most CROWD others in reach, so there are few of them for each size.
     """
     buckets = parts(active.sparkSession)
 
@@ -280,7 +282,9 @@ def contacts(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         key = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
         # how many of its key follow that are not too long for it
         near = np.searchsorted(key * (1 << 32) + n, key * (1 << 32) + n * 100 // percent, "right") - np.arange(len(h)) - 1
-        most = np.maximum.reduceat(near, head) if len(head) else near
+        most, apart = near, near > 0
+        if len(head):
+            most, apart = np.maximum.reduceat(near, head), np.minimum.reduceat(comp, head) != np.maximum.reduceat(comp, head)
         crowd = most[key] > CROWD
         a, b = h[crowd].view(np.int64), comp[crowd]
         order = np.lexsort((b, a))
@@ -289,25 +293,36 @@ def contacts(active: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         a, b = a[new], b[new]
         head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))[: len(a)]
         size = np.diff(np.append(head, len(a)))
-        found = [(a, b, np.repeat(size, size))]
-        live, d = np.flatnonzero(~crowd & (near > 0)), 1
-        pairs = [np.zeros((0, 2), np.int64)]
-        while len(live):
-            x, y = comp[live], comp[live + d]
-            pairs.append(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1)[x != y], axis=0))
-            d += 1
-            live = live[near[live] >= d]
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        found.append((*pairs.T, np.zeros(len(pairs), np.int64)))
-        for part in found:
-            for lo in range(0, len(part[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)], pa.int64()) for x in part], names=MET)
-
-    found = materialise(active.mapInArrow(indexed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(met, "a long, b long, size long"))
-    return found.where("size = 0").select("a", "b").distinct(), found.where("size > 0").select(F.col("a").alias("key"), F.col("b").alias("component"), "size")
-
-
-MET = ["a", "b", "size"]
+        for lo in range(0, len(a), 1 << 16):
+            rows = [pa.array(x[lo : lo + (1 << 16)], pa.int64()) for x in (a, b, np.repeat(size, size))]
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), pa.binary())], names=MET)
+        few = np.flatnonzero(apart & (most > 0) & (most <= CROWD))
+        begin, end = np.searchsorted(key, few), np.searchsorted(key, few, "right")
+        alike = sorted({comp[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(begin, end, strict=True)})
+        for lo in range(0, len(alike), 1 << 12):
+            sets = pa.array(alike[lo : lo + (1 << 12)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(sets), pa.int64()) for _ in MET[:-1]), sets], names=MET)
+
+    def paired(batches):
+        for batch in batches:
+            pairs = [np.zeros((0, 2), np.int64)]
+            for body in batch.column("sets").to_pylist():
+                comp, n = np.frombuffer(body, np.int64).reshape(2, -1)
+                near = np.searchsorted(n, n * 100 // percent, "right") - np.arange(len(n)) - 1
+                x = np.repeat(np.arange(len(n)), near)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(near) - near, near)
+                x, y = comp[x], comp[y]
+                pairs.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1)[x != y])
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs.T], schema=PAIR)
+
+    found = materialise(active.mapInArrow(indexed, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(met, MET_DDL))
+    pairs = found.where("sets IS NOT NULL").select("sets").distinct().mapInArrow(paired, "a long, b long").distinct()
+    return pairs, found.where("sets IS NULL").select("key", "component", "size")
+
+
+MET = ["key", "component", "size", "sets"]
+MET_DDL = "key long, component long, size long, sets binary"
 
 
 def distinct(*sorted_by: np.ndarray) -> np.ndarray:

@@ -216,6 +216,17 @@ def test_near_duplicates(spark, monkeypatch, seed, settings):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
 
 
+def test_sets_that_meet_at_many_keys_are_listed_once_a_bucket(spark, monkeypatch):
+    written, write = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df: written.append(write(df)) or written[-1])
+    body = lambda i: b"".join(k.to_bytes(6, "little") for k in [*range(26), *range(1000 * i, 1000 * i + 74)])
+    rows = [(i, 100, 26, body(i), i) for i in range(1, 21)] + [(30, 300, 26, body(30), 30), (31, 100, 26, body(20), 20)]
+    pairs, members = jaccard_join.contacts(frame(spark, rows, "doc long, n long, rare int, tokens binary, component long"), 75)
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(1, 21) for b in range(a + 1, 21)]
+    assert members.count() == 0
+    assert written[0].count() <= jaccard_join.parts(spark)  # 190 a bucket, were they pairs
+
+
 def test_near_duplicates_edges(spark):
     assert jaccard_join.near_duplicates(frame(spark, [])).count() == 0
     got = jaccard_join.near_duplicates(frame(spark, [(5, "a b"), (3, "A  b"), (3, "A  b"), (4, None)])).collect()
