@@ -65,11 +65,13 @@ def resolve(decisions: DataFrame, requests: DataFrame, required: int = 2) -> Dat
     """
     human = F.col("reviewer_kind") != "agent"
     known = decisions.groupBy("subject_id", "round").agg(
-        F.collect_set(F.when(human, F.col("decision_id"))).alias("known"), F.collect_set("reviewer_id").alias("reviewers"), F.count_if(human).alias("humans"), F.count_distinct(F.when(human, F.col("decision"))).alias("kinds")
+        F.collect_set(F.when(human, F.col("decision_id"))).alias("known"), F.collect_set("reviewer_id").alias("reviewers"), F.count_if(human).alias("humans"),
+        # the least and the greatest tell whether they differ; a count of kinds would shuffle all decisions once more
+        F.min(F.when(human, F.col("decision"))).alias("least"), F.max(F.when(human, F.col("decision"))).alias("most"),
     )
     ids = F.array_distinct("decision_ids")
     wrong = (
-        F.when(F.coalesce(F.col("humans") < required, F.lit(True)) | (F.col("kinds") < 2), "no_conflict")
+        F.when(F.coalesce(F.col("humans") < required, F.lit(True)) | F.coalesce(F.col("least") == F.col("most"), F.lit(True)), "no_conflict")
         .when(F.size(F.array_except(ids, "known")) > 0, "unknown_decision")
         .when(F.size(ids) < F.size("known"), "incomplete_resolution")
         .when(F.array_contains("reviewers", F.col("adjudicator_id")), "adjudicator_not_independent")
