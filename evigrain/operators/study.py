@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import parts
+
+#: Rows of a study graph that one task groups by identifier.
+ROWS = 500_000
+
 
 def dangling_links(links: DataFrame, reports: DataFrame, studies: DataFrame) -> DataFrame:
     """(link_id, end): link ends that no report or study has."""
@@ -150,19 +155,31 @@ def graph_violations(reports: DataFrame, studies: DataFrame, links: DataFrame) -
     from_id, to_id, confidence and evidence (how many pieces). Reports and studies share one space of identifiers.
     """
     none = F.expr("cast(array() as array<string>)")
-
-    def broken(df, kind, key, **rules):
-        codes = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(True)), code) for code, rule in rules.items())))
-        return df.select(F.lit(kind).alias("object"), F.col(key).alias("id"), F.explode(codes).alias("code"))
-
     empty = lambda c: F.trim(c) == ""
-    objects = reports.select(F.col("report_id").alias("id"), F.lit("report").alias("object")).unionByName(studies.select(F.col("study_id").alias("id"), F.lit("study").alias("object")))
-    twice = objects.groupBy("id").agg(F.count("*").alias("rows"), F.max("object").alias("object")).where("rows > 1").select("object", "id", F.lit("duplicate_identifier").alias("code"))
-    ends = studies.select("study_id", F.explode("report_ids").alias("report_id"))
-    unknown = ends.join(reports.select("report_id"), "report_id", "left_anti").select(F.lit("study").alias("object"), F.col("study_id").alias("id"), F.lit("unknown_report").alias("code"))
-    links_twice = repeated_keys(links, "link_id").select(F.lit("link").alias("object"), F.col("link_id").alias("id"), F.lit("duplicate_identifier").alias("code"))
     given = F.coalesce("report_ids", none)
-    found = broken(reports, "report", "report_id", empty_title=empty("title"), no_records=F.col("records") == 0)
-    found = found.unionByName(broken(studies, "study", "study_id", empty_label=empty("label"), no_reports=F.size(given) == 0, duplicate_report=F.size(F.array_distinct(given)) < F.size(given)))
-    found = found.unionByName(broken(links, "link", "link_id", self_reference=F.col("from_id") == F.col("to_id"), confidence_range=~F.col("confidence").between(0, 1), no_evidence=F.col("evidence") == 0))
-    return found.unionByName(twice).unionByName(unknown).unionByName(links_twice).distinct()
+    rules = {
+        "report": {"empty_title": empty("title"), "no_records": F.col("records") == 0},
+        "study": {"empty_label": empty("label"), "no_reports": F.size(given) == 0, "duplicate_report": F.size(F.array_distinct(given)) < F.size(given)},
+        "link": {"self_reference": F.col("from_id") == F.col("to_id"), "confidence_range": ~F.col("confidence").between(0, 1), "no_evidence": F.col("evidence") == 0},
+    }
+
+    def flagged(df, kind, key):
+        """The rules that a row breaks, as bits of a column named by its kind."""
+        bits = sum((F.when(F.coalesce(rule, F.lit(True)), 1 << i).otherwise(0) for i, rule in enumerate(rules[kind].values())), F.lit(0))
+        return df.select(F.col(key).alias("id"), F.lit(kind).alias("object"), *((bits if k == kind else F.lit(0)).alias(k) for k in rules))
+
+    def dealt(df, key):
+        """df in as many parts as keep a part to ROWS rows; Spark would join small files of many rows to few large parts."""
+        return df.repartition(max(parts(df.sparkSession), -(-df.count() // ROWS)), key)
+
+    def codes(df):
+        """Each identifier's codes, once."""
+        got = dealt(df, "id").groupBy("id").agg(F.count("*").alias("rows"), F.max("object").alias("object"), *(F.bit_or(k).alias(k) for k in rules))
+        named = [F.when(F.col(k).bitwiseAND(1 << i) != 0, F.struct(F.lit(k).alias("object"), F.lit(code).alias("code"))) for k in rules for i, code in enumerate(rules[k])]
+        twice = F.when(F.col("rows") > 1, F.struct("object", F.lit("duplicate_identifier").alias("code")))
+        return got.select("id", F.explode(F.array_compact(F.array(*named, twice))).alias("x")).select("x.object", "id", "x.code")
+
+    ends = studies.select("study_id", F.explode(F.array_distinct("report_ids")).alias("report_id"))
+    unknown = ends.join(dealt(reports.select("report_id"), "report_id"), "report_id", "left_anti").select(F.lit("study").alias("object"), F.col("study_id").alias("id"), F.lit("unknown_report").alias("code")).distinct()
+    objects = flagged(reports, "report", "report_id").unionByName(flagged(studies, "study", "study_id"))
+    return codes(objects).unionByName(codes(flagged(links, "link", "link_id"))).unionByName(unknown)
