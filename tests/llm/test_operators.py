@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -182,6 +183,31 @@ def test_suffix_dedup_segments_and_repeated_rows(spark, monkeypatch):
     assert sorted(r.n_removed for r in got) == [0, len(x), len(x)]
 
 
+def test_suffix_dedup_holds_little_at_a_time():
+    rng = np.random.default_rng(3)
+    body = pa.array([rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in [3000] * 1000 + [3_000_000]])
+    list(suffix_dedup.stretches(np.zeros(1000, np.uint8), np.array([0, 1000]), 400, 32))  # the tables of powers
+    tracemalloc.start()
+    for _, _, buf, offs in suffix_dedup.segments(body, 400):
+        suffix_dedup.stretches(buf, offs, 400, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_suffix_dedup_blocks(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ROOM", 1000)
+    rng = random.Random(5)
+    rows = [(a, i, bytes(rng.randint(1, 400))) for a in range(200) for i in range(rng.choice([1, 2, 20]))]
+    batch = pa.RecordBatch.from_pylist([{"anchor": a, "n": n, "body": b} for a, n, b in rows])
+    got = list(suffix_dedup.blocks([batch.slice(0, 33), batch.slice(33)], rows=7))
+    assert [r for b in got for r in b] == rows
+    anchors = [{r[0] for r in b} for b in got]
+    assert sum(map(len, anchors)) == 200
+    assert all(len(a) == 1 or sum(len(r[-1]) for r in b) <= 1000 for a, b in zip(anchors, got, strict=True))
+    assert list(suffix_dedup.blocks([])) == []
+
+
 def test_suffix_dedup_keeps_whole_characters(spark):
     x = "é" * 300
     got = suffix_dedup.remove_repeats(frame(spark, [(1, "a" + x), (2, x + "b")]), least=401, carry=()).collect()
