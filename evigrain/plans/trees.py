@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import cut
+from ..operators.components import cut, shuffled
 from . import search as S
 
 NODES = "strategy_id string, node string, parent string, ordinal int, op string, text string, fields array<string>, vocabulary string, explode boolean, phrase boolean, truncation boolean, distance int, ordered boolean"
@@ -85,11 +85,6 @@ def problems(nodes: DataFrame) -> DataFrame:
     return own.unionByName(root).unionByName(lost)
 
 
-def shuffled(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join by sorting both sides. Files written between steps are far smaller than their rows, so that Spark would send millions of rows through the driver."""
-    return left.join(right.hint("merge"), on, how)
-
-
 def levels(nodes: DataFrame) -> list[DataFrame]:
     """The nodes by their depth, from the roots on. A node has one parent, so a cycle is never reached."""
     out = [cut(nodes.where("parent IS NULL"))]
